@@ -1,0 +1,11 @@
+"""Queries over the test tables and the SQL that gives the same rows."""
+
+FLAGSHIP = "coverage_by_region"
+
+
+def queries():
+    return {}
+
+
+def oracle_sql():
+    return {}
