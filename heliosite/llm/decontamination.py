@@ -47,6 +47,14 @@ def _hash_words(words: list[str]) -> np.ndarray:
 _UNITS = _hash_words(UNITS)
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with A-Z and the accented capitals of Latin-1 (lead byte C3) in lower case."""
+    out = LOWER[data]
+    accented = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1
+    out[accented] += 0x20
+    return out
+
+
 def templates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(template tokens, slot values, tokens before each row). A literal is its own value; values of a run are folded into one."""
     n = len(data)
@@ -58,7 +66,7 @@ def templates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     start, end = np.flatnonzero(ink & ~before), np.flatnonzero(ink & ~after) + 1
     if not len(start):
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    value = span_hash(prefix_hash(LOWER[data]), start, end)
+    value = span_hash(prefix_hash(lowered(data)), start, end)
     digits, stops, caps = (np.concatenate([[0], np.cumsum(t[data], dtype=np.int64)]) for t in (_DIGIT, _STOP, _UPPER_OR_DIGIT))
     row = np.searchsorted(offsets, start, "right") - 1
     opens = np.concatenate([[True], (row[1:] != row[:-1]) | (stops[start[1:]] > stops[end[:-1]])])
