@@ -11,8 +11,8 @@ percent and if their prefixes, the first n - ceil(n * percent / 100) + 1 members
    of its members name; hub and guests meet in a prefix tree: the guests' sets stand in a trie, the hub's set runs down
    it once, overlaps so far are shared by all guests below, and a branch is left when what remains can't reach the overlap
    asked for. The links found make components;
-4. then every pair of sets that share a prefix member and lie in different components is verified in the same way. Pairs
-   within a component can't change it. Nothing is capped, so no link between components is lost.
+4. then every pair of sets that share enough prefix members to reach ``percent`` and lie in different components is
+   verified in the same way. Pairs within a component can't change it. Nothing is capped, so no link between components is lost.
 
 A hub with many guests is split into salted groups of about ``GUESTS``, each with its own trie.
 
@@ -202,7 +202,11 @@ def links(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, Da
         labels = components(found, "hub", "guest")
     side = mixed()
     left, right = side.select("member", F.col("h").alias("hub"), "n", "c"), side.select("member", F.col("h").alias("guest"), F.col("n").alias("m"), F.col("c").alias("d"))
-    rest = persisted(left.join(right, "member").where("hub < guest and c <> d").where(fits).select("hub", "guest").distinct())
+    # the set whose prefix ends first has met the other in all its prefix: beyond those k members, only what it has left can be shared
+    asked = f"ceil({percent} * (n + m) / {100 + percent})"
+    reach = f"k + greatest(ceil(n * {percent} / 100), ceil(m * {percent} / 100)) - 1 >= {asked}"
+    met_often = left.join(right, "member").where("hub < guest and c <> d").where(fits).groupBy("hub", "guest", "n", "m").agg(F.count("*").alias("k"))
+    rest = persisted(met_often.where(reach).select("hub", "guest"))
     return heads, found.unionByName(verified(rest, sets, percent))
 
 
