@@ -112,8 +112,40 @@ def overlaps(hub: np.ndarray, guests: list[np.ndarray], percent: int) -> list[in
     return found
 
 
+def _stored_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(h, members): the sets of the documents that ``wanted`` names, written once. The scan itself leaves the others out."""
+    marks = docs.sparkSession.sparkContext.broadcast(Marks.of(wanted.select(F.xxhash64("doc_id").alias("h"))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(Marks.has(marks.value, batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64))))
+            data, offsets = buffers(batch.column(1))
+            for first, last in slices(offsets, 1 << 20):
+                low, high = offsets[first], offsets[last]
+                members, firsts = gram_sets(data[low:high], offsets[first : last + 1] - low, n)
+                raw = [members[a:b].tobytes() for a, b in zip(firsts[:-1], firsts[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(head_of(members, members, firsts)), pa.array(raw, pa.binary())], names=["h", "members"])
+
+    sets = persisted(docs.select("doc_id", "text", F.xxhash64("doc_id")).mapInArrow(run, "h long, members binary"))
+    if sets.groupBy("h").count().where("count > 1").limit(1).count():  # rows that share an id, or ids a bit
+        sets = persisted(sets.dropDuplicates(["h"]))
+    return sets
+
+
+def _marked(sets: DataFrame, names: DataFrame) -> DataFrame:
+    """Rows of ``sets`` whose h is in ``names``, and few others, chosen without a shuffle."""
+    marks = sets.sparkSession.sparkContext.broadcast(Marks.of(names))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(Marks.has(marks.value, batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))))
+
+    return sets.mapInArrow(run, sets.schema)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(hub, guest) of ``pairs`` whose sets reach ``percent``."""
+    sets = _marked(sets, pairs.select(F.explode(F.array("hub", "guest")).alias("h")))
     parts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / F.lit(GUESTS)).cast("int").alias("parts"))
     salted = pairs.join(parts, "hub").withColumn("salt", F.pmod(F.xxhash64("guest"), F.col("parts")).cast("int"))
     guests = salted.select("hub", "salt", F.col("guest").alias("h")).join(sets, "h")
@@ -173,11 +205,7 @@ def links(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, Da
     bearers = persisted(prefixes(met).groupBy("member", "h").agg(F.first("n").alias("n")))
     shared = persisted(bearers.join(bearers.groupBy("member").count().where("count > 1").select("member"), "member"))
     wanted = heads.where("n > 0").join(shared.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.min("doc_id").alias("doc_id"))
-
-    def packed(ids, members, firsts):
-        return {"h": head_of(ids, members, firsts), "members": pa.array([members[a:b].tobytes() for a, b in zip(firsts[:-1], firsts[1:], strict=True)], pa.binary())}
-
-    sets = persisted(_sets(docs.join(wanted, "doc_id", "left_semi"), n, "h long, members binary", packed).dropDuplicates(["h"]))
+    sets = _stored_sets(docs, wanted, n)
     found, labels = None, None
     fits = f"least(n, m) * 100 >= greatest(n, m) * {percent}"
 
@@ -195,7 +223,8 @@ def links(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, Da
         rows = shared.withColumn("c", F.col("h")) if labels is None else mixed()
         hubs = rows.groupBy("member").agg(F.min(F.struct(F.xxhash64("h", F.lit(turn)).alias("x"), "h", "n", "c")).alias("hub"))
         offers = rows.join(hubs, "member").where("c <> hub.c").select(F.col("h").alias("guest"), F.col("hub.h").alias("hub"), "n", F.col("hub.n").alias("m")).where(fits)
-        counts = offers.groupBy("guest", "hub").count()
+        likely = F.col("count") * 10 * 100 >= F.col("n") * (100 - percent)  # a tenth of the prefix; the last step sees the others
+        counts = offers.groupBy("guest", "hub", "n").count().where(likely)
         chosen = counts.groupBy("guest").agg(F.max(F.struct("count", "hub")).alias("x")).select("x.hub", "guest")
         new = persisted(verified(persisted(chosen), sets, percent))
         found = new if found is None else persisted(found.unionByName(new))
