@@ -57,11 +57,13 @@ def prefix_length(size: np.ndarray, percent: int) -> np.ndarray:
     return size - -(-size * percent // 100) + 1
 
 
-def _sets(docs: DataFrame, n: int, schema: str, emit) -> DataFrame:
-    """``emit(ids, members, firsts)`` gives the columns for a run of rows of (doc_id, text)."""
+def _sets(docs: DataFrame, n: int, schema: str, emit, marks=None) -> DataFrame:
+    """``emit(ids, members, firsts)`` gives the columns for a run of rows of (doc_id, text), of those in ``marks`` if given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if marks is not None:
+                batch = batch.filter(pa.array(Marks.has(marks.value, batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64))))
             data, offsets = buffers(batch.column(1))
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             held = []
@@ -72,7 +74,7 @@ def _sets(docs: DataFrame, n: int, schema: str, emit) -> DataFrame:
                 columns = {c: [x[c] for x in held] for c in held[0]}
                 yield pa.RecordBatch.from_arrays([pa.concat_arrays(v) if isinstance(v[0], pa.Array) else pa.array(np.concatenate(v)) for v in columns.values()], names=list(columns))
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text", F.xxhash64("doc_id")).mapInArrow(run, schema)
 
 
 def head_of(ids: np.ndarray, members: np.ndarray, firsts: np.ndarray) -> np.ndarray:
@@ -112,22 +114,26 @@ def overlaps(hub: np.ndarray, guests: list[np.ndarray], percent: int) -> list[in
     return found
 
 
+def shortened(members: np.ndarray) -> bytes:
+    """The leading 40 bits of each member: two sets of thousands still share none by chance."""
+    return members.view(np.uint8).reshape(-1, 8)[:, 3:].tobytes()
+
+
+def lengthened(raw: bytes) -> np.ndarray:
+    wide = np.zeros((len(raw) // 5, 8), np.uint8)
+    wide[:, 3:] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+    return wide.view(np.uint64).ravel()
+
+
 def _stored_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """(h, members): the sets of the documents that ``wanted`` names, written once. The scan itself leaves the others out."""
     marks = docs.sparkSession.sparkContext.broadcast(Marks.of(wanted.select(F.xxhash64("doc_id").alias("h"))))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            batch = batch.filter(pa.array(Marks.has(marks.value, batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64))))
-            data, offsets = buffers(batch.column(1))
-            for first, last in slices(offsets, 1 << 20):
-                low, high = offsets[first], offsets[last]
-                members, firsts = gram_sets(data[low:high], offsets[first : last + 1] - low, n)
-                raw = [members[a:b].tobytes() for a, b in zip(firsts[:-1], firsts[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(head_of(members, members, firsts)), pa.array(raw, pa.binary())], names=["h", "members"])
+    def emit(ids, members, firsts):
+        return {"h": head_of(ids, members, firsts), "members": pa.array([shortened(members[a:b]) for a, b in zip(firsts[:-1], firsts[1:], strict=True)], pa.binary())}
 
-    sets = persisted(docs.select("doc_id", "text", F.xxhash64("doc_id")).mapInArrow(run, "h long, members binary"))
-    if sets.groupBy("h").count().where("count > 1").limit(1).count():  # rows that share an id, or ids a bit
+    sets = persisted(_sets(docs, n, "h long, members binary", emit, marks))
+    if sets.groupBy("h").count().where("count > 1").limit(1).count():  # rows that share an id, or ids that share a bit
         sets = persisted(sets.dropDuplicates(["h"]))
     return sets
 
@@ -152,7 +158,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     hubs = parts.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt")).withColumn("h", F.col("hub")).join(sets, "h")
 
     def run(keys: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        members = [np.frombuffer(b, np.uint64) for b in group["members"]]
+        members = [lengthened(b) for b in group["members"]]
         names = group["h"].tolist()
         own = names.index(keys[0])
         others = [i for i in range(len(names)) if i != own]
@@ -199,32 +205,33 @@ def links(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, Da
             row = row[keep]
             return {"member": taken[keep].view(np.int64), "h": head_of(ids, members, firsts)[row], "n": size[row].astype(np.int32)}
 
-        return _sets(docs, n, "h long" if marks is None else "member long, h long, n int", emit)
+        return _sets(docs, n, "h long" if marks is None else "member long, h long, n int", emit, firsts_of_sets)
 
+    firsts_of_sets = ship(Marks.of(heads.where("n > 0").groupBy("h").agg(F.min("doc_id").alias("doc_id")).select(F.xxhash64("doc_id").alias("h"))))
     met = ship(Marks.of(prefixes().groupBy("h").count().where("count > 1")))
-    bearers = persisted(prefixes(met).groupBy("member", "h").agg(F.first("n").alias("n")))
-    shared = persisted(bearers.join(bearers.groupBy("member").count().where("count > 1").select("member"), "member"))
+    bearers = persisted(prefixes(met))
+    hub = F.min(F.struct(F.xxhash64("h", F.lit(0)).alias("x"), "h", "n")).alias("hub")
+    hubs = bearers.groupBy("member").agg(hub, F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select("member", F.col("hub.h").alias("hub"), F.col("hub.n").alias("m"))
+    shared = persisted(bearers.join(hubs, "member"))
     wanted = heads.where("n > 0").join(shared.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.min("doc_id").alias("doc_id"))
     sets = _stored_sets(docs, wanted, n)
     found, labels = None, None
     fits = f"least(n, m) * 100 >= greatest(n, m) * {percent}"
 
-    def labelled() -> DataFrame:
-        if labels is None:
-            return shared.withColumn("c", F.col("h"))
-        return shared.join(labels, shared.h == labels.node, "left").select("member", "h", "n", F.coalesce("component", "h").alias("c"))
-
     def mixed() -> DataFrame:
         """Bearers of members that more than one component holds."""
-        rows = labelled()
+        rows = shared.join(labels, shared.h == labels.node, "left").select("member", "h", "n", F.coalesce("component", "h").alias("c"))
         return persisted(rows.join(rows.groupBy("member").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("member"), "member"))
 
     for turn in range(ROUNDS):
-        rows = shared.withColumn("c", F.col("h")) if labels is None else mixed()
-        hubs = rows.groupBy("member").agg(F.min(F.struct(F.xxhash64("h", F.lit(turn)).alias("x"), "h", "n", "c")).alias("hub"))
-        offers = rows.join(hubs, "member").where("c <> hub.c").select(F.col("h").alias("guest"), F.col("hub.h").alias("hub"), "n", F.col("hub.n").alias("m")).where(fits)
+        if labels is None:
+            offers = shared.where("h <> hub").withColumnRenamed("h", "guest")
+        else:
+            rows = mixed()
+            hubs = rows.groupBy("member").agg(F.min(F.struct(F.xxhash64("h", F.lit(turn)).alias("x"), "h", "n", "c")).alias("hub"))
+            offers = rows.join(hubs, "member").where("c <> hub.c").select(F.col("h").alias("guest"), F.col("hub.h").alias("hub"), "n", F.col("hub.n").alias("m"))
         likely = F.col("count") * 10 * 100 >= F.col("n") * (100 - percent)  # a tenth of the prefix; the last step sees the others
-        counts = offers.groupBy("guest", "hub", "n").count().where(likely)
+        counts = offers.where(fits).groupBy("guest", "hub", "n").count().where(likely)
         chosen = counts.groupBy("guest").agg(F.max(F.struct("count", "hub")).alias("x")).select("x.hub", "guest")
         new = persisted(verified(persisted(chosen), sets, percent))
         found = new if found is None else persisted(found.unionByName(new))
