@@ -1,0 +1,99 @@
+"""Names, flags and formatted text as column expressions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# Punctuation dropped from names, and generic tokens removed from them in this order.
+NAME_PUNCTUATION = r"(?U)[\s　·•,，.。:：;；!！?？'\"“”‘’()\[\]{}（）【】<>《》/\-|_+&＆]"
+GENERIC_TOKENS = ("上海市", "上海", "购物中心", "购物公园", "商场", "商业广场", "商业中心", "商业", "综合体", "广场", "中心", "项目", "一期", "二期", "三期", "mall", "max", "mega")
+
+
+def normalize_name(name: Column, tokens: tuple[str, ...] = GENERIC_TOKENS) -> Column:
+    out = F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), NAME_PUNCTUATION, "")
+    for token in tokens:
+        out = F.replace(out, F.lit(token), F.lit(""))
+    return out
+
+
+def compact(text: Column) -> Column:
+    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^0-9a-z一-鿿]+", "")
+
+
+def core_name(name: Column, cities: tuple[str, ...] = ("上海市", "上海")) -> Column:
+    out = F.regexp_replace(F.coalesce(name, F.lit("")), r"[（(].*?[）)]", "")
+    for city in cities:
+        out = F.replace(out, F.lit(city), F.lit(""))
+    return F.regexp_replace(out, r"(?U)\s+", "")
+
+
+def bigrams(text: Column) -> Column:
+    """Distinct pairs of neighbouring characters; one character stands for itself."""
+    n = F.length(text)
+    return F.when(n == 0, F.array().cast("array<string>")).when(n == 1, F.array(text)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(text, i, 2))))
+
+
+def characters(text: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(text, ""), lambda c: c != ""))
+
+
+def similarity(a: Column, b: Column, tokens: tuple[str, ...] = GENERIC_TOKENS) -> Column:
+    """Containment scores by relative length, else bigram overlap with a share of single characters."""
+    n1, n2 = normalize_name(a, tokens), normalize_name(b, tokens)
+    short, long = F.least(F.length(n1), F.length(n2)), F.greatest(F.length(n1), F.length(n2))
+    b1, b2 = bigrams(normalize_name(n1, tokens)), bigrams(normalize_name(n2, tokens))
+    dice = 2.0 * F.size(F.array_intersect(b1, b2)) / (F.size(b1) + F.size(b2))
+    shared = F.size(F.array_intersect(characters(n1), characters(n2))) / F.size(characters(n1))
+    mixed = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.78 * dice + 0.22 * shared))
+    return (
+        F.when((n1 == "") | (n2 == ""), F.lit(0.0))
+        .when(F.contains(n2, n1) | F.contains(n1, n2), F.least(F.lit(1.0), 0.72 + 0.28 * short / long))
+        .when((F.size(b1) == 0) | (F.size(b2) == 0), F.lit(0.0))
+        .otherwise(mixed)
+    )
+
+
+def first_filled(*columns: Column) -> Column:
+    """First value that isn't null or blank, trimmed."""
+    return F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in columns])
+
+
+def to_int(text: Column, default: int = 0) -> Column:
+    """Lenient: decimals are cut, what can't be read is the default."""
+    number = text.try_cast("double")
+    return F.coalesce(F.when(~F.isnan(number), number).try_cast("bigint"), F.lit(default))
+
+
+def to_float(text: Column) -> Column:
+    """Null where it can't be read or isn't a number."""
+    number = text.try_cast("double")
+    return F.when(~F.isnan(number), number)
+
+
+def has_any(text: Column, hints: tuple[str, ...]) -> Column:
+    return F.coalesce(F.exists(F.array(*[F.lit(h.lower()) for h in hints]), lambda h: F.contains(F.lower(text), h)), F.lit(False))
+
+
+def flags(*pairs: tuple[Column, str]) -> Column:
+    """Names of the conditions that hold, in order."""
+    return F.array_compact(F.array(*[F.when(c, F.lit(name)) for c, name in pairs]))
+
+
+def safe_file_name(text: Column, most: int = 120) -> Column:
+    return F.coalesce(F.nullif(F.left(F.trim(F.regexp_replace(text, r"[^0-9A-Za-z一-鿿._-]+", "_")), F.lit(most)), F.lit("")), F.lit("unnamed"))
+
+
+def slug(text: Column, ordinal: Column) -> Column:
+    out = F.regexp_replace(F.regexp_replace(F.lower(text), r"[^0-9a-z一-鿿]+", "_"), r"^_+|_+$", "")
+    return F.coalesce(F.nullif(out, F.lit("")), F.concat(F.lit("item_"), F.lpad(ordinal.cast("string"), 4, "0")))
+
+
+def location_part(text: Column, index: int) -> Column:
+    """Number ``index`` of a "lon,lat" text."""
+    return F.get(F.split(text, ",", 2), F.lit(index)).try_cast("double")
+
+
+def capped_notes(notes: Column, most: int = 8) -> Column:
+    rest = F.size(notes) - most
+    return F.array_join(F.when(rest > 0, F.concat(F.slice(notes, 1, most), F.array(F.concat(F.lit("...+"), rest.cast("string"))))).otherwise(notes), "; ")

@@ -1,0 +1,59 @@
+"""Table operators: latest rows, upserts, queues, ordered analytics."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """The row of each key that comes first in a total order."""
+    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+
+
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: Column) -> DataFrame:
+    """Rows of both, where the last in ``order`` wins for a key and new ones win ties."""
+    both = old.withColumn("_side", F.lit(0)).unionByName(new.withColumn("_side", F.lit(1)), allowMissingColumns=True)
+    return first_per_key(both, keys, [F.desc("_side"), order.desc()]).drop("_side")
+
+
+def insert_or_ignore(df: DataFrame, unique: list[str], order: list[Column]) -> DataFrame:
+    """The first row of each tuple; a tuple with a null is never a duplicate."""
+    whole = ~F.lit(False)
+    for c in unique:
+        whole = whole & F.col(c).isNotNull()
+    n = F.row_number().over(Window.partitionBy(*unique).orderBy(*order))
+    return df.withColumn("_n", n).where(~whole | (F.col("_n") == 1)).drop("_n")
+
+
+def frequency(df: DataFrame, key: str) -> DataFrame:
+    return df.groupBy(key).agg(F.count("*").alias("n"))
+
+
+def fixed_domain(df: DataFrame, key: str, domain: list[str]) -> DataFrame:
+    """Counts over ``domain``, zeros included. The domain is a literal list."""
+    rows = df.sparkSession.createDataFrame([(d,) for d in domain], f"{key} string")
+    return rows.join(frequency(df, key), key, "left").select(key, F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def resume(source: DataFrame, done: DataFrame, key: str) -> DataFrame:
+    return source.join(done.select(key).distinct(), key, "left_anti")
+
+
+def agreement(sites: DataFrame, group: str, radius_m: float, distance) -> DataFrame:
+    """Pairs of rows in a group from different providers within ``radius_m``.
+
+    ``distance`` builds the metres between two rows' coordinates. Rows meet only in the same or the next latitude band of
+    ``radius_m``, so that a large group isn't compared whole.
+    """
+    band = F.floor(F.col("lat") * 111_000.0 / radius_m)
+    left = sites.withColumn("_band", band)
+    right = sites.select([F.col(c).alias(f"other_{c}") for c in sites.columns]).withColumn("_band", F.explode(F.array(*[F.floor(F.col("other_lat") * 111_000.0 / radius_m) + i for i in (-1, 0, 1)])))
+    joined = left.join(right, (F.col(group) == F.col(f"other_{group}")) & (left["_band"] == right["_band"]) & (F.col("provider") != F.col("other_provider")))
+    return joined.where(distance(F.col("lon"), F.col("lat"), F.col("other_lon"), F.col("other_lat")) <= radius_m).drop("_band")
+
+
+def early_stop(df: DataFrame, keys: list[str], order: list[Column], stop: Column) -> DataFrame:
+    """Rows of each key up to and with the first at which ``stop`` holds."""
+    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return df.withColumn("_s", F.coalesce(F.max(stop.cast("int")).over(before), F.lit(0))).where("_s = 0").drop("_s")
