@@ -11,8 +11,10 @@ more bytes until a name is unique or ``length`` bytes are named. Here
    anchors by name; unique ones drop out.
 3. round two names all the bytes of the windows that chose the anchor. If all bearers of a name agree, each but the
    first is a repeat in all its windows and needs no further round.
-4. the rest, at the edges of repeated passages, go to round three: each of their windows is named by its ``length``
-   bytes, which is the threshold; the earliest bearer stays and the others are repeats.
+4. the rest is named anew by the bytes that neighbouring windows share (``STEP`` starts, 85 of 100 bytes): unique ones drop
+   out, and those that agree on all bytes are resolved as in round two.
+5. what is left, at the edges of repeated passages, is named window by window by its ``length`` bytes, which is the
+   threshold; the earliest bearer stays and the others are repeats.
 
 Between rounds a bitmap of fixed size tells the scan which names go on, so that only those rows, and only texts that lose
 bytes, are shuffled; what it lets through in error is dropped by the exact step after it. The first round's name and
@@ -42,6 +44,7 @@ LENGTH = 100
 ANCHOR = 32
 BLOCK = 1 << 15
 ROWS = 1 << 17
+STEP = 16
 _FAR = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -113,8 +116,72 @@ def _scan(docs: DataFrame, length: int, k: int, schema: str, emit) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+def _blocks(part: np.ndarray, found: tuple[np.ndarray, ...], length: int) -> tuple[np.ndarray, ...]:
+    """As ``anchors``, but a row for each run of windows whose distance to the anchor falls in one block of ``STEP``; named by the bytes that they share."""
+    row, anchor, low, high, name, _ = found
+    sums, out = prefix_hash(part), []
+    for j, near in enumerate(range(0, length, STEP)):
+        most, least = np.minimum(anchor - low, near + STEP - 1), np.maximum(anchor - high, near)
+        at = np.flatnonzero(most >= least)
+        if len(at):
+            a, first, last = anchor[at], anchor[at] - most[at], anchor[at] - least[at]
+            core = span_hash(sums, a - near, a - near - STEP + 1 + length)
+            whole = span_hash(sums, first, last + length) ^ mix(most[at].astype(np.uint64))
+            out.append((row[at], a, first, last, mix(core + mix(name[at] + np.uint64(j + 1))), whole))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else found
+
+
+def _windows(part: np.ndarray, found: tuple[np.ndarray, ...], length: int) -> tuple[np.ndarray, ...]:
+    """A row for each window, named by all its bytes and by what it stood under."""
+    row, anchor, low, high, name, _ = found
+    size = high - low + 1
+    start = np.repeat(low, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    own = span_hash(prefix_hash(part), start, start + length)
+    return np.repeat(row, size), np.repeat(anchor, size), start, start, mix(own + np.repeat(name, size)), own
+
+
+def _narrowing(split, marks: list, last):
+    """The rows of a block of text that pass all ``marks``: the first two are about anchors, the others about what ``split`` makes of them."""
+
+    def narrowed(part: np.ndarray, found: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+        for i, m in enumerate(marks):
+            if i == 2:
+                found = split(part, found)
+            found = tuple(x[Marks.has(m.value, found[4])] for x in found)
+        if split is not None and len(marks) == 2:
+            found = split(part, found)
+        return found if last is None else last(part, found)
+
+    return narrowed
+
+
+class _Level:
+    """One round: rows of windows that share a name, from a scan that lets through what ``marks`` of earlier rounds hold."""
+
+    def __init__(self, docs: DataFrame, length: int, k: int, split, marks: list, last=None):
+        self.args, self.narrowed = (docs, length, k), _narrowing(split, marks, last)
+
+    def names(self) -> DataFrame:
+        narrowed = self.narrowed
+        return _scan(*self.args, "h long", lambda ids, skipped, at, part, found: {"h": narrowed(part, found)[4].view(np.int64)})
+
+    def resolve(self) -> tuple[DataFrame, object]:
+        """(doc_id, low, high) of the repeats where all bearers of a name agree on all bytes, and marks of the other names."""
+        narrowed = self.narrowed
+
+        def bearers(ids, skipped, at, part, found):
+            row, _, low, high, name, whole = narrowed(part, found)
+            return {"name": name.view(np.int64), "whole": whole.view(np.int64), "doc_id": ids[row], "low": skipped + low - at[row], "more": (high - low).astype(np.int32)}
+
+        rows = persisted(_scan(*self.args, "name long, whole long, doc_id long, low long, more int", bearers))
+        groups = persisted(rows.groupBy("name").agg(F.count("*").alias("n"), F.min("whole").alias("least"), F.max("whole").alias("most"), F.min(F.struct("doc_id", "low")).alias("first")).where("n > 1"))
+        same = groups.where("least = most").select("name", "first")
+        repeats = rows.join(same, "name").where(F.struct("doc_id", "low") != F.col("first")).select("doc_id", "low", (F.col("low") + F.col("more")).alias("high"))
+        return repeats, rows.sparkSession.sparkContext.broadcast(Marks.of(groups.where("least <> most").select(F.col("name").alias("h"))))
+
+
 def repeated_windows(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> DataFrame:
-    """(doc_id, low, high): every window start in low..high repeats an earlier one. ``docs`` has unique ids and is read three times."""
+    """(doc_id, low, high): every window start in low..high repeats an earlier one. ``docs`` has unique ids and is read in each round."""
     spark = docs.sparkSession
     ship = spark.sparkContext.broadcast
     names = _scan(docs, length, k, "h long", lambda ids, skipped, at, part, a: {"h": a[4].view(np.int64)})
@@ -124,23 +191,14 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) ->
         row, anchor, low, high, name, whole = (x[Marks.has(shared.value, found[4])] for x in found)
         return {"name": name.view(np.int64), "whole": whole.view(np.int64), "doc_id": ids[row], "low": skipped + low - at[row], "more": (high - low).astype(np.int32)}
 
-    found = persisted(_scan(docs, length, k, "name long, whole long, doc_id long, low long, more int", bearers))
-    groups = found.groupBy("name").agg(F.count("*").alias("n"), F.min("whole").alias("least"), F.max("whole").alias("most"), F.min(F.struct("doc_id", "low")).alias("first")).where("n > 1")
-    groups = persisted(groups)
-    agreed = found.join(groups.where("least = most").select("name", "first"), "name").where(F.struct("doc_id", "low") != F.col("first")).select("doc_id", "low", (F.col("low") + F.col("more")).alias("high"))
-    open_names = ship(Marks.of(groups.where("least <> most").select(F.col("name").alias("h"))))
-
-    def windows(ids, skipped, at, part, found):
-        row, anchor, low, high, name, whole = (x[Marks.has(open_names.value, found[4])] for x in found)
-        size = high - low + 1
-        start = np.repeat(low, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        row = np.repeat(row, size)
-        return {"window": span_hash(prefix_hash(part), start, start + length).view(np.int64), "name": np.repeat(name, size).view(np.int64), "doc_id": ids[row], "low": skipped + start - at[row]}
-
-    each = persisted(_scan(docs, length, k, "window long, name long, doc_id long, low long", windows))
-    first = each.groupBy("window", "name").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "low")).alias("first")).where("n > 1").drop("n")
-    again = each.join(first, ["window", "name"]).where(F.struct("doc_id", "low") != F.col("first")).select("doc_id", "low", F.col("low").alias("high"))
-    return agreed.unionByName(again)
+    agreed, disputed = _Level(docs, length, k, None, [shared]).resolve()
+    # windows of one anchor that start within STEP bytes share a core: all but STEP - 1 of their bytes
+    cores = lambda part, found: _blocks(part, found, length)
+    some = ship(Marks.of(_Level(docs, length, k, cores, [shared, disputed]).names().groupBy("h").count().where("count > 1")))
+    agreed_cores, disputed_cores = _Level(docs, length, k, cores, [shared, disputed, some]).resolve()
+    ends = lambda part, found: _windows(part, found, length)
+    agreed_windows, _ = _Level(docs, length, k, cores, [shared, disputed, disputed_cores], ends).resolve()
+    return agreed.unionByName(agreed_cores).unionByName(agreed_windows)
 
 
 def merged(low: np.ndarray, high: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
