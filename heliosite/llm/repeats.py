@@ -9,14 +9,15 @@ more bytes until a name is unique or ``length`` bytes are named. Here
 2. round one names ``k`` bytes at anchors only: in each ``length``-byte window, the leftmost position whose k-byte hash
    is smallest. Equal windows choose equal anchors, so a window repeats only if its anchor's name does. Spark sorts the
    anchors by name; unique ones drop out.
-3. round two names all the bytes of the windows that chose the anchor. If all bearers of a name agree, each but the
-   first is a repeat in all its windows and needs no further round.
-4. the rest is named anew by the bytes that neighbouring windows share (``STEP`` starts, 85 of 100 bytes): unique ones drop
-   out, and those that agree on all bytes are resolved as in round two.
+3. round two names all the bytes of the windows that chose the anchor. Each bearer but the first of equal bytes is a
+   repeat in all its windows and needs no further round. The first ones go on where their anchor's name has others.
+4. what goes on is named anew by the bytes that neighbouring windows share (``STEP`` starts, 85 of 100 bytes): unique ones
+   drop out, and those that agree on all bytes are resolved as in round two.
 5. what is left, at the edges of repeated passages, is named window by window by its ``length`` bytes, which is the
-   threshold; the earliest bearer stays and the others are repeats.
+   threshold; the earliest bearer stays and the others are repeats. Rounds that see only the first of equal runs lose
+   nothing, as whatever repeats a later one repeats the first.
 
-Between rounds a bitmap of fixed size tells the scan which names go on, so that only those rows, and only texts that lose
+Between rounds a bitmap of fixed size tells the scan which names and places go on, so that only those rows, and only texts that lose
 bytes, are shuffled; what it lets through in error is dropped by the exact step after it. The first round's name and
 the last are independent hashes, together 128 bits.
 
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heliosite.llm.marks import Marks
-from heliosite.llm.storage import persisted
+from heliosite.llm.storage import discarded, persisted, shuffles_dropped
 from heliosite.llm.texts import buffers, mix, prefix_hash, slices, span_hash
 
 LENGTH = 100
@@ -140,65 +141,90 @@ def _windows(part: np.ndarray, found: tuple[np.ndarray, ...], length: int) -> tu
     return np.repeat(row, size), np.repeat(anchor, size), start, start, mix(own + np.repeat(name, size)), own
 
 
-def _narrowing(split, marks: list, last):
-    """The rows of a block of text that pass all ``marks``: the first two are about anchors, the others about what ``split`` makes of them."""
+def _place(ids: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """A hash of a run's document and first window."""
+    return mix(mix(ids.astype(np.int64).view(np.uint64)) + low.astype(np.int64).view(np.uint64))
 
-    def narrowed(part: np.ndarray, found: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
-        for i, m in enumerate(marks):
-            if i == 2:
-                found = split(part, found)
-            found = tuple(x[Marks.has(m.value, found[4])] for x in found)
-        if split is not None and len(marks) == 2:
-            found = split(part, found)
-        return found if last is None else last(part, found)
 
-    return narrowed
+def _by_name(marks):
+    return lambda ids, skipped, at, part, found: tuple(x[Marks.has(marks.value, found[4])] for x in found)
+
+
+def _by_place(marks):
+    def kept(ids, skipped, at, part, found):
+        keep = Marks.has(marks.value, _place(ids[found[0]], skipped + found[2] - at[found[0]]))
+        return tuple(x[keep] for x in found)
+
+    return kept
+
+
+def _split(f, length: int):
+    return lambda ids, skipped, at, part, found: f(part, found, length)
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids, low = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        yield pa.RecordBatch.from_arrays([pa.array(_place(ids, low).view(np.int64))], names=["h"])
 
 
 class _Level:
-    """One round: rows of windows that share a name, from a scan that lets through what ``marks`` of earlier rounds hold."""
+    """One round: rows of windows that share a name, from a scan whose ``steps`` leave out what earlier rounds settled."""
 
-    def __init__(self, docs: DataFrame, length: int, k: int, split, marks: list, last=None):
-        self.args, self.narrowed = (docs, length, k), _narrowing(split, marks, last)
+    def __init__(self, docs: DataFrame, length: int, k: int, steps: list):
+        self.args, self.steps = (docs, length, k), steps
 
-    def names(self) -> DataFrame:
-        narrowed = self.narrowed
-        return _scan(*self.args, "h long", lambda ids, skipped, at, part, found: {"h": narrowed(part, found)[4].view(np.int64)})
+    def _found(self):
+        steps = self.steps
 
-    def resolve(self) -> tuple[DataFrame, object]:
-        """(doc_id, low, high) of the repeats where all bearers of a name agree on all bytes, and marks of the other names."""
-        narrowed = self.narrowed
+        def narrowed(ids, skipped, at, part, found):
+            for step in steps:
+                found = step(ids, skipped, at, part, found)
+            return found
+
+        return narrowed
+
+    def shared(self):
+        """Marks of the names that more than one row bears."""
+        narrowed = self._found()
+        docs = self.args[0]
+        names = _scan(*self.args, "h long", lambda *block: {"h": narrowed(*block)[4].view(np.int64)})
+        with shuffles_dropped(docs.sparkSession):
+            return docs.sparkSession.sparkContext.broadcast(Marks.of(names.groupBy("h").count().where("count > 1")))
+
+    def resolve(self, further: bool = True) -> tuple[DataFrame, object]:
+        """(doc_id, low, high) of the rows that agree with an earlier one on all bytes, and marks of the places of those that agree with none before, but bear a name with others."""
+        narrowed = self._found()
 
         def bearers(ids, skipped, at, part, found):
-            row, _, low, high, name, whole = narrowed(part, found)
+            row, _, low, high, name, whole = narrowed(ids, skipped, at, part, found)
             return {"name": name.view(np.int64), "whole": whole.view(np.int64), "doc_id": ids[row], "low": skipped + low - at[row], "more": (high - low).astype(np.int32)}
 
         rows = persisted(_scan(*self.args, "name long, whole long, doc_id long, low long, more int", bearers))
-        groups = persisted(rows.groupBy("name").agg(F.count("*").alias("n"), F.min("whole").alias("least"), F.max("whole").alias("most"), F.min(F.struct("doc_id", "low")).alias("first")).where("n > 1"))
-        same = groups.where("least = most").select("name", "first")
-        repeats = rows.join(same, "name").where(F.struct("doc_id", "low") != F.col("first")).select("doc_id", "low", (F.col("low") + F.col("more")).alias("high"))
-        return repeats, rows.sparkSession.sparkContext.broadcast(Marks.of(groups.where("least <> most").select(F.col("name").alias("h"))))
+        kinds = persisted(rows.groupBy("name", "whole").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "low")).alias("first")))
+        copies = kinds.where("n > 1").select("name", "whole", "first")
+        repeats = persisted(rows.join(copies, ["name", "whole"]).where(F.struct("doc_id", "low") != F.col("first")).select("doc_id", "low", (F.col("low") + F.col("more")).alias("high")))
+        marks = None
+        if further:
+            several = kinds.groupBy("name").agg(F.min("whole").alias("least"), F.max("whole").alias("most")).where("least <> most").select("name")
+            places = kinds.join(several, "name").select("first.doc_id", "first.low").mapInArrow(_placed, "h long")
+            with shuffles_dropped(rows.sparkSession):
+                marks = rows.sparkSession.sparkContext.broadcast(Marks.of(places))
+        discarded(rows, kinds)
+        return repeats, marks
 
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> DataFrame:
     """(doc_id, low, high): every window start in low..high repeats an earlier one. ``docs`` has unique ids and is read in each round."""
-    spark = docs.sparkSession
-    ship = spark.sparkContext.broadcast
-    names = _scan(docs, length, k, "h long", lambda ids, skipped, at, part, a: {"h": a[4].view(np.int64)})
-    shared = ship(Marks.of(names.groupBy("h").count().where("count > 1")))
-
-    def bearers(ids, skipped, at, part, found):
-        row, anchor, low, high, name, whole = (x[Marks.has(shared.value, found[4])] for x in found)
-        return {"name": name.view(np.int64), "whole": whole.view(np.int64), "doc_id": ids[row], "low": skipped + low - at[row], "more": (high - low).astype(np.int32)}
-
-    agreed, disputed = _Level(docs, length, k, None, [shared]).resolve()
+    steps = [_by_name(_Level(docs, length, k, []).shared())]
+    found, disputed = _Level(docs, length, k, steps).resolve()
     # windows of one anchor that start within STEP bytes share a core: all but STEP - 1 of their bytes
-    cores = lambda part, found: _blocks(part, found, length)
-    some = ship(Marks.of(_Level(docs, length, k, cores, [shared, disputed]).names().groupBy("h").count().where("count > 1")))
-    agreed_cores, disputed_cores = _Level(docs, length, k, cores, [shared, disputed, some]).resolve()
-    ends = lambda part, found: _windows(part, found, length)
-    agreed_windows, _ = _Level(docs, length, k, cores, [shared, disputed, disputed_cores], ends).resolve()
-    return agreed.unionByName(agreed_cores).unionByName(agreed_windows)
+    steps = [*steps, _by_place(disputed), _split(_blocks, length)]
+    steps = [*steps, _by_name(_Level(docs, length, k, steps).shared())]
+    found_cores, disputed = _Level(docs, length, k, steps).resolve()
+    steps = [*steps, _by_place(disputed), _split(_windows, length)]
+    found_windows, _ = _Level(docs, length, k, steps).resolve(further=False)
+    return found.unionByName(found_cores).unionByName(found_windows)
 
 
 def merged(low: np.ndarray, high: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -216,7 +242,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, with_
     if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
         docs = persisted(docs.groupBy("doc_id").agg(F.concat_ws("", F.array_sort(F.collect_set("text"))).alias("text")))
     docs = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    runs = persisted(repeated_windows(docs, length, k).groupBy("doc_id").agg(F.collect_list("low").alias("low"), F.collect_list("high").alias("high")))
+    found = repeated_windows(docs, length, k)
+    runs = persisted(found.groupBy("doc_id").agg(F.collect_list("low").alias("low"), F.collect_list("high").alias("high")))
+    discarded(found)
     touched = spark.sparkContext.broadcast(Marks.of(runs.select(F.xxhash64("doc_id").alias("h"))))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,14 +22,39 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/heliosite-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Queries run in here delete their own shuffle files when they end, not when the driver collects its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def persisted(df: DataFrame, folder: str | None = None) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: lineage ends there, so a lost executor costs a reread."""
     spark = df.sparkSession
     path = folder or shared_dir(spark)
-    df.write.mode("overwrite").parquet(path)
+    with shuffles_dropped(spark):
+        df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discarded(*tables: DataFrame) -> None:
+    """Delete tables that ``persisted`` wrote and nothing reads any more."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        for folder in {os.path.dirname(f) for f in df.inputFiles()}:
+            path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def open_filesystem(uri: str):
     """(pyarrow filesystem, path in it) for a shared folder's URI, usable inside tasks."""
     from pyarrow import fs
