@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from heliosite.llm.components import components
 from heliosite.llm.marks import Marks
-from heliosite.llm.storage import persisted
+from heliosite.llm.storage import discarded, persisted, shuffles_dropped
 from heliosite.llm.texts import buffers, mix, sequences, slices, word_hashes
 
 COMMON = 1 << 16
@@ -172,7 +172,8 @@ def _common(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     """At most ``COMMON`` frequent n-grams (rising) and their ranks, from a sixteenth of the documents. The order that they give changes costs, not results."""
     part = docs.where(F.pmod(F.xxhash64("text"), F.lit(16)) == 0)
     often = _sets(part, n, "member long", lambda ids, members, firsts: {"member": members.view(np.int64)}).groupBy("member").count().where("count >= 4")
-    names = np.array([r["member"] for r in often.orderBy(F.desc("count"), "member").limit(COMMON).collect()], np.int64).view(np.uint64)
+    with shuffles_dropped(docs.sparkSession):
+        names = np.array([r["member"] for r in often.orderBy(F.desc("count"), "member").limit(COMMON).collect()], np.int64).view(np.uint64)
     by = np.argsort(names)
     return names[by], (len(names) - np.arange(len(names)))[by]
 
@@ -208,11 +209,13 @@ def links(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, Da
         return _sets(docs, n, "h long" if marks is None else "member long, h long, n int", emit, firsts_of_sets)
 
     firsts_of_sets = ship(Marks.of(heads.where("n > 0").groupBy("h").agg(F.min("doc_id").alias("doc_id")).select(F.xxhash64("doc_id").alias("h"))))
-    met = ship(Marks.of(prefixes().groupBy("h").count().where("count > 1")))
+    with shuffles_dropped(docs.sparkSession):
+        met = ship(Marks.of(prefixes().groupBy("h").count().where("count > 1")))
     bearers = persisted(prefixes(met))
     hub = F.min(F.struct(F.xxhash64("h", F.lit(0)).alias("x"), "h", "n")).alias("hub")
     hubs = bearers.groupBy("member").agg(hub, F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select("member", F.col("hub.h").alias("hub"), F.col("hub.n").alias("m"))
     shared = persisted(bearers.join(hubs, "member"))
+    discarded(bearers)
     wanted = heads.where("n > 0").join(shared.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.min("doc_id").alias("doc_id"))
     sets = _stored_sets(docs, wanted, n)
     found, labels = None, None
@@ -224,6 +227,7 @@ def links(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, Da
         return persisted(rows.join(rows.groupBy("member").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("member"), "member"))
 
     for turn in range(ROUNDS):
+        rows = None
         if labels is None:
             offers = shared.where("h <> hub").withColumnRenamed("h", "guest")
         else:
@@ -233,17 +237,21 @@ def links(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, Da
         likely = F.col("count") * 10 * 100 >= F.col("n") * (100 - percent)  # a tenth of the prefix; the last step sees the others
         counts = offers.where(fits).groupBy("guest", "hub", "n").count().where(likely)
         chosen = counts.groupBy("guest").agg(F.max(F.struct("count", "hub")).alias("x")).select("x.hub", "guest")
-        new = persisted(verified(persisted(chosen), sets, percent))
+        chosen = persisted(chosen)
+        new = persisted(verified(chosen, sets, percent))
+        discarded(*([chosen] if rows is None else [chosen, rows]))
         found = new if found is None else persisted(found.unionByName(new))
         labels = components(found, "hub", "guest")
     side = mixed()
+    discarded(shared)
     left, right = side.select("member", F.col("h").alias("hub"), "n", "c"), side.select("member", F.col("h").alias("guest"), F.col("n").alias("m"), F.col("c").alias("d"))
     # the set whose prefix ends first has met the other in all its prefix: beyond those k members, only what it has left can be shared
     asked = f"ceil({percent} * (n + m) / {100 + percent})"
     reach = f"k + greatest(ceil(n * {percent} / 100), ceil(m * {percent} / 100)) - 1 >= {asked}"
     met_often = left.join(right, "member").where("hub < guest and c <> d").where(fits).groupBy("hub", "guest", "n", "m").agg(F.count("*").alias("k"))
     rest = persisted(met_often.where(reach).select("hub", "guest"))
-    return heads, found.unionByName(verified(rest, sets, percent))
+    discarded(side)
+    return heads, persisted(found.unionByName(verified(rest, sets, percent)))
 
 
 def groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
