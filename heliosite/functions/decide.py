@@ -117,3 +117,45 @@ def center_default(manual: Column, automatic: Column) -> Column:
 
 def append_once(reason: Column, note: str) -> Column:
     return F.when(F.coalesce(reason, F.lit("")) == "", F.lit(note)).when(F.contains(reason, F.lit(note)), reason).otherwise(F.concat(reason, F.lit("; "), F.lit(note)))
+
+
+def analysis_ready(flag: Column, level: Column) -> Column:
+    """An explicit flag decides, else levels A and B; false where both are blank."""
+    flag, level = F.lower(F.trim(F.coalesce(flag, F.lit("")))), F.upper(F.trim(F.coalesce(level, F.lit(""))))
+    return F.when(flag != "", flag.isin("1", "true", "yes", "y")).otherwise(level.isin("A", "B"))
+
+
+def semantic_decision(positive: Column, negative: Column, least: float = -4.0, passes: float = 2.0, reviews: float = 0.0) -> Column:
+    delta = positive - negative
+    return F.when((positive >= least) & (delta >= passes), "pass").when(delta >= reviews, "review").otherwise("reject")
+
+
+def softmax_share(positive: Column, negative: Column) -> Column:
+    """The share of the positive logits in the softmax over both arrays."""
+    top = F.greatest(F.array_max(positive), F.array_max(negative)).cast("double")
+    total = lambda xs: F.aggregate(F.transform(xs, lambda x: F.exp(x.cast("double") - top)), F.lit(0.0), lambda s, x: s + x)
+    return total(positive) / (total(positive) + total(negative))
+
+
+def semantic_keep(delta: Column, share: Column, least_delta: float = 0.04, least_share: float = 0.46) -> Column:
+    return (delta >= least_delta) & (share >= least_share)
+
+
+def pv_decision(pixels: Column, coverage: Column, components: Column, score: Column, least_pixels: int, least_coverage: float) -> tuple[Column, Column]:
+    """(has_pv, confidence); the confidence of a negative stays under one half."""
+    has_pv = (pixels >= least_pixels) & (coverage >= least_coverage) & ((components >= 2) | (coverage >= least_coverage * 3))
+    full = lambda share: F.least(share, F.lit(1.0))
+    confidence = F.least(F.lit(0.98), 0.2 + 0.35 * full(pixels / max(least_pixels, 1)) + 0.25 * full(coverage / max(least_coverage, 1e-9)) + 0.2 * score)
+    return has_pv, F.when(has_pv, confidence).otherwise(F.least(confidence, F.lit(0.49)))
+
+
+def visual_consistency(mall: Column, negative: Column, quality: Column) -> Column:
+    """pass, review or reject, from image scores and an earlier verdict of the same three names."""
+    delta, passed = mall - negative, quality == "pass"
+    return (
+        F.when(quality == "reject", "reject")
+        .when((delta >= 0.08) & (mall >= 0.55) & passed, "pass")
+        .when((delta >= 0.02) & (mall >= 0.50), F.when(passed, "pass").otherwise("review"))
+        .when((delta >= -0.08) | (mall >= 0.40), "review")
+        .otherwise("reject")
+    )

@@ -133,3 +133,13 @@ def centroid(ring: Column) -> tuple[Column, Column]:
     twice = add(lambda e: e["c"])
     flat = (n < 3) | (F.abs(twice / 2) < 1e-6)
     return tuple(F.when(flat, mean(k)).otherwise(add(lambda e, k=k: (e["a"][k] + e["b"][k]) * e["c"]) / (3 * twice)) for k in ("x", "y"))
+
+
+def tile_cover(lon: Column, lat: Column, size_px: int, zoom: int) -> Column:
+    """Array of (tile_x, tile_y) of the map tiles under a square crop around a point; rows beyond the map are cut."""
+    x, y = to_pixel(lon, lat, zoom)
+    first = lambda v: F.floor((v - size_px / 2) / 256).cast("long")
+    last = lambda v: F.floor((v + size_px / 2 - 1) / 256).cast("long")
+    columns = F.sequence(first(x), last(x))
+    lines = F.sequence(F.greatest(first(y), F.lit(0)), F.least(last(y), F.lit(2**zoom - 1)))
+    return F.flatten(F.transform(columns, lambda i: F.transform(lines, lambda j: F.struct(i.alias("tile_x"), j.alias("tile_y")))))

@@ -97,3 +97,18 @@ def location_part(text: Column, index: int) -> Column:
 def capped_notes(notes: Column, most: int = 8) -> Column:
     rest = F.size(notes) - most
     return F.array_join(F.when(rest > 0, F.concat(F.slice(notes, 1, most), F.array(F.concat(F.lit("...+"), rest.cast("string"))))).otherwise(notes), "; ")
+
+
+def mask_stem(stem: Column) -> Column:
+    """Lower case, each kind of suffix cut once, in this order."""
+    out = F.lower(stem)
+    for kind in ("label", "mask", "gt"):
+        for mark in "_-":
+            out = F.regexp_replace(out, f"{mark}{kind}$", "")
+    return out
+
+
+def keyword_hits(keywords: tuple[str, ...], *columns: Column) -> Column:
+    """The keywords that the columns' joined text holds, with pipes between."""
+    whole = F.concat_ws(" ", *columns)
+    return F.array_join(F.filter(F.array(*[F.lit(k) for k in keywords]), lambda k: F.contains(whole, k)), "|")

@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from heliosite.plans import bindings
+from heliosite.plans import bindings, screening  # noqa: F401
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
