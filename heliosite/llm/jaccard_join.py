@@ -1,7 +1,7 @@
 """Exact Jaccard self-join of word n-gram sets through prefix trees, and the groups that its links form.
 
 Sets hold 64-bit hashes in one global order: common n-grams last (``COMMON`` of them are told apart, the most frequent
-first counted over all documents), else by hash. Two sets of size m <= n can reach ``percent`` only if m * 100 >= n *
+in a sixteenth of the documents, chosen by a hash of the text), else by hash. The order changes costs only, not results. Two sets of size m <= n can reach ``percent`` only if m * 100 >= n *
 percent and if their prefixes, the first n - ceil(n * percent / 100) + 1 members, meet. So
 
 1. equal sets become one vertex (copies need no pairs);
