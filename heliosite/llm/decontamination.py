@@ -3,8 +3,9 @@
 A text becomes tokens: runs of letters and digits, lower-cased. Numbers, units of measure and names (capitalised inside a
 sentence, but not in capitals throughout) become typed placeholders, runs of one type being one. Windows of ``WINDOW`` template tokens of the documents
 are hash-joined with those of the benchmark; an item with fewer tokens has one window of all. A match counts if at least
-half its window is literal and its slots are consistent: over all matches of an item at one place, one value of the
-item always stands for one value in the document, and different ones for different ones.
+half its window is literal and its slots have the item's own values, or else are consistent: over all matches of an item
+at one place with other values, one value of the item always stands for one value in the document, and different ones
+for different ones. A run of slots at the item's edge isn't compared where it goes on in the document past that edge.
 
 The benchmark's window hashes go to the workers as a sorted array if there are at most ``MOST_SHIPPED`` (32 MB), so that
 only matching windows are shuffled; beyond that, all windows go through the shuffle join.
@@ -55,8 +56,8 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def templates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(template tokens, slot values, tokens before each row). A literal is its own value; values of a run are folded into one."""
+def templates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(template tokens, slot values, lengths of their runs, tokens before each row). A literal is its own value; values of a run are folded into one."""
     n = len(data)
     ink = _ALNUM[data]
     before, after = np.zeros(n, bool), np.zeros(n, bool)
@@ -65,7 +66,7 @@ def templates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     after[offsets[1:][offsets[1:] > 0] - 1] = False
     start, end = np.flatnonzero(ink & ~before), np.flatnonzero(ink & ~after) + 1
     if not len(start):
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
     value = span_hash(prefix_hash(lowered(data)), start, end)
     digits, stops, caps = (np.concatenate([[0], np.cumsum(t[data], dtype=np.int64)]) for t in (_DIGIT, _STOP, _UPPER_OR_DIGIT))
     row = np.searchsorted(offsets, start, "right") - 1
@@ -81,7 +82,7 @@ def templates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     run = np.cumsum(first) - 1
     place = (np.arange(len(token)) - at[run]).astype(np.uint64)
     folded = np.add.reduceat(np.where(place > 0, mix(value + place), value), at)
-    return token[at], folded, np.searchsorted(row[at], np.arange(len(offsets)))
+    return token[at], folded, np.diff(np.append(at, len(token))), np.searchsorted(row[at], np.arange(len(offsets)))
 
 
 def windows(token: np.ndarray, firsts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -101,11 +102,12 @@ def windows(token: np.ndarray, firsts: np.ndarray, size: int) -> tuple[np.ndarra
 
 
 def _rows(texts: DataFrame, ident: str, sizes: list[int], index=None, only_short: bool = False) -> DataFrame:
-    """(ident, h, place, size, kinds, vals): windows of every size of ``texts``, those in ``index`` only if there is one.
+    """(ident, h, place, kinds, vals, edges, ends): windows of every size of ``texts``, those in ``index`` only if there is one.
 
+    edges: lengths of the runs of the first and the last token; ends: whether these are the row's first and last.
     ``only_short``: sizes below ``WINDOW`` only for rows of just that many tokens, as benchmark items have them.
     """
-    names = [ident, "h", "place", "kinds", "vals"]
+    names = [ident, "h", "place", "kinds", "vals", "edges", "ends"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,7 +115,7 @@ def _rows(texts: DataFrame, ident: str, sizes: list[int], index=None, only_short
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for low, high in slices(offsets, 1 << 18):
                 a, b = offsets[low], offsets[high]
-                token, value, firsts = templates(data[a:b], offsets[low : high + 1] - a)
+                token, value, length, firsts = templates(data[a:b], offsets[low : high + 1] - a)
                 for size in sizes:
                     h, row, place = windows(token, firsts, size)
                     keep = np.ones(len(h), bool) if index is None else index.value.find(h) >= 0
@@ -122,29 +124,35 @@ def _rows(texts: DataFrame, ident: str, sizes: list[int], index=None, only_short
                     h, row, place = h[keep], row[keep], place[keep]
                     if len(h):
                         at = (firsts[row] + place)[:, None] + np.arange(size)
-                        ends = pa.array(np.arange(len(h) + 1, dtype=np.int32) * size)
-                        lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (np.minimum(token[at], 4).astype(np.int8).ravel(), value[at].view(np.int64).ravel())]
+                        edges = length[at[:, [0, -1]]].astype(np.int32)
+                        ends = np.stack([place == 0, at[:, -1] + 1 == firsts[row + 1]], axis=1)
+                        lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(h) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel())) for x in (np.minimum(token[at], 4).astype(np.int8), value[at].view(np.int64), edges, ends)]
                         yield pa.RecordBatch.from_arrays([pa.array(ids[low + row]), pa.array(h.view(np.int64)), pa.array(place.astype(np.int32)), *lists], names=names)
 
-    return texts.select(ident, "text").mapInArrow(run, f"{ident} long, h long, place int, kinds array<tinyint>, vals array<long>")
+    return texts.select(ident, "text").mapInArrow(run, f"{ident} long, h long, place int, kinds array<tinyint>, vals array<long>, edges array<int>, ends array<boolean>")
 
 
 def _judge(keys: tuple, group: pd.DataFrame) -> pd.DataFrame:
-    """One item at one place of one document: do its slots agree over all its windows?"""
-    there, back, exact = {}, {}, True
-    for kinds, a, b in zip(group["kinds"], group["item_vals"], group["vals"], strict=True):
-        for kind, x, y in zip(kinds, a, b, strict=True):
-            if kind < 4:
-                exact &= x == y
-                if there.setdefault((kind, x), y) != y or back.setdefault((kind, y), x) != x:
-                    return pd.DataFrame({"doc_id": [], "item_id": [], "place": [], "n_windows": [], "exact": []}).astype({"doc_id": "int64", "item_id": "int64", "place": "int32", "n_windows": "int64", "exact": "bool"})
-    return pd.DataFrame({"doc_id": [keys[0]], "item_id": [keys[1]], "place": [int(group["place"].min())], "n_windows": [group["place"].nunique()], "exact": [bool(exact)]})
+    """One item at one place of one document: its windows with its own values, and those with others if their slots agree over all of these."""
+    there, back, own, other, agree = {}, {}, set(), set(), True
+    for place, kinds, a, b, item_edges, edges, ends in zip(*(group[c] for c in ("place", "kinds", "item_vals", "vals", "item_edges", "edges", "item_ends")), strict=True):
+        low, high = (int(end and here > item) for end, here, item in zip(ends, edges, item_edges, strict=True))
+        slots = [(kind, x, y) for kind, x, y in zip(kinds, a, b, strict=True) if kind < 4] if not low and not high else [(kinds[i], a[i], b[i]) for i in range(low, len(kinds) - high) if kinds[i] < 4]
+        if all(x == y for _, x, y in slots):
+            own.add(place)
+            continue
+        other.add(place)
+        for kind, x, y in slots:
+            agree &= there.setdefault((kind, x), y) == y and back.setdefault((kind, y), x) == x
+    places = own | other if agree else own
+    rows = [(keys[0], keys[1], min(places), len(places), not (agree and other))] if places else []
+    return pd.DataFrame(rows, columns=["doc_id", "item_id", "place", "n_windows", "exact"]).astype({"doc_id": "int64", "item_id": "int64", "place": "int32", "n_windows": "int64", "exact": "bool"})
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, most_shipped: int = MOST_SHIPPED) -> DataFrame:
-    """(doc_id, item_id, n_places, n_windows, exact) of each document and item that share a passage; exact: with the item's own values."""
+    """(doc_id, item_id, n_places, n_windows, exact) of each document and item that share a passage; exact: with the item's own values throughout."""
     spark = docs.sparkSession
-    items = persisted(_rows(benchmark.where("item_id is not null"), "item_id", list(range(LEAST, WINDOW + 1)), only_short=True).withColumnsRenamed({"place": "item_place", "vals": "item_vals"}))
+    items = persisted(_rows(benchmark.where("item_id is not null"), "item_id", list(range(LEAST, WINDOW + 1)), only_short=True).withColumnsRenamed({c: f"item_{c}" for c in ("place", "vals", "edges", "ends")}))
     sizes = [r[0] for r in items.select(F.size("kinds")).distinct().orderBy(F.size("kinds")).collect()]
     schema = "doc_id long, item_id long, n_places long, n_windows long, exact boolean"
     if not sizes:
@@ -153,7 +161,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, most_shipped: int = MOST
     index = None
     if names.count() <= most_shipped:
         index = spark.sparkContext.broadcast(HashIndex(np.sort(np.array([r[0] for r in names.collect()], np.int64).view(np.uint64))))
-    hits = _rows(docs.where("doc_id is not null"), "doc_id", sizes, index)
+    hits = _rows(docs.where("doc_id is not null"), "doc_id", sizes, index).drop("ends")
     met = hits.join(items.drop("kinds"), "h").withColumn("shift", F.col("place") - F.col("item_place"))
     judged = met.groupBy("doc_id", "item_id", "shift").applyInPandas(_judge, "doc_id long, item_id long, place int, n_windows long, exact boolean")
     return judged.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_places"), F.sum("n_windows").alias("n_windows"), F.bool_and("exact").alias("exact"))

@@ -300,3 +300,14 @@ def test_decontamination(spark):
     assert got == {(r.doc_id, r.item_id): r.exact for r in decontamination.contaminated(docs_of(spark, rows), items, most_shipped=0).collect()}
     assert decontamination.clean(docs_of(spark, rows), items).count() == 5
     assert decontamination.contaminated(docs_of(spark, rows), items.where("false")).count() == 0
+
+
+def test_decontamination_keeps_own_values(spark):
+    words = "the train from the north station leaves at 9 with Anna and reaches the coast after 45 minutes while the slow boat needs 9 hours to cross"
+    ends = "the old keeper saw that Anna had left the harbour long before the storm came and so nobody there could help Anna"
+    starts = "9 boats left the small harbour before noon and the keeper counted that only 9 of them came back at night"
+    items = spark.createDataFrame([(1, words), (2, ends), (3, starts)], "item_id long, text string")
+    rows = [(1, words.replace("needs 9", "needs 8")), (2, f"{ends} Smith, they said"), (3, f"in 1999 {starts}"), (4, words.replace("at 9", "at 7").replace("needs 9", "needs 8"))]
+    rows += [(5, words.replace("at 9", "at 7").replace("45", "7").replace("needs 9", "needs 7"))]
+    got = {(r.doc_id, r.item_id): r.exact for r in decontamination.contaminated(docs_of(spark, rows), items).collect()}
+    assert got == {(1, 1): False, (2, 2): True, (3, 3): True, (4, 1): True}
