@@ -311,3 +311,14 @@ def test_decontamination_keeps_own_values(spark):
     rows += [(5, words.replace("at 9", "at 7").replace("45", "7").replace("needs 9", "needs 7"))]
     got = {(r.doc_id, r.item_id): r.exact for r in decontamination.contaminated(docs_of(spark, rows), items).collect()}
     assert got == {(1, 1): False, (2, 2): True, (3, 3): True, (4, 1): True}
+
+
+def test_decontamination_word_for_word(spark):
+    titled = "The Quick Brown Fox Jumps Over The Lazy Dog Near The Old River Bank Today"
+    han, boat = "小明有十七个苹果，他又买了二十三个。一共有多少？", "What did the small boat carry to shore"
+    items = spark.createDataFrame([(1, "What is 17 times 23?"), (2, titled), (3, han), (4, boat), (5, "Did Anna carry the small boat back to shore before 9"), (6, "?!")], "item_id long, text string")
+    rows = [(1, "so what is 17 times 23 then"), (2, f"he read {titled} aloud"), (3, f"他说：「{han}」然后走了"), (4, f'she asked "{boat}" and left'), (5, "so Clara Did Boris carry the small boat back to shore before 7 or later")]
+    rows += [(6, "what is 17 times 24"), (7, "小明有十七个梨，他又买了三个。"), (8, "what does the small boat carry to shore")]
+    for most in (1 << 22, 0):
+        got = {(r.doc_id, r.item_id): r.exact for r in decontamination.contaminated(docs_of(spark, rows), items, most_shipped=most).collect()}
+        assert got == {(1, 1): True, (2, 2): True, (3, 3): True, (4, 4): True, (5, 5): False}
