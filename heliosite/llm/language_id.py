@@ -25,6 +25,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from heliosite.llm.texts import HashIndex, mix
 
 UNDETERMINED = "und"
+BLOCK, AHEAD = 4096, 32
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -84,15 +85,30 @@ class ContextTrees:
         return out
 
 
+def blocks(labelled: DataFrame) -> DataFrame:
+    """(lang, before, block, u): the texts in blocks of ``BLOCK`` bytes with up to ``AHEAD`` bytes before each; u: a hash of these, from 0 to 2**30 - 1."""
+    raw = F.col("text").cast("binary")
+    starts = F.sequence(F.lit(0), F.floor((F.octet_length("text") - 1) / BLOCK).cast("int"))
+
+    def cut(i):
+        ahead = F.when(i == 0, F.lit(0)).otherwise(F.lit(AHEAD))
+        return F.struct(F.substring(raw, i * BLOCK + 1 - ahead, ahead).alias("before"), F.substring(raw, i * BLOCK + 1, F.lit(BLOCK)).alias("block"))
+
+    parts = labelled.where(F.octet_length("text") > 0).select("lang", F.explode(F.transform(starts, cut)).alias("of")).select("lang", "of.*")
+    return parts.withColumn("u", F.pmod(F.xxhash64("lang", "before", "block"), F.lit(1 << 30)))
+
+
 def count_grams(labelled: DataFrame, order: int) -> DataFrame:
-    """(lang, k, gram, n) of a table of (lang, text): counted per batch in numpy, summed by Spark."""
+    """(lang, k, gram, n) of a table of (lang, before, block): counted per batch in numpy, summed by Spark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs = np.array(batch.column("lang").to_pylist(), object)
-            texts = batch.column("text").to_pylist()
+            ahead, texts = ([x.decode(errors="ignore") for x in batch.column(c).to_pylist()] for c in ("before", "block"))
             for lang in sorted(set(langs)):
-                data, starts, ends = prepared([t for t, x in zip(texts, langs, strict=True) if x == lang], order)
+                own = [i for i, x in enumerate(langs) if x == lang]
+                data, starts, ends = prepared([ahead[i] + texts[i] for i in own], order)
+                starts = starts + [len(ahead[i].lower().encode()) for i in own]
                 inside = np.zeros(len(data) + 1, np.int32)
                 np.add.at(inside, starts, 1)
                 np.add.at(inside, ends, -1)
@@ -101,18 +117,23 @@ def count_grams(labelled: DataFrame, order: int) -> DataFrame:
                     gram, n = np.unique(shorter(key, k), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(np.full(len(gram), k, np.int32)), pa.array(gram.view(np.int64)), pa.array(n.astype(np.int64))], ["lang", "k", "gram", "n"])
 
-    return labelled.select("lang", "text").mapInArrow(run, "lang string, k int, gram long, n long").groupBy("lang", "k", "gram").agg(F.sum("n").alias("n"))
+    return labelled.select("lang", "before", "block").mapInArrow(run, "lang string, k int, gram long, n long").groupBy("lang", "k", "gram").agg(F.sum("n").alias("n"))
 
 
 def fit(labelled: DataFrame, order: int = 3, bytes_per_language: int = 1 << 20) -> ContextTrees:
-    """Train on (lang, text) rows. About ``bytes_per_language`` of each language's text, chosen by a hash of the row, bound the sample and so the model."""
-    labelled = labelled.where("lang is not null and text is not null").select("lang", "text")
-    size = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).collect() if r["n"]}
+    """Train on (lang, text) rows. About ``bytes_per_language`` of each language's distinct blocks of text, chosen by a hash of the block, bound the sample and so the model.
+
+    Copies count once. Each language gives its block of the smallest hash at least; on average, 256 of them or all.
+    """
+    parts = blocks(labelled.where("lang is not null and text is not null").select("lang", "text"))
+    each = parts.groupBy("lang", F.xxhash64("lang", "before", "block").alias("h")).agg(F.first("u").alias("u"), F.first(F.octet_length("block")).alias("n"))
+    size = {r["lang"]: (r["n"], r["u"]) for r in each.groupBy("lang").agg(F.sum("n").alias("n"), F.min("u").alias("u")).collect()}
     languages = sorted(size)
     if not languages:
         return ContextTrees([], order, np.zeros((0, 0)), [], [], [], [])
-    share = F.element_at(F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, bytes_per_language / size[k]))]), F.col("lang"))
-    sample = labelled.where((F.pmod(F.xxhash64("text", "lang"), F.lit(1 << 30)) / float(1 << 30)) < share)
+    below_u = {k: max(int((1 << 30) * min(1.0, bytes_per_language / n)), u + 1) for k, (n, u) in size.items()}
+    share = F.element_at(F.create_map(*[F.lit(x) for k in languages for x in (k, below_u[k])]), F.col("lang"))
+    sample = parts.where(F.col("u") < share).select("lang", "before", "block").distinct()
     rows = count_grams(sample, order).toPandas()
     column = {lang: i for i, lang in enumerate(languages)}
     L = len(languages)

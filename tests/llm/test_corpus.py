@@ -70,6 +70,28 @@ def test_language_codes_match_recursion(spark):
     assert size.tolist() == [len(text), 0] and total[1].tolist() == [0.0, 0.0]
 
 
+def test_language_sample_of_copies_and_long_rows(spark):
+    r = random.Random(4)
+    made = lambda letters, n: "".join(r.choice(letters) + r.choice(["", "", " "]) for _ in range(n))
+    hot, other = made("abc", 1000), [made("defgh", 700) for _ in range(150)]
+    rows = [("copied", hot)] * 4000 + [("copied", t) for t in other] + [("long", made("klmnó", 150_000)) for _ in range(2)]
+    sample = {"copied": [*other, hot], "long": [t for lang, t in rows if lang == "long"]}
+    most = 1 << 16
+    labelled = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    model = language_id.fit(labelled, bytes_per_language=most)
+    assert model.languages == ["copied", "long"]
+    got = language_id.predict(spark.createDataFrame([(made("defgh", 60), "copied"), (made("klmnó", 60), "long")], "text string, want string"), model).collect()
+    assert all(x.lang_pred == x.want and x.bits_per_byte < 5 for x in got)
+    parts = language_id.blocks(labelled).where("lang = 'long'")
+    texts = b"".join(x.block for x in parts.collect())
+    assert len(texts) == sum(len(t.encode()) for t in sample["long"])
+    whole = language_id.fit(spark.createDataFrame([("x", sample["long"][0])], "lang string, text string"))
+    counts = language_id.count_grams(language_id.blocks(spark.createDataFrame([("x", sample["long"][0])], "lang string, text string")), 3)
+    assert whole.languages == ["x"] and counts.where("k = 0").agg(F.sum("n")).first()[0] > len(sample["long"][0].encode()) - 200
+    chosen = language_id.fit(spark.createDataFrame([(lang, t) for lang in "pq" for t in ([hot] * 50 if lang == "p" else sample["long"])], "lang string, text string"), bytes_per_language=1)
+    assert chosen.dense.min(axis=0).max() < 8
+
+
 def test_language_defined_results(spark):
     d = docs_of(spark, [(1, None), (2, "12 %"), (3, "abc")])
     model = language_id.fit(spark.createDataFrame([], "lang string, text string"))
