@@ -1,4 +1,4 @@
-"""Interpolated modified Kneser-Ney word model of order two, counted in Spark and scored from memory-mapped hash arrays.
+"""Interpolated modified Kneser-Ney word model of order two or three, counted in Spark and scored from memory-mapped hash arrays.
 
 Counting. Tasks send blocks of locally summed (previous word, word) pairs to shards; a block holds each word once and
 the words before it in 48-bit hashes. A shard is chosen by the word, but by the pair for the few most common words, so
@@ -9,6 +9,11 @@ once, twice or more. Shards of words sum these and write the vocabulary in the s
 Scoring. Workers map the files and look whole batches up: P(w | v) = max(c(vw) - D, 0) / c(v) + g(v) P(w), where P(w)
 comes from distinct predecessors, discounted likewise and interpolated with 1 / (V + 1).
 
+Order three. Blocks hold triples, still dealt by the last word or pair. Triples keep their counts; a pair counts its
+distinct predecessors instead, or its occurrences where it begins a text, which has nothing before it. Each pair of words
+before a third goes to a shard of its own, with its occurrences and how many words follow it once, twice or more.
+P(w | u, v) = max(c(uvw) - D, 0) / c(uv) + g(uv) P(w | v).
+
 Tokens: words of non-white characters with A-Z lower-cased, then one end. Defined results: null text is empty (one token);
 with nothing to learn from, every probability is 1 / (V + 1) = 1; repeated rows count and are scored as often as they
 occur; a null doc_id counts as empty text for the fold. Other columns are ignored.
@@ -27,10 +32,11 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heliosite.llm.storage import local_file, shared_dir, write_file
+from heliosite.llm.storage import discarded, local_file, persisted, shared_dir, shuffles_dropped, write_file
 from heliosite.llm.texts import HashIndex, buffers, mix, slices, word_hashes
 
 START, END = np.uint64(0x5AFE57A27), np.uint64(0xE0D0FD0C)
+NONE = np.uint64(0)
 LOW48 = np.uint64((1 << 48) - 1)
 FLUSH = 1 << 21
 
@@ -57,19 +63,44 @@ def pair_key(word: np.ndarray, before48: np.ndarray) -> np.ndarray:
     return mix(word * np.uint64(0x9E3779B97F4A7C15) + before48)
 
 
-def pair_array(key: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
+def context_key(before48: np.ndarray, second48: np.ndarray) -> np.ndarray:
+    return mix(before48 * np.uint64(0xD6E8FEB86659FD93) + second48)
+
+
+def triple_key(word: np.ndarray, before48: np.ndarray, second48: np.ndarray) -> np.ndarray:
+    return mix(pair_key(word, before48) * np.uint64(0x9E3779B97F4A7C15) + second48)
+
+
+def low48(x: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :6]).ravel()
+
+
+def from_low48(x: np.ndarray) -> np.ndarray:
+    wide = np.zeros((len(x) // 6, 8), np.uint8)
+    wide[:, :6] = x.reshape(-1, 6)
+    return wide.view(np.uint64).ravel()
+
+
+def pair_array(key: np.ndarray, n: np.ndarray, **more: np.ndarray) -> dict[str, np.ndarray]:
     """Sorted hash array: leading bits select a bucket, 32 more are stored, counts in a byte with the larger ones apart."""
     bits = max(0, int(len(key)).bit_length() - 2)
     edges = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.zeros(1, np.uint64)
-    big = np.flatnonzero(n >= 255)
+    columns = {}
+    for name, x in {"n": n, **more}.items():
+        big = np.flatnonzero(x >= 255)
+        columns |= {name: np.minimum(x, 255).astype(np.uint8), "big" if name == "n" else f"{name}_big": big.astype(np.uint32), f"{'big' if name == 'n' else f'{name}_big'}_n": x[big].astype(np.int64)}
     return {
         "directory": np.append(np.searchsorted(key, edges), len(key)).astype(np.uint32), "rest": ((key << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32),
-        "n": np.minimum(n, 255).astype(np.uint8), "big": big.astype(np.uint32), "big_n": n[big].astype(np.int64),
+        **columns,
     }
 
 
 def pair_counts(store: dict[str, np.ndarray], key: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(key), np.int64)
+    return pair_columns(store, key, ["n"])[0]
+
+
+def pair_columns(store: dict[str, np.ndarray], key: np.ndarray, names: list[str]) -> np.ndarray:
+    out = np.zeros((len(names), len(key)), np.int64)
     bits = len(store["directory"]).bit_length() - 1 if len(store["directory"]) > 2 else 0
     bucket = (key >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(key), np.int64)
     rest = ((key << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
@@ -79,11 +110,13 @@ def pair_counts(store: dict[str, np.ndarray], key: np.ndarray) -> np.ndarray:
     while len(live):
         have = store["rest"][at]
         hit = have == rest
-        n = store["n"][at[hit]].astype(np.int64)
-        big = np.flatnonzero(n == 255)
-        if len(big):
-            n[big] = store["big_n"][np.searchsorted(store["big"], at[hit][big])]
-        out[live[hit]] = n
+        for i, name in enumerate(names):
+            n = store[name][at[hit]].astype(np.int64)
+            big = np.flatnonzero(n == 255)
+            if len(big):
+                of = "big" if name == "n" else f"{name}_big"
+                n[big] = store[f"{of}_n"][np.searchsorted(store[of], at[hit][big])]
+            out[i, live[hit]] = n
         go = (have < rest) & (at + 1 < stop)
         live, at, stop, rest = live[go], at[go] + 1, stop[go], rest[go]
     return out
@@ -104,6 +137,14 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return token, before, first
 
 
+def second_before(before: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The token two before each; NONE for a row's first."""
+    out = np.empty_like(before)
+    out[1:] = before[:-1]
+    out[first[:-1]] = NONE
+    return out
+
+
 def shard_of(word: np.ndarray, key: np.ndarray, shards: int, common: np.ndarray) -> np.ndarray:
     by = word if not len(common) else np.where(common[np.minimum(np.searchsorted(common, word), len(common) - 1)] == word, key, word)
     return ((by >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
@@ -130,10 +171,14 @@ class Model:
     word_discounts: list[float]
     word_classes: list[int]
     start_classes: list[int]
+    order: int = 2
+    triple_discounts: list[float] | None = None
 
 
-def fit(train: DataFrame, shard_bytes: int = 8 << 20, sample_bytes: int = 16 << 20) -> Model:
+def fit(train: DataFrame, shard_bytes: int = 8 << 20, sample_bytes: int = 16 << 20, order: int = 2) -> Model:
     """Count every token of ``train`` (a column ``text``). The sample only finds the common words, at most 2000, to spread."""
+    if order not in (2, 3):
+        raise ValueError("order must be 2 or 3")
     spark = train.sparkSession
     folder = shared_dir(spark)
     texts = train.select("text")
@@ -154,21 +199,21 @@ def fit(train: DataFrame, shard_bytes: int = 8 << 20, sample_bytes: int = 16 <<
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shrink = zstandard.ZstdCompressor(level=1)
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         count = 0
 
         def flushed() -> pa.RecordBatch:
-            word, before = (np.concatenate(x) for x in zip(*held, strict=True))
-            key, first, n = np.unique(pair_key(word, before), return_index=True, return_counts=True)
-            word, before = word[first], before[first]
-            shard = shard_of(word, key, shards, shared.value)
-            by = np.lexsort((word, shard))
-            word, before, n, shard = word[by], before[by], n[by], shard[by]
+            word, before, *second = (np.concatenate(x) for x in zip(*held, strict=True))
+            _, first, n = np.unique(triple_key(word, before, *second) if second else pair_key(word, before), return_index=True, return_counts=True)
+            word, before, second = word[first], before[first], [x[first] for x in second]
+            shard = shard_of(word, pair_key(word, before), shards, shared.value)
+            by = np.lexsort((before, word, shard) if second else (word, shard))
+            word, before, second, n, shard = word[by], before[by], [x[by] for x in second], n[by], shard[by]
             edges = np.flatnonzero(np.diff(shard)) + 1
             rows = []
             for a, b in zip([0, *edges], [*edges, len(word)], strict=True):
                 each, at, runs = np.unique(word[a:b], return_index=True, return_counts=True)
-                part = {"word": each, "runs": runs.astype(np.uint32), "n": n[a:b].astype(np.uint32), "before": np.ascontiguousarray(before[a:b].view(np.uint8).reshape(-1, 8)[:, :6]).ravel()}
+                part = {"word": each, "runs": runs.astype(np.uint32), "n": n[a:b].astype(np.uint32), "before": low48(before[a:b]), **({"second": low48(second[0][a:b])} if second else {})}
                 rows.append((int(shard[a]), shrink.compress(to_bytes(part))))
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["shard", "block"])
 
@@ -176,10 +221,10 @@ def fit(train: DataFrame, shard_bytes: int = 8 << 20, sample_bytes: int = 16 <<
             data, offsets = buffers(batch.column(0))
             for first, last in slices(offsets, 1 << 18):
                 low, high = offsets[first], offsets[last]
-                word, before, _ = tokens(data[low:high], offsets[first : last + 1] - low)
-                held.append((word, before & LOW48))
+                word, before, at = tokens(data[low:high], offsets[first : last + 1] - low)
+                held.append((word, before & LOW48, second_before(before, at) & LOW48)[:order])
                 count += len(word)
-                if count >= FLUSH:
+                if count >= FLUSH // (order - 1):
                     yield flushed()
                     held, count = [], 0
         if count:
@@ -189,62 +234,82 @@ def fit(train: DataFrame, shard_bytes: int = 8 << 20, sample_bytes: int = 16 <<
         unzip, shrink = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
         parts = [from_bytes(unzip.decompress(b)) for b in group["block"]]
         word = np.concatenate([np.repeat(p["word"], p["runs"]) for p in parts])
-        wide = np.zeros((len(word), 8), np.uint8)
-        wide[:, :6] = np.concatenate([p["before"] for p in parts]).reshape(-1, 6)
-        before = wide.view(np.uint64).ravel()
+        before, n = from_low48(np.concatenate([p["before"] for p in parts])), np.concatenate([p["n"] for p in parts])
+        contexts: dict[str, np.ndarray] = {}
+        totals: dict[str, int] = {}
+        if order == 3:
+            second = from_low48(np.concatenate([p["second"] for p in parts]))
+            del parts
+            key, first, at = np.unique(triple_key(word, before, second), return_index=True, return_inverse=True)
+            n = np.bincount(at, n).astype(np.int64)
+            word, before, second = word[first], before[first], second[first]
+            whole = second != NONE
+            write_file(f"{folder}/triples-{int(keys[0]):07d}", to_bytes(pair_array(key[whole], n[whole])))
+            totals |= {f"t{i}": (n[whole] == i).sum() for i in (1, 2, 3, 4)}
+            context, by = np.unique(context_key(before[whole], second[whole]), return_inverse=True)
+            contexts = {"context2": context, "n": np.bincount(by, n[whole], len(context)).astype(np.uint32), **{f"f{i}": np.bincount(by, (n[whole] == i) if i < 3 else (n[whole] >= 3), len(context)).astype(np.uint32) for i in (1, 2, 3)}}
+            del second, at, by
         key, first, at = np.unique(pair_key(word, before), return_index=True, return_inverse=True)
-        n = np.bincount(at, np.concatenate([p["n"] for p in parts])).astype(np.int64)
+        occurs = np.bincount(at, n).astype(np.int64)
+        n = np.where(before[first] == (START & LOW48), occurs, np.bincount(at)) if order == 3 else occurs
         word, before = word[first], before[first]
         write_file(f"{folder}/pairs-{int(keys[0]):07d}", to_bytes(pair_array(key, n)))
         each, at = np.unique(word, return_inverse=True)
         rows = []
-        totals = {"n": n.sum(), "pairs": len(n), **{f"p{i}": (n == i).sum() for i in (1, 2, 3, 4)}}
+        totals |= {"n": occurs.sum(), "pairs": len(n), **{f"p{i}": (n == i).sum() for i in (1, 2, 3, 4)}}
         totals |= {f"s{i}": ((before == (START & LOW48)) & ((n == i) if i < 3 else (n >= 3))).sum() for i in (1, 2, 3)}
         rows.append((-1, json.dumps({k: int(v) for k, v in totals.items()}).encode()))
         context, by = np.unique(before, return_inverse=True)
         follow = np.stack([np.bincount(by, m, len(context)) for m in ((n == 1), (n == 2), (n >= 3))]).astype(np.uint32)
-        columns = {"word": each, "n": np.bincount(at, n).astype(np.uint64), "kinds": np.bincount(at).astype(np.uint32)}
-        for names, part_of in ((columns, word_shard(columns["word"], word_shards)), ({"context": context, "f1": follow[0], "f2": follow[1], "f3": follow[2]}, word_shard(context, word_shards))):
-            order = np.argsort(part_of, kind="stable")
-            edges = np.searchsorted(part_of[order], np.arange(word_shards + 1))
-            for s in range(word_shards):
-                if edges[s] < edges[s + 1]:
-                    pick = order[edges[s] : edges[s + 1]]
-                    small = {k: np.ascontiguousarray(v[pick].view(np.uint8).reshape(-1, 8)[:, :6]).ravel() if k == "context" else v[pick] for k, v in names.items()}
-                    rows.append((s, shrink.compress(to_bytes(small))))
+        columns = {"word": each, "n": np.bincount(at, occurs).astype(np.uint64), "kinds": np.bincount(at).astype(np.uint32)}
+        for names, part_of in ((columns, word_shard(columns["word"], word_shards)), ({"context": context, "f1": follow[0], "f2": follow[1], "f3": follow[2], "after": np.bincount(by, n, len(context)).astype(np.uint64)}, word_shard(context, word_shards)), *([(contexts, -2 - context_shard(contexts["context2"], shards))] if contexts else [])):
+            in_turn = np.argsort(part_of, kind="stable")
+            present, edges = np.unique(part_of[in_turn], return_index=True)
+            edges = np.append(edges, len(part_of))
+            for i, s in enumerate(present.tolist()):
+                pick = in_turn[edges[i] : edges[i + 1]]
+                small = {k: low48(v[pick]) if k == "context" else v[pick] for k, v in names.items()}
+                rows.append((s, shrink.compress(to_bytes(small))))
         return pd.DataFrame(rows, columns=["shard", "block"])
 
-    passed = texts.mapInArrow(blocks, "shard int, block binary").groupBy("shard").applyInPandas(summed, "shard int, block binary")
+    # written, so that the blocks' shuffle files go before the next shuffle
+    passed = persisted(texts.mapInArrow(blocks, "shard int, block binary").groupBy("shard").applyInPandas(summed, "shard int, block binary"))
 
     def words(keys: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        if keys[0] < 0:
+        if keys[0] == -1:
             tops = pd.DataFrame([json.loads(b) for b in group["block"]]).sum()
             return pd.DataFrame({"totals": [json.dumps({k: int(v) for k, v in tops.items()})]})
         unzip = zstandard.ZstdDecompressor()
         parts = [from_bytes(unzip.decompress(b)) for b in group["block"]]
+        if keys[0] < -1:
+            key, at = np.unique(np.concatenate([p["context2"] for p in parts]), return_inverse=True)
+            columns = {c: np.bincount(at, np.concatenate([p[c] for p in parts])).astype(np.int64) for c in ("n", "f1", "f2", "f3")}
+            write_file(f"{folder}/contexts-{-2 - int(keys[0]):07d}", to_bytes(pair_array(key, **columns)))
+            return pd.DataFrame({"totals": ["{}"]})
         own, other = [p for p in parts if "word" in p], [p for p in parts if "context" in p]
         word, at = np.unique(np.concatenate([np.zeros(0, np.uint64), *(p["word"] for p in own)]), return_inverse=True)
         n, kinds = (np.bincount(at, np.concatenate([[], *(p[c] for p in own)]), len(word)).astype(np.int64) for c in ("n", "kinds"))
-        wide = np.zeros((sum(len(p["f1"]) for p in other), 8), np.uint8)
-        wide[:, :6] = np.concatenate([np.zeros(0, np.uint8), *(p["context"] for p in other)]).reshape(-1, 6)
-        context = wide.view(np.uint64).ravel()
+        context = from_low48(np.concatenate([np.zeros(0, np.uint8), *(p["context"] for p in other)]))
         by = np.argsort(word & LOW48)
         low = (word & LOW48)[by]
         row = np.minimum(np.searchsorted(low, context), max(0, len(low) - 1))
         known = (low[row] == context) if len(low) else np.zeros(len(context), bool)
-        follow = [np.bincount(by[row[known]], np.concatenate([[], *(p[c] for p in other)])[known], len(word)).astype(np.int64) for c in ("f1", "f2", "f3")]
-        write_file(f"{folder}/words-{int(keys[0]):07d}", to_bytes({"word": word, "n": n, "kinds": kinds.astype(np.uint32), **{f"f{i + 1}": f.astype(np.uint32) for i, f in enumerate(follow)}}))
+        follow = [np.bincount(by[row[known]], np.concatenate([[], *(p[c] for p in other)])[known], len(word)).astype(np.int64) for c in ("f1", "f2", "f3", "after")]
+        after = follow.pop()
+        write_file(f"{folder}/words-{int(keys[0]):07d}", to_bytes({"word": word, "n": n, "kinds": kinds.astype(np.uint32), "after": after, **{f"f{i + 1}": f.astype(np.uint32) for i, f in enumerate(follow)}}))
         return pd.DataFrame({"totals": [json.dumps({"words": len(word), "k3plus": int((kinds >= 3).sum()), **{f"k{i}": int((kinds == i).sum()) for i in (1, 2, 3, 4)}})]})
 
     top: dict[str, int] = {}
     made = passed.groupBy("shard").applyInPandas(words, "totals string")
     # a few counters from each shard of words, summed by Spark
-    names = ["n", "pairs", "p1", "p2", "p3", "p4", "s1", "s2", "s3", "words", "k1", "k2", "k3", "k4", "k3plus"]
-    top = made.select([F.get_json_object("totals", f"$.{c}").cast("long").alias(c) for c in names]).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names]).first().asDict()
+    names = ["n", "pairs", "p1", "p2", "p3", "p4", "s1", "s2", "s3", "words", "k1", "k2", "k3", "k4", "k3plus", "t1", "t2", "t3", "t4"]
+    with shuffles_dropped(spark):
+        top = made.select([F.get_json_object("totals", f"$.{c}").cast("long").alias(c) for c in names]).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names]).first().asDict()
+    discarded(passed)
     return Model(
         folder, shards, word_shards, common, top["n"], top["words"], top["pairs"], documents,
         discounts({i: top[f"p{i}"] for i in (1, 2, 3, 4)}), discounts({i: top[f"k{i}"] for i in (1, 2, 3, 4)}),
-        [top["k1"], top["k2"], top["k3plus"]], [top["s1"], top["s2"], top["s3"]],
+        [top["k1"], top["k2"], top["k3plus"]], [top["s1"], top["s2"], top["s3"]], order, discounts({i: top[f"t{i}"] for i in (1, 2, 3, 4)}),
     )
 
 
@@ -253,11 +318,15 @@ def word_shard(word: np.ndarray, shards: int) -> np.ndarray:
     return ((word & LOW48) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % shards
 
 
+def context_shard(key: np.ndarray, shards: int) -> np.ndarray:
+    return ((key >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+
+
 class Reader:
     """A worker's view of the files, mapped on first use."""
 
     def __init__(self, model: Model):
-        self.model, self.pairs, self.words = model, {}, {}
+        self.model, self.stores, self.words = model, {}, {}
 
     def _map(self, name: str) -> dict[str, np.ndarray]:
         try:
@@ -265,10 +334,10 @@ class Reader:
         except FileNotFoundError:  # a shard that got nothing
             return {}
 
-    def pair_store(self, s: int) -> dict[str, np.ndarray]:
-        if s not in self.pairs:
-            self.pairs[s] = self._map(f"pairs-{s:07d}")
-        return self.pairs[s]
+    def store(self, kind: str, s: int) -> dict[str, np.ndarray]:
+        if (kind, s) not in self.stores:
+            self.stores[kind, s] = self._map(f"{kind}-{s:07d}")
+        return self.stores[kind, s]
 
     def word_store(self, s: int) -> tuple[HashIndex, dict[str, np.ndarray]] | None:
         if s not in self.words:
@@ -277,7 +346,7 @@ class Reader:
         return self.words[s]
 
     def look_up_words(self, word: np.ndarray) -> dict[str, np.ndarray]:
-        out = {c: np.zeros(len(word), np.int64) for c in ("n", "kinds", "f1", "f2", "f3")}
+        out = {c: np.zeros(len(word), np.int64) for c in ("n", "kinds", "f1", "f2", "f3", "after")}
         for s, at in _by_shard(word_shard(word, self.model.word_shards)):
             if (store := self.word_store(s)) is not None:
                 row = store[0].find(word[at])
@@ -286,7 +355,7 @@ class Reader:
                     v[at[hit]] = store[1][c][row[hit]]
         return out
 
-    def scores(self, token: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def scores(self, token: np.ndarray, before: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(count of each token in training, log10 of its base probability, log10 of the model's)."""
         m = self.model
         each, at = np.unique(token, return_inverse=True)
@@ -294,6 +363,7 @@ class Reader:
         seen, at = np.unique(before, return_inverse=True)
         v = {c: x for c, x in self.look_up_words(seen).items()}
         start = seen == START
+        v["n"] = v["after"]  # occurrences at order two, as no text ends but in END
         v["n"][start] = m.documents
         for i in (1, 2, 3):
             v[f"f{i}"][start] = m.start_classes[i - 1]
@@ -307,15 +377,39 @@ class Reader:
         n = np.zeros(len(token), np.int64)
         known = np.flatnonzero((w["n"] > 0) & (v["n"] > 0))
         for s, at in _by_shard(shard_of(token[known], key[known], m.shards, m.common)):
-            if store := self.pair_store(s):
+            if store := self.store("pairs", s):
                 n[known[at]] = pair_counts(store, key[known[at]])
         d = np.array([0.0, *m.pair_discounts])
         total = np.maximum(v["n"], 1)
         left = sum(m.pair_discounts[i] * v[f"f{i + 1}"] for i in range(3)) / total
         p = np.where(v["n"] > 0, np.maximum(n - d[np.minimum(n, 3)], 0) / total + np.where((v["f1"] + v["f2"] + v["f3"]) > 0, left, 1.0) * lower, lower)
+        if m.order == 3:
+            p = self.with_second(token, low, second & LOW48, known[n[known] > 0], p)
         return w["n"], base, np.log10(np.maximum(p, 1e-300))
 
 
+    def with_second(self, token: np.ndarray, low: np.ndarray, second: np.ndarray, pairs: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Order three above ``p`` of order two. ``pairs``: where the last two tokens are a pair of training."""
+        m = self.model
+        whole = np.flatnonzero(second != NONE)
+        context, at = np.unique(context_key(low[whole], second[whole]), return_inverse=True)
+        found = np.zeros((4, len(context)), np.int64)
+        for s, of in _by_shard(context_shard(context, m.shards)):
+            if store := self.store("contexts", s):
+                found[:, of] = pair_columns(store, context[of], ["n", "f1", "f2", "f3"])
+        after = np.zeros((4, len(token)), np.int64)
+        after[:, whole] = found[:, at]
+        pairs = pairs[after[0, pairs] > 0]
+        n = np.zeros(len(token), np.int64)
+        key = triple_key(token[pairs], low[pairs], second[pairs])
+        for s, of in _by_shard(shard_of(token[pairs], pair_key(token[pairs], low[pairs]), m.shards, m.common)):
+            if store := self.store("triples", s):
+                n[pairs[of]] = pair_counts(store, key[of])
+        d, total = np.array([0.0, *m.triple_discounts]), np.maximum(after[0], 1)
+        left = sum(m.triple_discounts[i] * after[i + 1] for i in range(3)) / total
+        return np.where(after[0] > 0, np.maximum(n - d[np.minimum(n, 3)], 0) / total + left * p, p)
+
+
 _readers: dict[str, Reader] = {}
 
 
@@ -347,7 +441,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             for first, last in slices(offsets, 1 << 21):
                 low, high = offsets[first], offsets[last]
                 token, before, at = tokens(data[low:high], offsets[first : last + 1] - low)
-                n, base, model_score = reader.scores(token, before)
+                n, base, model_score = reader.scores(token, before, second_before(before, at))
                 count = np.diff(at)
                 sums = [np.add.reduceat(x, at[:-1]) for x in ((n > 0).astype(np.int64), base, model_score)]
                 columns = [batch.column(0)[first:last], batch.column(1)[first:last], pa.array(count.astype(np.int64)), pa.array(sums[0]), pa.array(np.full(last - first, reader.model.tokens, np.int64)), pa.array(sums[1]), pa.array(sums[2]), pa.array(10.0 ** np.minimum(-sums[2] / count, 300))]
@@ -356,7 +450,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, schema)
 
 
-def fit_and_score(docs: DataFrame, held_out: Column, shard_bytes: int = 8 << 20) -> DataFrame:
+def fit_and_score(docs: DataFrame, held_out: Column, shard_bytes: int = 8 << 20, order: int = 2) -> DataFrame:
     """Learn from the rows where ``held_out`` is false, score all."""
     folded = docs.select("doc_id", held_out.alias("held_out"), "text")
-    return score(folded, fit(folded.where(~F.col("held_out")), shard_bytes))
+    return score(folded, fit(folded.where(~F.col("held_out")), shard_bytes, order=order))

@@ -32,7 +32,7 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kneser_ney.fit_and_score(table(spark, sf_dir, "documents"), language_id.held_out(parts=7))
+    return kneser_ney.fit_and_score(table(spark, sf_dir, "documents"), language_id.held_out(parts=7), order=3)
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -214,6 +214,39 @@ def test_kneser_ney(spark, docs, rows):
         assert r.score == pytest.approx(sum(math.log10(p(v, w)) for v, w in zip(["start", *words], words, strict=False)))
 
 
+def test_kneser_ney_of_order_three(spark, docs, rows):
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    tokens = lambda t: [*WORD.findall((t or "").encode().lower()), "end"]
+    uni, triples, starts = Counter(), Counter(), Counter()
+    for doc_id, text in rows:
+        if not held(doc_id):
+            words = ["start", *tokens(text)]
+            uni.update(words[1:])
+            starts[words[1]] += 1
+            triples.update(zip(words, words[1:], words[2:], strict=False))
+    pairs = Counter((v, w) for _, v, w in triples) + Counter({("start", w): n for w, n in starts.items()})
+    kinds, N, V = Counter(w for _, w in pairs), sum(uni.values()), len(uni)
+
+    def level(counts):
+        D, after = kneser_ney.discounts(Counter(counts.values())), {}
+        for (*c, _), n in counts.items():
+            x = after.setdefault(tuple(c), [0, 0.0])
+            x[0], x[1] = x[0] + n, x[1] + D[min(n, 3) - 1]
+        return lambda gram, lower: max(counts[gram] - [0, *D][min(counts[gram], 3)], 0) / after[gram[:-1]][0] + after[gram[:-1]][1] / after[gram[:-1]][0] * lower if gram[:-1] in after else lower
+
+    three, two = level(triples), level(pairs)
+    one = level(Counter({(w,): n for w, n in kinds.items()}))
+    p2 = lambda v, w: two((v, w), one((w,), 1 / (V + 1)))
+    p = lambda u, v, w: p2(v, w) if u is None else three((u, v, w), p2(v, w))
+    u, v, _ = max(triples, key=triples.get)
+    assert sum(p(u, v, w) for w in uni) + p(u, v, "new") == pytest.approx(1, abs=1e-6)
+    got = {r.doc_id: r for r in kneser_ney.fit_and_score(docs, language_id.held_out(parts=7), 1 << 17, order=3).collect()}
+    for doc_id, text in rows:
+        words = [None, "start", *tokens(text)]
+        assert (got[doc_id].train_tokens, got[doc_id].n_tokens) == (N, len(words) - 2)
+        assert got[doc_id].score == pytest.approx(sum(math.log10(p(*g)) for g in zip(words, words[1:], words[2:], strict=False)))
+
+
 def brute_groups(rows):
     sets = {}
     for doc_id, text in rows:
