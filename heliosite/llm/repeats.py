@@ -1,14 +1,14 @@
-"""Removal of byte strings that occur earlier in the corpus, by prefix doubling over sampled suffixes.
+"""Removal of byte strings that occur earlier in the corpus, by minimiser fingerprints in place of prefix doubling.
 
 A byte goes if it lies in a ``length``-byte string that also starts earlier: in a row of smaller doc_id, or before it in
-the same row. Prefix doubling names the positions by the ``k`` bytes after them, and renames those that share a name by
+the same row. Instead of prefix doubling, minimisers are fingerprinted. Doubling names the positions by the ``k`` bytes after them, and renames those that share a name by
 more bytes until a name is unique or ``length`` bytes are named. Here
 
 1. names are 64-bit hashes of the named bytes, equal for equal bytes in every task, where a suffix array has dense ranks
    from a global sort; the pair (name at p, name at p + k) needs no second row, as the worker reads both from the text.
 2. round one names ``k`` bytes at anchors only: in each ``length``-byte window, the leftmost position whose k-byte hash
-   is smallest. Equal windows choose equal anchors, so a window repeats only if its anchor's name does. Spark sorts the
-   anchors by name; unique ones drop out.
+   is smallest. Equal windows choose equal anchors, so a window repeats only if its anchor's name does. Spark counts the
+   anchors of each name; unique ones drop out.
 3. round two names all the bytes of the windows that chose the anchor. Each bearer but the first of equal bytes is a
    repeat in all its windows and needs no further round. The first ones go on where their anchor's name has others.
 4. what goes on is named anew by the bytes that neighbouring windows share (``STEP`` starts, 85 of 100 bytes): unique ones
