@@ -114,3 +114,47 @@ def archive_and_delete(spark, sf_dir):
     moved = orders.where("o_orderstatus = 'F'")
     count = lambda df, side: df.agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("ids")).select(F.lit(side).alias("side"), "n", "ids")
     return count(moved, "history").unionByName(count(orders.join(moved, "o_orderkey", "left_anti"), "current"))
+
+
+@bound("select c_custkey, regexp_replace(lower(concat_ws(' 店-', c_name, c_mktsegment)), '[^0-9a-z一-鿿]+', '', 'g') as key from customer")
+def compact_names(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", text.compact(F.concat_ws(" 店-", "c_name", "c_mktsegment")).alias("key"))
+
+
+@bound(r"""select c_custkey, regexp_replace(replace(replace(regexp_replace(concat('上海市', c_name, '（', c_mktsegment, '） 上海店 (B) 2'), '[（(].*?[）)]', '', 'g'), '上海市', ''), '上海', ''), '\s+', '', 'g') as core from customer""")
+def core_names(spark, sf_dir):
+    name = F.concat(F.lit("上海市"), "c_name", F.lit("（"), "c_mktsegment", F.lit("） 上海店 (B) 2"))
+    return table(spark, sf_dir, "customer").select("c_custkey", text.core_name(name).alias("core"))
+
+
+@bound("select event_id, round((event_id % 1000) * pow(value / 1000, 2), 6) as area_m2 from events")
+def pixel_areas(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.round(geo.area_m2(F.col("event_id") % 1000, F.col("value") / 1000), 6).alias("area_m2"))
+
+
+@bound("""select event_id, case when event_id % 5 < 2 then 'none' when s = 'likely_pv' and components = 0 then 'possible_pv' else s end as status
+from (select event_id, case event_id % 3 when 0 then 'likely_pv' when 1 then 'possible_pv' else 'no_pv' end as s, event_id % 4 as components from events)""")
+def demoted_status(spark, sf_dir):
+    k = F.col("event_id")
+    status = decide.demoted(F.when(k % 3 == 0, "likely_pv").when(k % 3 == 1, "possible_pv").otherwise("no_pv"), k % 4)
+    # pixels are k % 5, at least 2 of them for a status
+    return table(spark, sf_dir, "events").select("event_id", F.when(k % 5 < 2, "none").otherwise(status).alias("status"))
+
+
+@bound("""select c_custkey, level, (level = 'A' or level = 'B')::int as enters, case when level in ('A', 'B') then c_acctbal end as center_lon, (level <> 'A')::int as review
+from (select c_custkey, c_acctbal, case c_custkey % 4 when 0 then 'A' when 1 then 'B' when 2 then 'C' else 'D' end as level from customer)""")
+def resolved_rows(spark, sf_dir):
+    k, level = F.col("c_custkey"), F.col("level")
+    rows = table(spark, sf_dir, "customer").withColumn("level", F.when(k % 4 == 0, "A").when(k % 4 == 1, "B").when(k % 4 == 2, "C").otherwise("D"))
+    return rows.select("c_custkey", "level", decide.enters(level).alias("enters"), F.when(decide.enters(level) == 1, F.col("c_acctbal")).alias("center_lon"), (level != "A").cast("int").alias("review"))
+
+
+@bound("""with e as (select user_id, event_id, value as pos, (event_id * 31) % 101 as neg from events),
+r as (select *, row_number() over (partition by user_id order by pos desc, event_id) as p, row_number() over (partition by user_id order by neg desc, event_id) as n from e)
+select user_id, max(case when p = 1 then event_id end) as pos_crop, max(pos) as pos, max(case when n = 1 then event_id end) as neg_crop, max(neg) as neg from r group by 1""")
+def crop_posneg_argmax(spark, sf_dir):
+    k = F.col("event_id")
+    crops = table(spark, sf_dir, "events").select("user_id", "event_id", F.col("value").alias("pos"), ((k * 31) % 101).alias("neg"))
+    return crops.groupBy("user_id").agg(
+        F.max_by("event_id", F.struct("pos", -k)).alias("pos_crop"), F.max("pos").alias("pos"), F.max_by("event_id", F.struct("neg", -k)).alias("neg_crop"), F.max("neg").alias("neg"),
+    )
