@@ -1,8 +1,8 @@
 """Removal of byte strings that occur earlier in the corpus, by minimiser fingerprints in place of prefix doubling.
 
 A byte goes if it lies in a ``length``-byte string that also starts earlier: in a row of smaller doc_id, or before it in
-the same row. Instead of prefix doubling, minimisers are fingerprinted. Doubling names the positions by the ``k`` bytes after them, and renames those that share a name by
-more bytes until a name is unique or ``length`` bytes are named. Here
+the same row. Instead of prefix doubling, minimisers are fingerprinted. Doubling names the positions by the ``k`` bytes
+after them, and renames those that share a name by more bytes until a name is unique or ``length`` bytes are named. Here
 
 1. names are 64-bit hashes of the named bytes, equal for equal bytes in every task, where a suffix array has dense ranks
    from a global sort; the pair (name at p, name at p + k) needs no second row, as the worker reads both from the text.
