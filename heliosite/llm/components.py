@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heliosite.llm.storage import persisted
+from heliosite.llm.storage import discarded, persisted
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node reachable by ``edges``; nodes without an edge don't appear.
 
     Each round hangs every node's larger neighbours, then its smaller ones, under the smallest that it knows, without
@@ -28,8 +28,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v")).where("u <> v")).distinct()
 
     before = None
-    for _ in range(most_rounds):
-        pairs = persisted(star(star(pairs, True), False))
+    while True:  # until a round changes nothing
+        old, pairs = pairs, persisted(star(star(pairs, True), False))
+        discarded(old)
         mark = pairs.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if mark == before:
             break

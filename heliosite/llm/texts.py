@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -65,6 +66,21 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
+def trimmed(run: Callable) -> Callable:
+    """``run`` over record batches, after which the worker gives its freed memory back, as it lives on beside those of other stages."""
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+            if give_back is not None:
+                give_back(0)
+
+    return held
+
+
 def slices(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Runs of rows with at most ``most`` bytes together; a longer row stands alone."""
     first, n = 0, len(offsets) - 1
