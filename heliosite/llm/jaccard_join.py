@@ -1,11 +1,11 @@
 """Exact Jaccard self-join of word n-gram sets through prefix trees, and the groups that its links form.
 
 Two sets of size m <= n reach ``percent`` only if they share ceil(percent * (n + m) / (100 + percent)) members. So, in any
-order that all sets follow, the first ``prefix_length`` members of both hold a common one.
+order that all sets follow, the first ``prefix_length`` - 1 + k members of both hold k common ones.
 
-1. Every text gives its set's name, size and first prefix, in an order by hash with common n-grams last (``COMMON`` of them,
-   the most frequent of a sixteenth of the documents; this first order changes costs only). A member that one prefix
-   alone holds leads nowhere; the sets that hold another are in play. Equal sets are one vertex.
+1. Every text gives its set's name, size and first prefix, for k = ``asked`` (a tenth of the set), in an order by hash with
+   common n-grams last (``COMMON`` of them, the most frequent of a sixteenth of the documents; this first order changes
+   costs only). A member that one prefix alone holds leads nowhere; the sets that hold k others are in play. Equal sets are one vertex.
 2. The sets in play are counted against each other: members that one of them alone holds can't be shared and are dropped,
    the others stand in the global order, rarest first, by their counts over all sets in play. A set that keeps fewer than
    ``percent`` of its members goes.
@@ -64,6 +64,11 @@ def prefix_length(size: np.ndarray, percent: int) -> np.ndarray:
     return size - -(-size * percent // 100) + 1
 
 
+def asked(size: np.ndarray) -> np.ndarray:
+    """How many members of its first prefix a set must share to be in play; the more, the longer the prefix and the fewer the sets."""
+    return -(-size // 10)
+
+
 def lists(members: np.ndarray, firsts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(firsts.astype(np.int32)), pa.array(members.view(np.int64)))
 
@@ -180,7 +185,7 @@ def _prefixes(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 place = np.zeros(len(members), np.int64)
                 place[late] = rank[at[late]]
                 members = members[np.lexsort((members, place, np.repeat(np.arange(len(size)), size)))]
-        length = np.where(size > 0, prefix_length(size, percent), 0)
+        length = np.where(size > 0, np.minimum(prefix_length(size, percent) - 1 + asked(size), size), 0)
         ends = np.concatenate([[0], np.cumsum(length)])
         take = np.repeat(firsts[:-1] - ends[:-1], length) + np.arange(ends[-1])
         return {"doc_id": ids, "n": size.astype(np.int32), "h": names, "prefix": lists(members[take], ends)}
@@ -189,7 +194,7 @@ def _prefixes(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
 
 def _in_play(docs: DataFrame, heads: DataFrame, n: int) -> DataFrame:
-    """(h, n, members): the whole sets whose first prefix holds a member that another set's holds."""
+    """(h, n, members): the whole sets whose first prefix holds as many members of other sets' prefixes as ``asked``."""
     ship = docs.sparkSession.sparkContext.broadcast
     rows = heads.where("n > 0 and doc_id is not null")
     held = rows.select("h", F.explode("prefix").alias("member")).groupBy("member").agg(F.min("h").alias("low"), F.max("h").alias("high"))
@@ -198,12 +203,13 @@ def _in_play(docs: DataFrame, heads: DataFrame, n: int) -> DataFrame:
 
     def bearing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(2)
+            column = batch.column(3)
             hit = np.concatenate([[0], np.cumsum(Marks.has(met.value, column.flatten().to_numpy().view(np.uint64)))])
             ends = np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())])
-            yield batch.select([0, 1]).filter(pa.array(hit[ends[1:]] > hit[ends[:-1]]))
+            size = batch.column(2).to_numpy().astype(np.int64)
+            yield batch.select([0, 1]).filter(pa.array(hit[ends[1:]] - hit[ends[:-1]] >= asked(size)))
 
-    wanted = rows.select("doc_id", "h", "prefix").mapInArrow(trimmed(bearing), "doc_id long, h long").groupBy("h").agg(F.min("doc_id").alias("doc_id"))
+    wanted = rows.select("doc_id", "h", "n", "prefix").mapInArrow(trimmed(bearing), "doc_id long, h long").groupBy("h").agg(F.min("doc_id").alias("doc_id"))
     with shuffles_dropped(docs.sparkSession):
         marks = ship(Marks.of(wanted.select(F.xxhash64("doc_id").alias("h"))))
     return persisted(_sets(docs.where("doc_id is not null"), n, "h long, n int, members array<long>", lambda ids, members, firsts: {"h": name_of(members, firsts), "n": np.diff(firsts).astype(np.int32), "members": lists(members, firsts)}, marks))
