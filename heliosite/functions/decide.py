@@ -1,4 +1,4 @@
-"""Decisions as CASE expressions; thresholds are parameters with the recorded defaults."""
+"""Decisions as CASE expressions. Thresholds and names in the defaults and branches equal the recorded ones."""
 
 from __future__ import annotations
 
@@ -43,6 +43,16 @@ def confidence_level(status: Column, name: Column, coordinates: Column, image: C
     return F.when((status == "auto_pass") & best, "A").when(status == "auto_pass", "B").when(status == "manual_review", "C").otherwise("D")
 
 
+def identity_reasons(status: Column, name: Column, coordinates: Column, image: Column, agreeing: Column) -> Column:
+    conflict = F.when((status == "manual_review") & (image == "old_image_more_mall_like") & (agreeing < 2), "old_image_conflicts_with_official_candidate")
+    listed = F.array_compact(F.array(F.concat(F.lit("name_match_"), name), coordinates, image, conflict))
+    return F.when(status == "reject_candidate", F.array(F.lit("bad_place_or_outside_target_region"))).otherwise(listed)
+
+
+def review_status(level: Column) -> Column:
+    return F.when(level == "A", "approved_auto").when(level == "B", "approved_auto_sample_check").when(level == "C", "needs_manual_review").otherwise("blocked_unresolved")
+
+
 def enters(level: Column) -> Column:
     return level.isin("A", "B").cast("int")
 
@@ -76,6 +86,14 @@ def potential(roof_ratio: Column, pv_ratio: Column) -> Column:
     return F.when((roof_ratio >= 0.04) & (pv_ratio < 0.02), "high").otherwise(tiers(roof_ratio, [(0.006, "medium")], "low"))
 
 
+def potential_reason(level: Column) -> Column:
+    return (
+        F.when(level == "high", "large regular roof candidates and limited existing PV detected")
+        .when(level == "medium", "some roof candidates exist; manual review needed")
+        .otherwise("few large regular roof candidates in this crop")
+    )
+
+
 def condition_level(score: Column, area_m2: Column, tiles: Column) -> Column:
     return (
         F.when(tiles == 0, "unknown")
@@ -103,6 +121,10 @@ def image_decision(old: Column, new: Column, passes: float = 0.5, margin: float
     )
 
 
+def image_priority(decision: Column) -> Column:
+    return F.when(decision.isin("no_candidate_coordinate", "candidate_center_likely_mall", "old_image_more_mall_like"), "high").otherwise("medium")
+
+
 def quality_status(flags: Column, hard: tuple[str, ...], risky: tuple[str, ...], visual: tuple[str, ...]) -> Column:
     """reject for a hard flag, review for a risky one or two visual ones, else pass."""
     any_of = lambda names: F.arrays_overlap(flags, F.array(*[F.lit(n) for n in names]))

@@ -35,6 +35,13 @@ def from_pixel(x: Column, y: Column, zoom: int) -> tuple[Column, Column]:
     return x / size * 360.0 - 180.0, F.degrees(F.atan(F.sinh((1 - 2 * y / size) * math.pi)))
 
 
+def from_pixel_clamped(x: Column, y: Column, zoom: int) -> tuple[Column, Column]:
+    """The exponential form; latitudes beyond the projection's limit are cut to it."""
+    size = float(TILE * 2**zoom)
+    lat = 90.0 - F.atan(F.exp((y / size - 0.5) * (2 * math.pi))) * (360.0 / math.pi)
+    return x / size * 360.0 - 180.0, F.greatest(F.least(lat, F.lit(MAX_LATITUDE)), F.lit(-MAX_LATITUDE))
+
+
 def web_mercator(lon: Column, lat: Column) -> tuple[Column, Column]:
     radius = 6378137.0
     return F.radians(lon) * radius, F.ln(F.tan(F.radians(lat) / 2 + math.pi / 4)) * radius
@@ -105,12 +112,22 @@ def _grid(steps: Column, keep) -> Column:
     return F.filter(F.flatten(F.transform(steps, lambda y: F.transform(steps, lambda x: F.struct(x.alias("dx"), y.alias("dy"))))), keep)
 
 
+def _far(p: Column) -> Column:
+    return F.sqrt(p["dx"] * p["dx"] + p["dy"] * p["dy"])
+
+
+def _nearest(offsets: Column, *ties) -> Column:
+    """Offsets by distance (to a micrometre, so that equal ones are equal), then ``ties``, dx, dy."""
+    keyed = F.transform(offsets, lambda p: F.struct(F.round(_far(p), 6).alias("d"), *[t(p).alias(f"t{i}") for i, t in enumerate(ties)], p["dx"].alias("dx"), p["dy"].alias("dy")))
+    return F.transform(F.array_sort(keyed), lambda p: F.struct(p["dx"].alias("dx"), p["dy"].alias("dy"), p["d"].alias("distance")))
+
+
 def buffer_tiles(radius_m: float, tile_px: int, overlap_px: int, mpp: Column) -> Column:
-    """Tile centre offsets in metres whose square can touch the circle, by distance, then dy, dx."""
+    """Tile centre offsets in metres whose square can touch the circle, by distance, then dx, dy."""
     stride, half = (tile_px - overlap_px) * mpp, tile_px * mpp / 2
     n = F.ceil((radius_m + half) / stride).cast("int")
     steps = F.transform(F.sequence(-n, n), lambda i: i * stride)
-    return _grid(steps, lambda p: F.sqrt(p["dx"] * p["dx"] + p["dy"] * p["dy"]) <= radius_m + half * math.sqrt(2))
+    return _nearest(_grid(steps, lambda p: _far(p) <= radius_m + half * math.sqrt(2)))
 
 
 def sample_offsets(radius_m: float, most: int) -> Column:
@@ -118,9 +135,7 @@ def sample_offsets(radius_m: float, most: int) -> Column:
     step = max(radius_m / 2, 250.0)
     n = int(radius_m // step)
     steps = F.array(*[F.lit(i * step) for i in range(-n, n + 1)])
-    inside = _grid(steps, lambda p: p["dx"] * p["dx"] + p["dy"] * p["dy"] <= radius_m * radius_m)
-    keyed = F.array_sort(F.transform(inside, lambda p: F.struct((p["dx"] * p["dx"] + p["dy"] * p["dy"]).alias("d"), p["dx"].alias("dx"), p["dy"].alias("dy"))))
-    return F.slice(keyed, 1, most)
+    return F.slice(_nearest(_grid(steps, lambda p: _far(p) <= radius_m + 1e-6), lambda p: F.abs(p["dx"]) + F.abs(p["dy"])), 1, max(most, 0))
 
 
 def centroid(ring: Column) -> tuple[Column, Column]:
@@ -136,10 +151,93 @@ def centroid(ring: Column) -> tuple[Column, Column]:
 
 
 def tile_cover(lon: Column, lat: Column, size_px: int, zoom: int) -> Column:
-    """Array of (tile_x, tile_y) of the map tiles under a square crop around a point; rows beyond the map are cut."""
+    """Array of (tile_x, tile_y) of the map tiles under a square crop around a point; columns wrap, rows beyond the map are cut."""
     x, y = to_pixel(lon, lat, zoom)
     first = lambda v: F.floor((v - size_px / 2) / 256).cast("long")
     last = lambda v: F.floor((v + size_px / 2 - 1) / 256).cast("long")
     columns = F.sequence(first(x), last(x))
     lines = F.sequence(F.greatest(first(y), F.lit(0)), F.least(last(y), F.lit(2**zoom - 1)))
-    return F.flatten(F.transform(columns, lambda i: F.transform(lines, lambda j: F.struct(i.alias("tile_x"), j.alias("tile_y")))))
+    return F.flatten(F.transform(columns, lambda i: F.transform(lines, lambda j: F.struct(F.pmod(i, F.lit(2**zoom)).alias("tile_x"), j.alias("tile_y")))))
+
+
+# Boxes (west, south, east, north) of the regions that have one.
+REGIONS = {"上海": (120.85, 30.67, 122.15, 31.87), "浙江": (118.0, 27.0, 123.2, 31.6)}
+
+
+def in_region(lon: Column, lat: Column, region: Column, boxes: dict[str, tuple[float, ...]] = REGIONS) -> Column:
+    """Inside the box of a region, whose name may end in its kind; a region without a box holds every point, no region a null one."""
+    short = F.regexp_replace(F.regexp_replace(F.trim(F.coalesce(region, F.lit(""))), "省$", ""), "市$", "")
+    inside = F.lit(True)
+    for name, box in boxes.items():
+        inside = F.when(short == name, in_box(lon, lat, *[F.lit(x) for x in box])).otherwise(inside)
+    return F.when(lon.isNull() | lat.isNull(), F.lit(False)).otherwise(inside)
+
+
+def needs_repair(lon: Column, lat: Column, box: tuple[float, ...] = REGIONS["上海"]) -> Column:
+    """Coordinates as text that can't be read or lie outside ``box``."""
+    return ~in_box(lon.try_cast("double"), lat.try_cast("double"), *[F.lit(x) for x in box])
+
+
+def marker(lon0: Column, lat0: Column, lon: Column, lat: Column, zoom: int, size: int, margin: int) -> Column:
+    """struct(x, y, x_pct, y_pct, visible) of a point on a square map around another."""
+    (x0, y0), (x1, y1) = to_pixel(lon0, lat0, zoom), to_pixel(lon, lat, zoom)
+    x, y = x1 - x0 + size / 2, y1 - y0 + size / 2
+    seen = x.between(-margin, size + margin) & y.between(-margin, size + margin)
+    return F.struct(x.alias("x"), y.alias("y"), (x / size * 100).alias("x_pct"), (y / size * 100).alias("y_pct"), seen.alias("visible"))
+
+
+def clicked(lon0: Column, lat0: Column, x: Column, y: Column, zoom: int, size: int) -> tuple[Column, Column]:
+    """The point under pixel (x, y) of a square map around (lon0, lat0)."""
+    x0, y0 = to_pixel(lon0, lat0, zoom)
+    return from_pixel_clamped(x0 + x - size / 2, y0 + y - size / 2, zoom)
+
+
+def _box(left: Column, top: Column, right: Column, bottom: Column) -> Column:
+    return F.struct(*[v.cast("int").alias(n) for n, v in (("left", left), ("top", top), ("right", right), ("bottom", bottom))])
+
+
+def _shorter(width: Column, height: Column, ratio: float) -> Column:
+    return F.floor(F.least(width, height) * F.lit(ratio)).cast("int")
+
+
+def _half(value: Column) -> Column:
+    return F.floor(value / 2).cast("int")
+
+
+def crop_boxes(width: Column, height: Column) -> Column:
+    """Seven named boxes: the whole, the middle 70 %, four corners and the middle of 50 %."""
+
+    def cut(name: str, left: Column, top: Column, size: Column) -> Column:
+        x, y = F.greatest(F.lit(0), F.least(left, width - 1)), F.greatest(F.lit(0), F.least(top, height - 1))
+        return F.struct(F.lit(name).alias("name"), _box(x, y, F.greatest(x + 1, F.least(left + size, width)), F.greatest(y + 1, F.least(top + size, height))).alias("box"))
+
+    large, small, zero = _shorter(width, height, 0.70), _shorter(width, height, 0.50), F.lit(0)
+    places = [("top_left", zero, zero), ("top_right", width - small, zero), ("center", _half(width - small), _half(height - small)), ("bottom_left", zero, height - small), ("bottom_right", width - small, height - small)]
+    whole = F.struct(F.lit("full").alias("name"), _box(zero, zero, width, height).alias("box"))
+    return F.array(whole, cut("center_70", _half(width - large), _half(height - large), large), *[cut(n, x, y, small) for n, x, y in places])
+
+
+def view_boxes(width: Column, height: Column) -> Column:
+    """Seven named boxes: the whole, the middle 80 and 60 %, and four corners of 62 %."""
+
+    def at(name: str, ratio: float, right: float, low: float) -> Column:
+        size = _shorter(width, height, ratio)
+        left, top = (F.floor((side - size) * share).cast("int") for side, share in ((width, right), (height, low)))
+        return F.struct(F.lit(name).alias("name"), _box(left, top, left + size, top + size).alias("box"))
+
+    whole = F.struct(F.lit("full").alias("name"), _box(F.lit(0), F.lit(0), width, height).alias("box"))
+    corners = [(f"{v}_{h}", 0.62, float(h == "right"), float(v == "bottom")) for v in ("top", "bottom") for h in ("left", "right")]
+    return F.array(whole, at("center_80", 0.80, 0.5, 0.5), at("center_60", 0.60, 0.5, 0.5), *[at(*c) for c in corners])
+
+
+def center_box(width: Column, height: Column, size: int) -> Column:
+    side = F.least(F.lit(size), width, height)
+    left, top = _half(width - side), _half(height - side)
+    return _box(left, top, left + side, top + side)
+
+
+def padded_box(left: Column, top: Column, wide: Column, high: Column, width: Column, height: Column, ratio: float = 0.0, pixels: int = 0) -> Column:
+    """A box with a margin on each side, cut to the image. ``ratio`` is of the box's own sides; halves go to even numbers."""
+    x, y = F.bround(wide * ratio, 0) + pixels, F.bround(high * ratio, 0) + pixels
+    zero = F.lit(0)
+    return _box(F.greatest(zero, left - x), F.greatest(zero, top - y), F.least(width, left + wide + x), F.least(height, top + high + y))

@@ -2,28 +2,38 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from heliosite.functions import text
+
+
+def spare(*tables: DataFrame) -> str:
+    """A column name that none of ``tables`` has."""
+    taken = {c.lower() for df in tables for c in df.columns}
+    return next(name for i in range(len(taken) + 1) if (name := f"_h{i}") not in taken)
+
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The row of each key that comes first in a total order."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+    n = spare(df)
+    return df.withColumn(n, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(n) == 1).drop(n)
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: Column) -> DataFrame:
-    """Rows of both, where the last in ``order`` wins for a key and new ones win ties."""
-    both = old.withColumn("_side", F.lit(0)).unionByName(new.withColumn("_side", F.lit(1)), allowMissingColumns=True)
-    return first_per_key(both, keys, [F.desc("_side"), order.desc()]).drop("_side")
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: Column, ties: list[Column] | None = None) -> DataFrame:
+    """Rows of both, where the last in ``order`` wins for a key, of equal ones a new one, of those the first by ``ties``."""
+    side = spare(old, new)
+    both = old.withColumn(side, F.lit(0)).unionByName(new.withColumn(side, F.lit(1)), allowMissingColumns=True)
+    return first_per_key(both, keys, [order.desc(), F.desc(side), *(ties or [])]).drop(side)
 
 
 def insert_or_ignore(df: DataFrame, unique: list[str], order: list[Column]) -> DataFrame:
     """The first row of each tuple; a tuple with a null is never a duplicate."""
-    whole = ~F.lit(False)
-    for c in unique:
-        whole = whole & F.col(c).isNotNull()
-    n = F.row_number().over(Window.partitionBy(*unique).orderBy(*order))
-    return df.withColumn("_n", n).where(~whole | (F.col("_n") == 1)).drop("_n")
+    whole = reduce(and_, [F.col(c).isNotNull() for c in unique])
+    return first_per_key(df.where(whole), unique, order).unionByName(df.where(~whole))
 
 
 def frequency(df: DataFrame, key: str) -> DataFrame:
@@ -46,14 +56,37 @@ def agreement(sites: DataFrame, group: str, radius_m: float, distance) -> DataFr
     ``distance`` builds the metres between two rows' coordinates. Rows meet only in the same or the next latitude band of
     ``radius_m``, so that a large group isn't compared whole.
     """
-    band = F.floor(F.col("lat") * 111_000.0 / radius_m)
-    left = sites.withColumn("_band", band)
-    right = sites.select([F.col(c).alias(f"other_{c}") for c in sites.columns]).withColumn("_band", F.explode(F.array(*[F.floor(F.col("other_lat") * 111_000.0 / radius_m) + i for i in (-1, 0, 1)])))
-    joined = left.join(right, (F.col(group) == F.col(f"other_{group}")) & (left["_band"] == right["_band"]) & (F.col("provider") != F.col("other_provider")))
-    return joined.where(distance(F.col("lon"), F.col("lat"), F.col("other_lon"), F.col("other_lat")) <= radius_m).drop("_band")
+    own, other = (f"{spare(sites)}_{side}" for side in ("own", "other"))
+    left = sites.withColumn(own, F.floor(F.col("lat") * 111_000.0 / radius_m))
+    right = sites.select([F.col(c).alias(f"other_{c}") for c in sites.columns]).withColumn(other, F.explode(F.array(*[F.floor(F.col("other_lat") * 111_000.0 / radius_m) + i for i in (-1, 0, 1)])))
+    joined = left.join(right, (F.col(group) == F.col(f"other_{group}")) & (F.col(own) == F.col(other)) & (F.col("provider") != F.col("other_provider")))
+    return joined.where(distance(F.col("lon"), F.col("lat"), F.col("other_lon"), F.col("other_lat")) <= radius_m).drop(own, other)
 
 
 def early_stop(df: DataFrame, keys: list[str], order: list[Column], stop: Column) -> DataFrame:
     """Rows of each key up to and with the first at which ``stop`` holds."""
     before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("_s", F.coalesce(F.max(stop.cast("int")).over(before), F.lit(0))).where("_s = 0").drop("_s")
+    stopped = spare(df)
+    return df.withColumn(stopped, F.coalesce(F.max(stop.cast("int")).over(before), F.lit(0))).where(F.col(stopped) == 0).drop(stopped)
+
+
+def top_ranked(df: DataFrame, order: list[Column], most: int, place: str) -> DataFrame:
+    """The first ``most`` rows of a total order with their ordinals from 1; only those rows meet in one task."""
+    return df.orderBy(*order).limit(most).withColumn(place, F.row_number().over(Window.orderBy(*order)).cast("long"))
+
+
+def similar_names(df: DataFrame, key: str, group: str, name: str, tokens: tuple[str, ...] = text.GENERIC_TOKENS, salts: int = 8) -> DataFrame:
+    """(a, b, score): name similarity of each pair of rows in a group, a before b.
+
+    What a name gives by itself is computed once a row, before the exchange, so that a pair costs two array intersections.
+    All pairs of a group are what is asked for; ``salts`` parts of each group's left side spread a large one over tasks.
+    """
+    normal = text.normalize_name(F.col(name), tokens)
+    once = df.select(F.col(key).alias("k"), F.col(group).alias("g"), normal.alias("n")).select("k", "g", "n", F.length("n").alias("size"), text.bigrams(text.normalize_name(F.col("n"), tokens)).alias("bi"), text.characters(F.col("n")).alias("ch"))
+    side = lambda rows, i: rows.select("g", "salt", *[F.col(c).alias(f"{c}{i}") for c in ("k", "n", "size", "bi", "ch")])
+    left = side(once.withColumn("salt", F.pmod(F.xxhash64("k"), F.lit(salts)).cast("int")).repartition("g", "salt"), 1)
+    right = side(once.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).repartition("g", "salt"), 2)
+    pairs = left.hint("shuffle_hash").join(right, ["g", "salt"]).where("k1 < k2")
+    c = F.col
+    score = text.similarity_of(c("n1"), c("n2"), c("size1"), c("size2"), c("bi1"), c("bi2"), c("ch1"), c("ch2"))
+    return pairs.select(c("k1").alias("a"), c("k2").alias("b"), score.alias("score"))

@@ -108,10 +108,9 @@ def softmax_share(spark, sf_dir):
 
 @bound("select count(*) as customers, count(distinct o_custkey) as with_orders, (select count(*) from customer where c_custkey not in (select o_custkey from orders)) as without from customer left join orders on c_custkey = o_custkey")
 def dashboard_counts(spark, sf_dir):
-    seen = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct().withColumn("seen", F.lit(1))
-    rows = table(spark, sf_dir, "customer").join(seen, "c_custkey", "left")
-    joined = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left").agg(F.count("*").alias("customers"))
-    return joined.crossJoin(F.broadcast(rows.agg(F.count("seen").alias("with_orders"), F.count_if(F.col("seen").isNull()).alias("without"))))
+    orders = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
+    rows = table(spark, sf_dir, "customer").join(orders, "c_custkey", "left")
+    return rows.agg(F.sum(F.greatest(F.coalesce("n", F.lit(0)), F.lit(1))).alias("customers"), F.count("n").alias("with_orders"), F.count_if(F.col("n").isNull()).alias("without"))
 
 
 @bound("select distinct c_mktsegment as segment from customer where trim(c_mktsegment) <> ''")
@@ -119,12 +118,12 @@ def distinct_nonempty(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("segment")).where(F.trim("segment") != "").distinct().orderBy("segment")
 
 
-@bound("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+@bound("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderkey % 16 = 1)")
 def not_archived(spark, sf_dir):
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").where("o_orderkey % 16 = 1"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
-@bound("select user_id, event_id, epoch(ts)::bigint as at from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as n from events) where n = 1")
+@bound("select user_id, event_id, floor(epoch(ts))::bigint as at from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as n from events) where n = 1")
 def latest_history(spark, sf_dir):
     return rel.first_per_key(table(spark, sf_dir, "events"), ["user_id"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id", F.unix_timestamp("ts").alias("at"))
 
@@ -140,10 +139,10 @@ def prior_quality_lookup(spark, sf_dir):
     return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"))
 
 
-@bound("select user_id, event_id from (select *, row_number() over (partition by user_id order by event_id % 2 desc, event_id desc) as n from events) where n = 1")
+@bound("select user_id, event_id from (select *, row_number() over (partition by user_id order by event_id // 4 desc, event_id % 2 desc, event_id desc) as n from events) where n = 1")
 def upsert_latest(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("user_id", "event_id")
-    return rel.upsert(events.where("event_id % 2 = 0"), events.where("event_id % 2 = 1"), ["user_id"], F.col("event_id"))
+    return rel.upsert(events.where("event_id % 2 = 0"), events.where("event_id % 2 = 1"), ["user_id"], F.floor(F.col("event_id") / 4), [F.desc("event_id")])
 
 
 @bound("with t as (select event_id, user_id, case when event_id % 5 <> 0 then event_type end as kind from events) select event_id from (select *, row_number() over (partition by user_id, kind order by event_id) as n from t) where kind is null or n = 1")
@@ -158,9 +157,9 @@ def rank_capped(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").withColumn("n", F.row_number().over(w)).where("n <= 3").select("l_orderkey", "l_linenumber", "n")
 
 
-@bound("select p_partkey, p_retailprice::double as price from part order by p_retailprice desc, p_partkey limit 20")
+@bound("select p_partkey, p_retailprice::double as price, row_number() over (order by p_retailprice desc, p_partkey) as place from part order by place limit 20")
 def rank_global(spark, sf_dir):
-    return table(spark, sf_dir, "part").orderBy(F.desc("p_retailprice"), "p_partkey").limit(20).select("p_partkey", F.col("p_retailprice").cast("double").alias("price"))
+    return rel.top_ranked(table(spark, sf_dir, "part"), [F.desc("p_retailprice"), F.asc("p_partkey")], 20, "place").select("p_partkey", F.col("p_retailprice").cast("double").alias("price"), "place")
 
 
 @bound("with p as (select event_id, user_id from events where event_type = 'click') select event_id, coalesce(lead(event_id) over w, first_value(event_id) over (partition by user_id order by event_id)) as next_id, lag(event_id) over w as previous_id from p window w as (partition by user_id order by event_id)")
@@ -200,23 +199,36 @@ def safe_casts(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", text.to_int(F.concat(F.replace("c_name", F.lit("Customer#"), F.lit("")), F.lit(".7"))).alias("number"), text.to_float(F.col("c_mktsegment")).alias("bad"))
 
 
-@bound("select c_custkey, strlen(regexp_replace(lower(c_name), '[\\s#]', '', 'g')) as size from customer")
+_PLACE = "case c_custkey % 5 when 0 then '上海市购物中心' when 1 then '上海 商业广场（一期）' when 2 then '商商场业 Mall' when 3 then '项目·MAX' else '购物公园' end"
+
+
+def _without(text_sql: str, tokens: tuple[str, ...]) -> str:
+    for token in tokens:
+        text_sql = f"replace({text_sql}, '{token}', '')"
+    return text_sql
+
+
+@bound(f"""select c_custkey, {_without('n', text.GENERIC_TOKENS)} as normal, {_without('n', text.RELOCATION_TOKENS)} as relocated
+from (select c_custkey, regexp_replace(lower(replace(c_name, '#', ' ') || {_PLACE}), '[\\s·（）]', '', 'g') as n from customer)""")
 def name_normalize(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey", F.length(text.normalize_name(F.replace("c_name", F.lit("#"), F.lit(" ")))).cast("long").alias("size"))
+    k = F.col("c_custkey") % 5
+    place = F.when(k == 0, "上海市购物中心").when(k == 1, "上海 商业广场（一期）").when(k == 2, "商商场业 Mall").when(k == 3, "项目·MAX").otherwise("购物公园")
+    name = F.concat(F.replace("c_name", F.lit("#"), F.lit(" ")), place)
+    return table(spark, sf_dir, "customer").select("c_custkey", text.normalize_name(name).alias("normal"), text.normalize_name(name, text.RELOCATION_TOKENS).alias("relocated"))
 
 
 _GRAMS = "list_distinct(list_transform(range(1, greatest(length({0}), 2)), lambda i: substr({0}, i, 2)))"
 _CHARS = "list_distinct(string_split({0}, ''))"
 
 
-@bound(f"""with p as (select p_partkey as k, p_brand as b, replace(replace(replace(lower(p_name), ' ', ''), '#', ''), '-', '') as n from part),
+@bound(f"""with p as (select p_partkey as k, p_brand as b, replace(replace(replace(replace(lower(p_name), ' ', ''), '#', ''), '-', ''), 'mall', '') as n from (select p_partkey, p_brand, case when p_partkey % 3 = 0 then p_name || ' Mall' else p_name end as p_name from part)),
 j as (select x.k as a, y.k as b, x.n as n1, y.n as n2 from p x join p y on x.b = y.b and x.k < y.k)
 select a, b, round(case when contains(n1, n2) or contains(n2, n1) then least(1.0::double, 0.72::double + 0.28::double * least(length(n1), length(n2)) / greatest(length(n1), length(n2)))
 else 0.78::double * 2 * len(list_intersect({_GRAMS.format('n1')}, {_GRAMS.format('n2')})) / (len({_GRAMS.format('n1')}) + len({_GRAMS.format('n2')})) + 0.22::double * len(list_intersect({_CHARS.format('n1')}, {_CHARS.format('n2')})) / len({_CHARS.format('n1')}) end, 6) as score from j""")
 def name_similarity(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_brand").alias("brand"), F.replace("p_name", F.lit("#"), F.lit("")).alias("n"))
-    left, right = p.select(F.col("k").alias("a"), "brand", F.col("n").alias("n1")), p.select(F.col("k").alias("b"), "brand", F.col("n").alias("n2"))
-    return left.join(right, "brand").where("a < b").select("a", "b", F.round(text.similarity(F.col("n1"), F.col("n2"), ()), 6).alias("score"))
+    name = F.when(F.col("p_partkey") % 3 == 0, F.concat("p_name", F.lit(" Mall"))).otherwise(F.col("p_name"))
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.replace(name, F.lit("#"), F.lit("")).alias("name"))
+    return rel.similar_names(p, "p_partkey", "p_brand", "name").select("a", "b", F.round("score", 6).alias("score"))
 
 
 @bound(f"select id, round(156543.03392804097::double * cos(radians(lat)) / 262144, 9) as mpp, round((lon + 180) / 360 * 256 * 262144, 3) as px, round((0.5::double - ln((1 + sin(radians(lat))) / (1 - sin(radians(lat)))) / (4 * pi())) * 256 * 262144, 3) as py, round(lon, 6) as lon, round(lat, 6) as lat from {SITE}")
@@ -266,53 +278,76 @@ def windows(spark, sf_dir):
 
 
 @bound(f"""with m as (select id, 156543.03392804097::double * cos(radians(lat)) / 262144 as mpp from {SITE}), g as (select id, mpp, 640 * mpp as st, 384 * mpp as half from m)
-select id, (select count(*) from range(-12, 13) a(i), range(-12, 13) b(j) where abs(i) <= ceil((1000 + half) / st) and abs(j) <= ceil((1000 + half) / st) and sqrt(i*i*st*st + j*j*st*st) <= 1000 + half * sqrt(2)) as tiles, 13 as offsets from g""")
+select id, n, i, j from (select id, i, j, row_number() over (partition by id order by round(sqrt(i*i*st*st + j*j*st*st), 6), i, j) as n from g, range(-12, 13) a(i), range(-12, 13) b(j) where abs(i) <= ceil((1000 + half) / st) and abs(j) <= ceil((1000 + half) / st) and sqrt(i*i*st*st + j*j*st*st) <= 1000 + half * sqrt(2))""")
 def tile_grid(spark, sf_dir):
-    tiles = F.size(geo.buffer_tiles(1000.0, 768, 128, geo.metres_per_pixel(F.col("lat"), 18))).cast("long")
-    return site(spark, sf_dir).select("id", tiles.alias("tiles"), F.size(geo.sample_offsets(1000.0, 13)).alias("offsets"))
+    mpp = geo.metres_per_pixel(F.col("lat"), 18)
+    tiles = site(spark, sf_dir).select("id", mpp.alias("mpp"), F.posexplode(geo.buffer_tiles(1000.0, 768, 128, mpp)).alias("at", "tile"))
+    step = lambda k: F.round(F.col("tile")[k] / (640 * F.col("mpp"))).cast("long")
+    return tiles.select("id", (F.col("at") + 1).cast("long").alias("n"), step("dx").alias("i"), step("dy").alias("j"))
 
 
-@bound(f"select id, round(lon + 0.01, 6) as x, round(lat + 0.005, 6) as y from {SITE}")
+@bound(f"""select id, round(lon + case id % 4 when 0 then 0.01::double when 1 then 0.02::double / 3 when 2 then 0.01::double else 0.01::double end, 6) as x,
+round(lat + case id % 4 when 0 then 0.005::double when 1 then 0.01::double / 3 when 2 then 0.005::double else 0 end, 6) as y from {SITE}""")
 def polygon_centroid(spark, sf_dir):
+    """Rectangles, triangles, two vertices, and three on a line."""
     corner = lambda dx, dy: F.struct((F.col("lon") + dx).alias("x"), (F.col("lat") + dy).alias("y"))
-    x, y = geo.centroid(F.array(corner(0.0, 0.0), corner(0.02, 0.0), corner(0.02, 0.01), corner(0.0, 0.01)))
+    k, first = F.col("id") % 4, corner(0.0, 0.0)
+    ring = (
+        F.when(k == 0, F.array(first, corner(0.02, 0.0), corner(0.02, 0.01), corner(0.0, 0.01)))
+        .when(k == 1, F.array(first, corner(0.02, 0.0), corner(0.0, 0.01)))
+        .when(k == 2, F.array(first, corner(0.02, 0.01)))
+        .otherwise(F.array(first, corner(0.01, 0.0), corner(0.02, 0.0)))
+    )
+    x, y = geo.centroid(ring)
     return site(spark, sf_dir).select("id", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
 
 
 @bound("""with e as (select event_id, value / 490.02::double as s, event_id % 3 as agree, event_id % 2 as providers from events),
 n as (select *, case when s >= 0.52 then 'strong' when s >= 0.34 then 'medium' else 'weak' end as name from e),
 c as (select *, case when agree >= 2 then 'multi_provider_agree' when providers >= 1 and name = 'strong' and s * 100 >= 62 then 'single_provider_strong' else 'weak_or_disputed' end as coord from n),
-i as (select *, case when event_id % 11 = 0 or event_id % 7 = 0 then 'reject_candidate' when name = 'strong' and coord = 'multi_provider_agree' then 'auto_pass' else 'manual_review' end as status from c)
-select event_id, name, coord, status, case when status = 'auto_pass' and name = 'strong' and coord = 'multi_provider_agree' then 'A' when status = 'auto_pass' then 'B' when status = 'manual_review' then 'C' else 'D' end as level from i""")
+m as (select *, case event_id % 6 when 0 then 'not_available' when 1 then case when s >= 0.5 then 'candidate_image_mall_like' else 'manual_review_or_not_available' end when 2 then 'old_image_more_mall_like' when 3 then 'not_mall_like_or_unclear' when 4 then 'not_mall_like_or_unclear' else 'manual_review_or_not_available' end as image from c),
+i as (select *, case when event_id % 11 = 0 or event_id % 7 = 0 then 'reject_candidate' when name = 'strong' and ((coord = 'multi_provider_agree' and image in ('candidate_image_mall_like', 'not_available')) or (coord = 'single_provider_strong' and image = 'candidate_image_mall_like')) then 'auto_pass' else 'manual_review' end as status from m),
+l as (select *, case when status = 'auto_pass' and coord = 'multi_provider_agree' then 'A' when status = 'auto_pass' then 'B' when status = 'manual_review' then 'C' else 'D' end as level from i)
+select event_id, name, coord, image, status, level, case level when 'A' then 'approved_auto' when 'B' then 'approved_auto_sample_check' when 'C' then 'needs_manual_review' else 'blocked_unresolved' end as review_status, (level in ('A', 'B'))::int as enters,
+case when status = 'reject_candidate' then 'bad_place_or_outside_target_region' else concat_ws('|', 'name_match_' || name, coord, image, case when status = 'manual_review' and image = 'old_image_more_mall_like' and agree < 2 then 'old_image_conflicts_with_official_candidate' end) end as reasons from l""")
 def identity_levels(spark, sf_dir):
     k = F.col("event_id")
     e = table(spark, sf_dir, "events").select("event_id", (F.col("value") / 490.02).alias("s"))
     e = e.withColumn("name", decide.name_evidence(F.col("s")))
     e = e.withColumn("coord", decide.coordinate_evidence(k % 3, k % 2, F.col("name"), F.col("s") * 100))
-    image = decide.image_evidence(F.lit(None).cast("string"), F.lit(None).cast("double"))
-    e = e.withColumn("status", decide.identity_status(F.col("name"), F.col("coord"), image, k % 11 == 0, k % 7 != 0))
-    return e.select("event_id", "name", "coord", "status", decide.confidence_level(F.col("status"), F.col("name"), F.col("coord"), image).alias("level"))
+    seen = F.element_at(F.array(*[F.lit(x) for x in ("candidate_center_likely_mall", "old_image_more_mall_like", "both_unclear_or_non_mall", "candidate_unclear_no_old_image", "needs_manual_review")]), (k % 6).cast("int"))
+    e = e.withColumn("image", decide.image_evidence(F.when(k % 6 != 0, seen), F.col("s")))
+    name, coord, image = F.col("name"), F.col("coord"), F.col("image")
+    e = e.withColumn("status", decide.identity_status(name, coord, image, k % 11 == 0, k % 7 != 0))
+    e = e.withColumn("level", decide.confidence_level(F.col("status"), name, coord, image))
+    reasons = F.array_join(decide.identity_reasons(F.col("status"), name, coord, image, k % 3), "|")
+    return e.select("event_id", "name", "coord", "image", "status", "level", decide.review_status(F.col("level")).alias("review_status"), decide.enters(F.col("level")).alias("enters"), reasons.alias("reasons"))
 
 
 @bound("""select event_id, case when value / 490.02::double >= 0.75 then 'likely_pv' when value / 490.02::double >= 0.45 then 'possible_pv' else 'no_clear_pv' end as by_score,
-case when event_id % 2 = 0 and value / 490.02::double >= 0.65 then 'likely_pv' when event_id % 2 = 0 or value / 490.02::double >= 0.48 then 'possible_pv' else 'no_clear_pv' end as by_confidence,
-case when value * 4 >= 1200 then 'likely_pv' when value * 4 >= 400 then 'possible_pv' else 'no_clear_pv' end as by_pixels,
-case when value * 4 >= 1000 then 'likely_pv' when value * 4 >= 500 then 'possible_pv' else 'no_clear_pv' end as by_mask,
-case when value / 10000 >= 0.04 then 'high' when value / 10000 >= 0.006 then 'medium' else 'low' end as potential from events""")
+case when event_id % 2 = 0 and value / 490.02::double >= 0.65 then 'likely_pv' when event_id % 2 = 0 or value / 490.02::double >= 0.48 or r >= 0.001::double then 'possible_pv' else 'no_clear_pv' end as by_confidence,
+case when value * 4 >= 1200 and r >= 0.003::double then 'likely_pv' when value * 4 >= 400 and r >= 0.001::double then 'possible_pv' else 'no_clear_pv' end as by_pixels,
+case when value * 4 >= 1000 and r >= 0.001::double then 'likely_pv' when value * 4 >= 500 then 'possible_pv' else 'no_clear_pv' end as by_mask,
+case when value / 10000 >= 0.04::double and r < 0.02::double then 'high' when value / 10000 >= 0.006::double then 'medium' else 'low' end as potential,
+case when value / 10000 >= 0.04::double and r < 0.02::double then 'large regular roof candidates and limited existing PV detected' when value / 10000 >= 0.006::double then 'some roof candidates exist; manual review needed' else 'few large regular roof candidates in this crop' end as reason
+from (select *, (event_id % 9) / 400.0::double as r from events)""")
 def pv_classes(spark, sf_dir):
-    share, px = F.col("value") / 490.02, F.col("value") * 4
+    share, px, ratio = F.col("value") / 490.02, F.col("value") * 4, (F.col("event_id") % 9) / 400.0
+    level = decide.potential(F.col("value") / 10000, ratio)
     return table(spark, sf_dir, "events").select(
-        "event_id", decide.pv_by_score(share).alias("by_score"), decide.pv_by_confidence(F.col("event_id") % 2 == 0, share, F.lit(0.0)).alias("by_confidence"),
-        decide.pv_by_pixels(px, F.lit(0.01)).alias("by_pixels"), decide.mask_class(px, F.lit(0.01)).alias("by_mask"), decide.potential(F.col("value") / 10000, F.lit(0.0)).alias("potential"),
+        "event_id", decide.pv_by_score(share).alias("by_score"), decide.pv_by_confidence(F.col("event_id") % 2 == 0, share, ratio).alias("by_confidence"),
+        decide.pv_by_pixels(px, ratio).alias("by_pixels"), decide.mask_class(px, ratio).alias("by_mask"), level.alias("potential"), decide.potential_reason(level).alias("reason"),
     )
 
 
 @bound("""with t as (select event_id, case when event_id % 5 <> 0 then value / 490.02::double end as o, case when event_id % 7 <> 0 then ((event_id * 31) % 100) / 100.0::double end as n from events)
-select event_id, case when n is null and o >= 0.5 then 'old_image_mall_like_no_candidate' when n is null then 'no_candidate_coordinate' when o is null and n >= 0.5 then 'candidate_center_likely_mall' when o is null then 'candidate_unclear_no_old_image' when n >= 0.5 and n >= o + 0.1::double then 'candidate_center_likely_mall' when o >= 0.5 and o >= n + 0.1::double then 'old_image_more_mall_like' when n < 0.5 and o < 0.5 then 'both_unclear_or_non_mall' else 'needs_manual_review' end as decision from t""")
+select event_id, case when n is null and o >= 0.5 then 'old_image_mall_like_no_candidate' when n is null then 'no_candidate_coordinate' when o is null and n >= 0.5 then 'candidate_center_likely_mall' when o is null then 'candidate_unclear_no_old_image' when n >= 0.5 and n >= o + 0.1::double then 'candidate_center_likely_mall' when o >= 0.5 and o >= n + 0.1::double then 'old_image_more_mall_like' when n < 0.5 and o < 0.5 then 'both_unclear_or_non_mall' else 'needs_manual_review' end as decision,
+case when n is null then case when o >= 0.5 then 'medium' else 'high' end when o is null then case when n >= 0.5 then 'high' else 'medium' end when (n >= 0.5 and n >= o + 0.1::double) or (o >= 0.5 and o >= n + 0.1::double) then 'high' else 'medium' end as priority from t""")
 def image_decisions(spark, sf_dir):
     k = F.col("event_id")
     old, new = F.when(k % 5 != 0, F.col("value") / 490.02), F.when(k % 7 != 0, ((k * 31) % 100) / 100.0)
-    return table(spark, sf_dir, "events").select("event_id", decide.image_decision(old, new).alias("decision"))
+    decision = decide.image_decision(old, new)
+    return table(spark, sf_dir, "events").select("event_id", decision.alias("decision"), decide.image_priority(decision).alias("priority"))
 
 
 @bound("select event_id, coalesce(nullif(case when event_id % 4 = 0 then 0.0::double else value end, 0.0), -1.0::double) as center, case when event_id % 3 = 0 then 'second' when event_id % 3 = 1 then 'second; x' else 'y; second' end as reason, greatest(0, 25 - 2 * (event_id % 20)) as provider_score from events")
@@ -330,10 +365,10 @@ def paginate(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", F.floor((n - 1) / 12).alias("page"), first.alias("place"))
 
 
-@bound("select event_id from events where user_id not in (select user_id from events where event_type = 'click')")
+@bound("select event_id from events where event_id % 1000 not in (select event_id % 1000 from events where event_type = 'click' and value > 400)")
 def resume_pending(spark, sf_dir):
-    events = table(spark, sf_dir, "events")
-    return rel.resume(events, events.where("event_type = 'click'"), "user_id").select("event_id")
+    events = table(spark, sf_dir, "events").withColumn("mall_id", F.col("event_id") % 1000)
+    return rel.resume(events, events.where("event_type = 'click' and value > 400"), "mall_id").select("event_id")
 
 
 @bound("select l_orderkey, string_agg(l_linenumber::varchar, ',' order by l_linenumber) as lines from lineitem where l_returnflag <> 'R' group by l_orderkey")
@@ -369,10 +404,10 @@ def review_results(spark, sf_dir):
     return table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_name")
 
 
-@bound("select event_id from events where user_id in (select user_id from events where value > 480) and event_type <> 'click'")
+@bound("select event_id from events where user_id in (select user_id from events where value > 250) and event_type <> 'click'")
 def requeue_update(spark, sf_dir):
     events = table(spark, sf_dir, "events")
-    return events.where("event_type <> 'click'").join(events.where("value > 480").select("user_id"), "user_id", "left_semi").select("event_id")
+    return events.where("event_type <> 'click'").join(events.where("value > 250").select("user_id"), "user_id", "left_semi").select("event_id")
 
 
 @bound("select c_custkey from customer order by c_custkey limit 25 offset 10")

@@ -1,12 +1,13 @@
-"""Every bound query against its SQL on the smallest tables."""
+"""Every bound query against its SQL on the smallest tables, cell by cell."""
 
+import math
 import os
 from pathlib import Path
 
 import duckdb
 import pytest
 
-from heliosite.plans import bindings, screening  # noqa: F401
+from heliosite.plans import bindings, places, screening  # noqa: F401
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -22,7 +23,14 @@ def duck():
 
 def canonical(rows, columns):
     by = sorted(range(len(columns)), key=lambda i: columns[i])
-    return [columns[i] for i in by], sorted([tuple(r[i] for i in by) for r in rows], key=repr)
+    return [columns[i] for i in by], sorted([tuple(r[i] for i in by) for r in rows], key=lambda r: [(x is None, str(type(x)), round(x, 5) if isinstance(x, float) else x if x is not None else 0) for x in r])
+
+
+def same(a, b):
+    """Floats by a tolerance, all else exactly."""
+    if isinstance(a, float) or isinstance(b, float):
+        return a is not None and b is not None and math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-6)
+    return a == b
 
 
 @pytest.mark.parametrize("name", sorted(bindings.queries()))
@@ -32,6 +40,6 @@ def test_query_matches_sql(name, spark, duck):
     got_columns, got_rows = canonical([tuple(r) for r in got.collect()], got.columns)
     want_columns, want_rows = canonical(want.fetchall(), [d[0] for d in want.description])
     assert got_columns == want_columns
-    assert len(got_rows) == len(want_rows)
-    for a, b in zip(got_rows, want_rows, strict=True):
-        assert a == pytest.approx(b, rel=1e-9, abs=1e-6) if all(isinstance(x, (int, float)) for x in a) else a == b
+    assert len(got_rows) == len(want_rows) > 0
+    wrong = [(a, b) for a, b in zip(got_rows, want_rows, strict=True) if not all(map(same, a, b))]
+    assert not wrong, wrong[:3]
