@@ -7,7 +7,8 @@ occurs in training has its exact code length for all languages in one table row,
 way to a shorter gram that has one. The language with the shortest code for the whole text wins.
 
 Defined results: null text or text without a letter gives ``und`` with score 0; with no training rows every text gives
-``und``; ties go to the language that sorts first. Repeated rows are each predicted; other columns are carried along.
+``und``; ties go to the language that sorts first. Repeated rows are each predicted; an empty table gives an empty result;
+texts of any length are read whole, in blocks; other columns are carried along, those named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from heliosite.llm.texts import HashIndex, mix
+from heliosite.llm.texts import HashIndex, mix, trimmed
 
 UNDETERMINED = "und"
 BLOCK, AHEAD = 4096, 32
@@ -209,7 +210,7 @@ def predict(docs: DataFrame, model: ContextTrees, evidence: int = 48) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = shipped.value
         names = np.array(trees.languages, object)
-        for batch in batches:
+        for batch in (b.slice(i, 1024) for b in batches for i in range(0, b.num_rows, 1024)):
             texts = batch.column("text").to_pylist()
             total, size = code_lengths(trees, texts)
             mean = total / np.maximum(size, 1)[:, None]
@@ -220,7 +221,7 @@ def predict(docs: DataFrame, model: ContextTrees, evidence: int = 48) -> DataFra
             extra = [pa.array(np.where(lettered, best, UNDETERMINED).tolist(), pa.string()), pa.array(np.where(lettered, score, 0.0)), pa.array(mean.min(axis=1), mask=~lettered)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, "lang_pred", "score", "bits_per_byte"])
 
-    return docs.select(*keep).mapInArrow(run, schema)
+    return docs.select(*keep).mapInArrow(trimmed(run), schema)
 
 
 def held_out(doc_id: str = "doc_id", parts: int = 4):
@@ -233,6 +234,17 @@ def accepted(docs: DataFrame, model: ContextTrees, most_bits: float = 8.0, slack
 
     Rejected: an undetermined language, or a code longer than ``most_bits`` a byte over the text and ``slack_bytes`` more, that is, text that no learned language predicts better than plain bytes.
     """
-    fits = F.col("bits_per_byte") * F.octet_length(F.lower("text")) <= most_bits * (F.octet_length(F.lower("text")) + slack_bytes)
-    out = predict(docs.select("*", F.struct("*").alias("_row")).select("_row", F.col("_row.text").alias("text")), model)
-    return out.where((F.col("lang_pred") != UNDETERMINED) & fits).select("_row.*")
+    if not model.languages:
+        return docs.where("false")
+    shipped, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 1024):
+                part = batch.slice(low, 1024)
+                texts = part.column(at).to_pylist()
+                total, size = code_lengths(shipped.value, texts)
+                lettered = np.array([t is not None and LETTER.search(t) is not None for t in texts], bool)
+                yield part.filter(pa.array(lettered & (total.min(axis=1) <= most_bits * (size + slack_bytes))))
+
+    return docs.mapInArrow(trimmed(run), docs.schema)
