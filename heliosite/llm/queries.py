@@ -43,7 +43,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = "</s>[INST] ok [/INST]"
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
-    return chat.digests(chat.format_turns(chat.as_parts(turns.unionByName(extra))))
+    return chat.digests(chat.format_turns(chat.as_parts(turns.unionByName(extra))), in_order=True)
 
 
 def op8_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
