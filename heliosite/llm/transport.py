@@ -100,7 +100,9 @@ class Stream:
 def _sections(packets: np.ndarray, pid: int, pids: np.ndarray) -> Iterator[bytes]:
     for packet in packets[(pids == pid) & (packets[:, 1] & 0x40 > 0)]:
         at = 4 + (1 + int(packet[4]) if packet[3] & 0x20 else 0)
-        at += 1 + int(packet[at])
+        at += 1 + int(packet[min(at, PACKET - 1)])
+        if at + 12 > PACKET:
+            continue
         size = 3 + ((int(packet[at + 1]) & 15) << 8 | int(packet[at + 2]))
         section = packet[at : at + size].tobytes()
         if mpeg_crc(section) == 0:
@@ -134,6 +136,9 @@ def demux(media: bytes) -> Stream:
     parts, times = [], []
     for a, b in zip(bounds[:-1], bounds[1:], strict=True):
         pes = body[a:b].tobytes()
+        if len(pes) < 14 or pes[:3] != b"\0\0\1" or len(pes) < 9 + pes[8]:
+            lost += 1  # cut off within its header
+            continue
         size = pes[4] << 8 | pes[5]
         parts.append(pes[9 + pes[8] : 6 + size])
         times.append((pes[9] & 0x0E) << 29 | pes[10] << 22 | (pes[11] & 0xFE) << 14 | pes[12] << 7 | pes[13] >> 1 if pes[7] & 0x80 else -1)
@@ -163,7 +168,10 @@ def store(docs: DataFrame) -> DataFrame:
 
 
 def features(media: DataFrame) -> DataFrame:
-    """What the stored bytes hold, read back: digests, and packets, lost ones, PES packets, times and random-access points."""
+    """What the stored bytes hold, read back: digests, and packets, lost ones, PES packets, times and random-access points.
+
+    Null media count as no bytes. Media without a program, or cut off, give what can be read: an empty payload and null times if that is nothing.
+    """
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, first_pts long, last_pts long, random_access_points long"
     kinds = [pa.string() if i in (3, 6, 7) else pa.int64() for i in range(11)]
 
@@ -171,11 +179,11 @@ def features(media: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for doc_id, n, media in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                raw = media.as_buffer().to_pybytes()
+                raw = media.as_buffer().to_pybytes() if media.is_valid else b""
                 s = demux(raw)
-                points = sum(s.random_access)
-                feature = f"packets={s.packets};lost={s.lost};pes={len(s.times)};pts={s.times[0]}-{s.times[-1]};access={points}"
-                rows.append((doc_id, n, len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-32:]), len(raw), hashlib.sha256(raw).hexdigest(), feature, s.times[0], s.times[-1], points))
+                points, first, last = sum(s.random_access), *((s.times[0], s.times[-1]) if s.times else (None, None))
+                feature = f"packets={s.packets};lost={s.lost};pes={len(s.times)};pts={first}-{last};access={points}"
+                rows.append((doc_id, n, len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-32:]), len(raw), hashlib.sha256(raw).hexdigest(), feature, first, last, points))
             columns = list(zip(*rows, strict=True)) or [[]] * 11
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[f.split()[0] for f in schema.split(", ")])
 
