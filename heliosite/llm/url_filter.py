@@ -1,13 +1,15 @@
 """URL filter: listed rules first, else naive Bayes over segmented host words and path tokens.
 
-Host labels such as ``cheappillsonline`` are split by unigram Viterbi. Word frequencies come from the titles of all pages;
-each distinct label's substrings are joined with them, and the best split of a label is found from its own matches.
+Host labels such as ``cheappillsonline`` are split by unigram Viterbi. Word frequencies come from the visible text of all
+pages; each distinct label's substrings are joined with them, and the best split of a label is found from its own matches.
+Words are found up to ``LONGEST_WORD`` letters, which is the most that a label of a host may have.
 Multinomial naive Bayes learns from the pages that a rule decides. Tokens fall into ``BUCKETS`` hash buckets, so its
 tables have a fixed size whatever the corpus, and are counted over all those pages.
 
 Defined results: a null url or one without ``://`` has empty host and path, fits no rule and gets the method's verdict for
-no tokens, which is the prior's; without any page that a rule decides, the verdict is allow. Rows stay apart even if
-they repeat; other columns are ignored.
+no tokens, which is the prior's; without any page that a rule decides, the verdict is allow, and so it is where both
+classes are equally likely. Null html has no words; urls and pages of any length are taken whole. Rows stay apart even if
+they repeat; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from heliosite.llm.storage import persisted
 
 BUCKETS = 1 << 18
-LONGEST_WORD = 20
+LONGEST_WORD = 63
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -47,10 +49,10 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str], ...]) -> t
     return rule, verdict
 
 
-def title_words(pages: DataFrame) -> DataFrame:
-    """(word, n) over the titles of all pages."""
-    title = F.lower(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1))
-    return pages.select(F.explode(F.split(title, r"[^\p{L}]+")).alias("word")).where(f"length(word) between 1 and {LONGEST_WORD}").groupBy("word").agg(F.count("*").alias("n"))
+def page_words(pages: DataFrame) -> DataFrame:
+    """(word, n) over the text of all pages, without scripts, styles, comments and tags."""
+    bare = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ")
+    return pages.select(F.explode(F.split(F.lower(bare), r"[^\p{L}]+")).alias("word")).where(f"length(word) between 1 and {LONGEST_WORD}").groupBy("word").agg(F.count("*").alias("n"))
 
 
 def segment(labels: DataFrame, words: DataFrame) -> DataFrame:
@@ -101,7 +103,7 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataF
     urls = urls.withColumns({"rule": rule, "listed": verdict})
     hosts = persisted(urls.select("host").distinct())
     pieces = hosts.select("host", F.posexplode(F.split("host", r"[^\p{L}]+")).alias("place", "label")).where("label <> ''")
-    split_labels = segment(pieces.select("label").distinct(), title_words(pages))
+    split_labels = segment(pieces.select("label").distinct(), page_words(pages))
     host_words = persisted(
         pieces.join(split_labels, "label").groupBy("host").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("place", "parts"))), lambda x: x["parts"])).alias("words"))
     )
