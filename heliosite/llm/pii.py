@@ -85,9 +85,9 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 
 
 def shape(word: str) -> str:
-    """Runs of digits with their length up to 5, of letters without; other characters as they are. Long words end early."""
+    """Runs of digits with their length up to 5, of letters without; other characters as they are."""
     out, i = [], 0
-    while i < len(word) and len(out) < 24:
+    while i < len(word):
         c, j = word[i], i
         if "0" <= c <= "9":
             while j < len(word) and "0" <= word[j] <= "9":
@@ -351,7 +351,7 @@ def all_spans(texts: list[str], model: Field) -> list[tuple[list[tuple[str, int,
     where, found, cache = [], [], {}
     for i, text in enumerate(texts):
         for words in stretches(text):
-            tokens = [text[a:b][:200] for a, b in words]
+            tokens = [text[a:b] for a, b in words]
             where.append((i, words))
             key = tuple(tokens)
             if key not in cache:
