@@ -15,8 +15,8 @@ only matching windows are shuffled; beyond that, all windows go through the shuf
 
 Defined results: null or wordless texts and items match nothing; items of fewer than ``LEAST``
 template tokens match only word for word, down to a single word; repeated
-rows of a doc_id give one row for each item; an empty table on either side gives an empty result. Other columns are
-ignored.
+rows of a doc_id give one row for each item, as do repeated items; rows without doc_id or item_id give none; an empty
+table on either side gives an empty result; texts of any length are taken whole. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -308,7 +308,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, most_shipped: int = MOST
     names = items.select("h").distinct()
     index = None
     if names.count() <= most_shipped:
-        index = spark.sparkContext.broadcast(HashIndex(np.sort(np.array([r[0] for r in names.collect()], np.int64).view(np.uint64))))
+        index = spark.sparkContext.broadcast(HashIndex(np.sort(names.toArrow().column("h").to_numpy().view(np.uint64))))
     hits = _rows(docs.where("doc_id is not null"), "doc_id", sizes, _word_sizes(benchmark), index).drop("ends")
     met = persisted(hits.join(items.drop("kinds"), "h").withColumn("shift", F.col("place") - F.col("item_place")))
     judged = met.where("not words").groupBy("doc_id", "item_id", "shift").applyInPandas(_judge, "doc_id long, item_id long, place int, n_windows long, exact boolean")
@@ -332,5 +332,7 @@ def _word_sizes(benchmark: DataFrame) -> list[int]:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark passage."""
-    return docs.join(contaminated(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without the documents that hold a benchmark passage; rows without an id are judged under a hash of their text."""
+    ident = F.coalesce(docs["doc_id"], F.xxhash64(docs["text"]))
+    found = contaminated(docs.select(ident.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_hit")).distinct()
+    return docs.join(found, ident == F.col("_hit"), "left_anti").select(*docs.columns)
