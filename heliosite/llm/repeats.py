@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from heliosite.llm.marks import Marks
 from heliosite.llm.storage import discarded, persisted, shuffles_dropped
-from heliosite.llm.texts import buffers, mix, prefix_hash, slices, span_hash
+from heliosite.llm.texts import buffers, mix, prefix_hash, slices, span_hash, trimmed
 
 LENGTH = 100
 ANCHOR = 32
@@ -114,7 +114,7 @@ def _scan(docs: DataFrame, length: int, k: int, schema: str, emit) -> DataFrame:
     def joined(held: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[c] for x in held])) for c in held[0]], names=list(held[0]))
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), schema)
 
 
 def _blocks(part: np.ndarray, found: tuple[np.ndarray, ...], length: int) -> tuple[np.ndarray, ...]:
@@ -147,7 +147,11 @@ def _place(ids: np.ndarray, low: np.ndarray) -> np.ndarray:
 
 
 def _by_name(marks):
-    return lambda ids, skipped, at, part, found: tuple(x[Marks.has(marks.value, found[4])] for x in found)
+    def kept(ids, skipped, at, part, found):
+        keep = Marks.has(marks.value, mix(found[4]))
+        return tuple(x[keep] for x in found)
+
+    return kept
 
 
 def _by_place(marks):
@@ -188,7 +192,7 @@ class _Level:
         """Marks of the names that more than one row bears."""
         narrowed = self._found()
         docs = self.args[0]
-        names = _scan(*self.args, "h long", lambda *block: {"h": narrowed(*block)[4].view(np.int64)})
+        names = _scan(*self.args, "h long", lambda *block: {"h": mix(narrowed(*block)[4]).view(np.int64)})  # anchors have small hashes: mixed, they fill the bitmap evenly
         with shuffles_dropped(docs.sparkSession):
             return docs.sparkSession.sparkContext.broadcast(Marks.of(names.groupBy("h").count().where("count > 1")))
 
