@@ -1,7 +1,7 @@
 """Interpolated modified Kneser-Ney word model of order two or three, counted in Spark and scored from memory-mapped hash arrays.
 
-Counting. Tasks send blocks of locally summed (previous word, word) pairs to shards; a block holds each word once and
-the words before it in 48-bit hashes. A shard is chosen by the word, but by the pair for the few most common words, so
+Counting. Tasks send blocks of locally summed (previous word, word) pairs to shards; a block holds each word's hash once
+and numbers in its place. A shard is chosen by the previous word, but by the pair for the few most common ones, so
 no word makes a shard large. A shard sums its pairs, writes them as a sorted hash array to the shared folder and passes
 on, for each word, its count and its number of distinct predecessors, and for each predecessor how many words follow it
 once, twice or more. Shards of words sum these and write the vocabulary in the same form. Only totals reach the driver.
@@ -9,14 +9,17 @@ once, twice or more. Shards of words sum these and write the vocabulary in the s
 Scoring. Workers map the files and look whole batches up: P(w | v) = max(c(vw) - D, 0) / c(v) + g(v) P(w), where P(w)
 comes from distinct predecessors, discounted likewise and interpolated with 1 / (V + 1).
 
-Order three. Blocks hold triples, still dealt by the last word or pair. Triples keep their counts; a pair counts its
-distinct predecessors instead, or its occurrences where it begins a text, which has nothing before it. Each pair of words
-before a third goes to a shard of its own, with its occurrences and how many words follow it once, twice or more.
+Order three. Blocks hold triples, dealt by their middle word, so that a shard sees all that follows two words and all that
+precedes a pair. Triples keep their counts; a pair counts its distinct predecessors instead, or its occurrences where it
+begins a text, which has nothing before it. Two words before a third are kept beside their triples, with their occurrences
+and how many words follow them once, twice or more; only for the common middle words, whose triples are dealt by their
+last two words, they go to shards of their own to be summed.
 P(w | u, v) = max(c(uvw) - D, 0) / c(uv) + g(uv) P(w | v).
 
 Tokens: words of non-white characters with A-Z lower-cased, then one end. Defined results: null text is empty (one token);
 with nothing to learn from, every probability is 1 / (V + 1) = 1; repeated rows count and are scored as often as they
-occur; a null doc_id counts as empty text for the fold. Other columns are ignored.
+occur; a null doc_id counts as empty text for the fold; an empty table gives an empty result; texts of any length are
+scored whole. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heliosite.llm.storage import discarded, local_file, persisted, shared_dir, shuffles_dropped, write_file
-from heliosite.llm.texts import HashIndex, buffers, mix, slices, word_hashes
+from heliosite.llm.texts import HashIndex, buffers, mix, slices, trimmed, word_hashes
 
 START, END = np.uint64(0x5AFE57A27), np.uint64(0xE0D0FD0C)
 NONE = np.uint64(0)
@@ -145,8 +148,13 @@ def second_before(before: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+def is_in(word: np.ndarray, common: np.ndarray) -> np.ndarray:
+    return common[np.minimum(np.searchsorted(common, word), len(common) - 1)] == word if len(common) else np.zeros(len(word), bool)
+
+
 def shard_of(word: np.ndarray, key: np.ndarray, shards: int, common: np.ndarray) -> np.ndarray:
-    by = word if not len(common) else np.where(common[np.minimum(np.searchsorted(common, word), len(common) - 1)] == word, key, word)
+    """By the word, or by the key where the word is common."""
+    by = np.where(is_in(word, common), key, word)
     return ((by >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
@@ -176,7 +184,7 @@ class Model:
 
 
 def fit(train: DataFrame, shard_bytes: int = 8 << 20, sample_bytes: int = 16 << 20, order: int = 2) -> Model:
-    """Count every token of ``train`` (a column ``text``). The sample only finds the common words, at most 2000, to spread."""
+    """Count every token of ``train`` (a column ``text``). The sample only finds the common words to spread."""
     if order not in (2, 3):
         raise ValueError("order must be 2 or 3")
     spark = train.sparkSession
@@ -194,7 +202,9 @@ def fit(train: DataFrame, shard_bytes: int = 8 << 20, sample_bytes: int = 16 <<
     sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < min(1.0, sample_bytes / max(size, 1)) * (1 << 20))
     often = sample.mapInArrow(seen, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     total = sample.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    common = np.sort(np.array([r["word"] for r in often.where(F.col("n") > max(100.0, total / 12000)).orderBy(F.desc("n"), "word").limit(2000).collect()], np.int64).view(np.uint64))
+    # a word with a quarter of an average shard (about six bytes a word) is spread; so is the start, which is in every text
+    names = [r["word"] for r in often.where(F.col("n") > max(100.0, total / (24 * shards))).orderBy(F.desc("n"), "word").limit(1 << 16).collect()]
+    common = np.unique(np.append(np.array(names, np.int64).view(np.uint64), START))
     shared = spark.sparkContext.broadcast(common)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,16 +214,20 @@ def fit(train: DataFrame, shard_bytes: int = 8 << 20, sample_bytes: int = 16 <<
 
         def flushed() -> pa.RecordBatch:
             word, before, *second = (np.concatenate(x) for x in zip(*held, strict=True))
-            _, first, n = np.unique(triple_key(word, before, *second) if second else pair_key(word, before), return_index=True, return_counts=True)
-            word, before, second = word[first], before[first], [x[first] for x in second]
-            shard = shard_of(word, pair_key(word, before), shards, shared.value)
-            by = np.lexsort((before, word, shard) if second else (word, shard))
+            key = pair_key(word, before & LOW48)
+            _, first, n = np.unique(mix(key * np.uint64(0x9E3779B97F4A7C15) + second[0]) if second else key, return_index=True, return_counts=True)
+            word, before, second, key = word[first], before[first], [x[first] for x in second], key[first]
+            shard = shard_of(before, key, shards, shared.value)
+            by = np.argsort(shard.astype(np.uint64) << np.uint64(40) | before >> np.uint64(24))
             word, before, second, n, shard = word[by], before[by], [x[by] for x in second], n[by], shard[by]
             edges = np.flatnonzero(np.diff(shard)) + 1
             rows = []
             for a, b in zip([0, *edges], [*edges, len(word)], strict=True):
-                each, at, runs = np.unique(word[a:b], return_index=True, return_counts=True)
-                part = {"word": each, "runs": runs.astype(np.uint32), "n": n[a:b].astype(np.uint32), "before": low48(before[a:b]), **({"second": low48(second[0][a:b])} if second else {})}
+                starts = np.flatnonzero(np.concatenate([[True], before[a + 1 : b] != before[a : b - 1]]))
+                each, at = np.unique(np.concatenate([before[a:b][starts], word[a:b], *(x[a:b] for x in second)]), return_inverse=True)
+                at = at.astype(np.uint16 if len(each) <= 1 << 16 else np.uint32)
+                k, m = len(starts), b - a
+                part = {"each": each, "before": at[:k], "runs": np.diff(np.append(starts, m)).astype(np.uint32), "word": at[k : k + m], "second": at[k + m :], "n": n[a:b].astype(np.uint32)}
                 rows.append((int(shard[a]), shrink.compress(to_bytes(part))))
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["shard", "block"])
 
@@ -222,7 +236,7 @@ def fit(train: DataFrame, shard_bytes: int = 8 << 20, sample_bytes: int = 16 <<
             for first, last in slices(offsets, 1 << 18):
                 low, high = offsets[first], offsets[last]
                 word, before, at = tokens(data[low:high], offsets[first : last + 1] - low)
-                held.append((word, before & LOW48, second_before(before, at) & LOW48)[:order])
+                held.append((word, before, second_before(before, at))[:order])
                 count += len(word)
                 if count >= FLUSH // (order - 1):
                     yield flushed()
@@ -233,22 +247,31 @@ def fit(train: DataFrame, shard_bytes: int = 8 << 20, sample_bytes: int = 16 <<
     def summed(keys: tuple, group: pd.DataFrame) -> pd.DataFrame:
         unzip, shrink = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
         parts = [from_bytes(unzip.decompress(b)) for b in group["block"]]
-        word = np.concatenate([np.repeat(p["word"], p["runs"]) for p in parts])
-        before, n = from_low48(np.concatenate([p["before"] for p in parts])), np.concatenate([p["n"] for p in parts])
+        word, n = (np.concatenate(x) for x in ([p["each"][p["word"]] for p in parts], [p["n"] for p in parts]))
+        middle = np.concatenate([np.repeat(p["each"][p["before"]], p["runs"]) for p in parts])
+        before = middle & LOW48
         contexts: dict[str, np.ndarray] = {}
         totals: dict[str, int] = {}
         if order == 3:
-            second = from_low48(np.concatenate([p["second"] for p in parts]))
+            second = np.concatenate([p["each"][p["second"]] for p in parts]) & LOW48
             del parts
             key, first, at = np.unique(triple_key(word, before, second), return_index=True, return_inverse=True)
             n = np.bincount(at, n).astype(np.int64)
-            word, before, second = word[first], before[first], second[first]
+            word, before, second, middle = word[first], before[first], second[first], middle[first]
             whole = second != NONE
             write_file(f"{folder}/triples-{int(keys[0]):07d}", to_bytes(pair_array(key[whole], n[whole])))
             totals |= {f"t{i}": (n[whole] == i).sum() for i in (1, 2, 3, 4)}
-            context, by = np.unique(context_key(before[whole], second[whole]), return_inverse=True)
-            contexts = {"context2": context, "n": np.bincount(by, n[whole], len(context)).astype(np.uint32), **{f"f{i}": np.bincount(by, (n[whole] == i) if i < 3 else (n[whole] >= 3), len(context)).astype(np.uint32) for i in (1, 2, 3)}}
-            del second, at, by
+            spread = is_in(middle, shared.value)
+            for hot in (False, True):
+                own = np.flatnonzero(whole & (spread == hot))
+                m = n[own]
+                context, by = np.unique(context_key(before[own], second[own]), return_inverse=True)
+                columns = {"n": np.bincount(by, m, len(context)), **{f"f{i}": np.bincount(by, (m == i) if i < 3 else (m >= 3), len(context)) for i in (1, 2, 3)}}
+                if hot:
+                    contexts = {"context2": context, **{c: v.astype(np.uint32) for c, v in columns.items()}}
+                else:
+                    write_file(f"{folder}/contexts-{int(keys[0]):07d}", to_bytes(pair_array(context, **{c: v.astype(np.int64) for c, v in columns.items()})))
+            del second, at, by, own, middle
         key, first, at = np.unique(pair_key(word, before), return_index=True, return_inverse=True)
         occurs = np.bincount(at, n).astype(np.int64)
         n = np.where(before[first] == (START & LOW48), occurs, np.bincount(at)) if order == 3 else occurs
@@ -262,7 +285,7 @@ def fit(train: DataFrame, shard_bytes: int = 8 << 20, sample_bytes: int = 16 <<
         context, by = np.unique(before, return_inverse=True)
         follow = np.stack([np.bincount(by, m, len(context)) for m in ((n == 1), (n == 2), (n >= 3))]).astype(np.uint32)
         columns = {"word": each, "n": np.bincount(at, occurs).astype(np.uint64), "kinds": np.bincount(at).astype(np.uint32)}
-        for names, part_of in ((columns, word_shard(columns["word"], word_shards)), ({"context": context, "f1": follow[0], "f2": follow[1], "f3": follow[2], "after": np.bincount(by, n, len(context)).astype(np.uint64)}, word_shard(context, word_shards)), *([(contexts, -2 - context_shard(contexts["context2"], shards))] if contexts else [])):
+        for names, part_of in ((columns, word_shard(columns["word"], word_shards)), ({"context": context, "f1": follow[0], "f2": follow[1], "f3": follow[2], "after": np.bincount(by, n, len(context)).astype(np.uint64)}, word_shard(context, word_shards)), *([(contexts, -2 - context_shard(contexts["context2"], shards))] if len(contexts.get("context2", ())) else [])):
             in_turn = np.argsort(part_of, kind="stable")
             present, edges = np.unique(part_of[in_turn], return_index=True)
             edges = np.append(edges, len(part_of))
@@ -273,7 +296,7 @@ def fit(train: DataFrame, shard_bytes: int = 8 << 20, sample_bytes: int = 16 <<
         return pd.DataFrame(rows, columns=["shard", "block"])
 
     # written, so that the blocks' shuffle files go before the next shuffle
-    passed = persisted(texts.mapInArrow(blocks, "shard int, block binary").groupBy("shard").applyInPandas(summed, "shard int, block binary"))
+    passed = persisted(texts.mapInArrow(trimmed(blocks), "shard int, block binary").repartition(shards, "shard").groupBy("shard").applyInPandas(summed, "shard int, block binary"))
 
     def words(keys: tuple, group: pd.DataFrame) -> pd.DataFrame:
         if keys[0] == -1:
@@ -284,7 +307,7 @@ def fit(train: DataFrame, shard_bytes: int = 8 << 20, sample_bytes: int = 16 <<
         if keys[0] < -1:
             key, at = np.unique(np.concatenate([p["context2"] for p in parts]), return_inverse=True)
             columns = {c: np.bincount(at, np.concatenate([p[c] for p in parts])).astype(np.int64) for c in ("n", "f1", "f2", "f3")}
-            write_file(f"{folder}/contexts-{-2 - int(keys[0]):07d}", to_bytes(pair_array(key, **columns)))
+            write_file(f"{folder}/spread-{-2 - int(keys[0]):07d}", to_bytes(pair_array(key, **columns)))
             return pd.DataFrame({"totals": ["{}"]})
         own, other = [p for p in parts if "word" in p], [p for p in parts if "context" in p]
         word, at = np.unique(np.concatenate([np.zeros(0, np.uint64), *(p["word"] for p in own)]), return_inverse=True)
@@ -300,7 +323,7 @@ def fit(train: DataFrame, shard_bytes: int = 8 << 20, sample_bytes: int = 16 <<
         return pd.DataFrame({"totals": [json.dumps({"words": len(word), "k3plus": int((kinds >= 3).sum()), **{f"k{i}": int((kinds == i).sum()) for i in (1, 2, 3, 4)}})]})
 
     top: dict[str, int] = {}
-    made = passed.groupBy("shard").applyInPandas(words, "totals string")
+    made = passed.repartition(word_shards, "shard").groupBy("shard").applyInPandas(words, "totals string")
     # a few counters from each shard of words, summed by Spark
     names = ["n", "pairs", "p1", "p2", "p3", "p4", "s1", "s2", "s3", "words", "k1", "k2", "k3", "k4", "k3plus", "t1", "t2", "t3", "t4"]
     with shuffles_dropped(spark):
@@ -376,7 +399,7 @@ class Reader:
         key = pair_key(token, low)
         n = np.zeros(len(token), np.int64)
         known = np.flatnonzero((w["n"] > 0) & (v["n"] > 0))
-        for s, at in _by_shard(shard_of(token[known], key[known], m.shards, m.common)):
+        for s, at in _by_shard(shard_of(before[known], key[known], m.shards, m.common)):
             if store := self.store("pairs", s):
                 n[known[at]] = pair_counts(store, key[known[at]])
         d = np.array([0.0, *m.pair_discounts])
@@ -384,25 +407,28 @@ class Reader:
         left = sum(m.pair_discounts[i] * v[f"f{i + 1}"] for i in range(3)) / total
         p = np.where(v["n"] > 0, np.maximum(n - d[np.minimum(n, 3)], 0) / total + np.where((v["f1"] + v["f2"] + v["f3"]) > 0, left, 1.0) * lower, lower)
         if m.order == 3:
-            p = self.with_second(token, low, second & LOW48, known[n[known] > 0], p)
+            p = self.with_second(token, before, second & LOW48, known[n[known] > 0], p)
         return w["n"], base, np.log10(np.maximum(p, 1e-300))
 
 
-    def with_second(self, token: np.ndarray, low: np.ndarray, second: np.ndarray, pairs: np.ndarray, p: np.ndarray) -> np.ndarray:
+    def with_second(self, token: np.ndarray, before: np.ndarray, second: np.ndarray, pairs: np.ndarray, p: np.ndarray) -> np.ndarray:
         """Order three above ``p`` of order two. ``pairs``: where the last two tokens are a pair of training."""
-        m = self.model
+        m, low = self.model, before & LOW48
         whole = np.flatnonzero(second != NONE)
-        context, at = np.unique(context_key(low[whole], second[whole]), return_inverse=True)
+        context, first, at = np.unique(context_key(low[whole], second[whole]), return_index=True, return_inverse=True)
+        middle = before[whole][first]
         found = np.zeros((4, len(context)), np.int64)
-        for s, of in _by_shard(context_shard(context, m.shards)):
-            if store := self.store("contexts", s):
-                found[:, of] = pair_columns(store, context[of], ["n", "f1", "f2", "f3"])
+        spread = is_in(middle, m.common)
+        for kind, own, shard in (("contexts", np.flatnonzero(~spread), shard_of(middle, context, m.shards, m.common)), ("spread", np.flatnonzero(spread), context_shard(context, m.shards))):
+            for s, of in _by_shard(shard[own]):
+                if store := self.store(kind, s):
+                    found[:, own[of]] = pair_columns(store, context[own[of]], ["n", "f1", "f2", "f3"])
         after = np.zeros((4, len(token)), np.int64)
         after[:, whole] = found[:, at]
         pairs = pairs[after[0, pairs] > 0]
         n = np.zeros(len(token), np.int64)
         key = triple_key(token[pairs], low[pairs], second[pairs])
-        for s, of in _by_shard(shard_of(token[pairs], pair_key(token[pairs], low[pairs]), m.shards, m.common)):
+        for s, of in _by_shard(shard_of(before[pairs], pair_key(token[pairs], low[pairs]), m.shards, m.common)):
             if store := self.store("triples", s):
                 n[pairs[of]] = pair_counts(store, key[of])
         d, total = np.array([0.0, *m.triple_discounts]), np.maximum(after[0], 1)
@@ -447,7 +473,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 columns = [batch.column(0)[first:last], batch.column(1)[first:last], pa.array(count.astype(np.int64)), pa.array(sums[0]), pa.array(np.full(last - first, reader.model.tokens, np.int64)), pa.array(sums[1]), pa.array(sums[2]), pa.array(10.0 ** np.minimum(-sums[2] / count, 300))]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
 
-    return docs.select("doc_id", "held_out", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "held_out", "text").mapInArrow(trimmed(run), schema)
 
 
 def fit_and_score(docs: DataFrame, held_out: Column, shard_bytes: int = 8 << 20, order: int = 2) -> DataFrame:
