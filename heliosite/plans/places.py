@@ -12,7 +12,7 @@ from heliosite.plans.bindings import _CHARS, _GRAMS, SITE, _without, bound, site
 
 def choice(key, *values):
     """The value at ``key`` modulo their number."""
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (key % len(values) + 1).cast("int"))
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (F.pmod(key, F.lit(len(values))) + 1).cast("int"))
 
 
 def choice_sql(key: str, *values) -> str:
@@ -540,13 +540,13 @@ def risk_text(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(k.alias("k"), text.risk_text(choice(k, "internal_sub_poi|x", None, "bad_place_hint"), choice(F.floor(k / 3), "停车场", "mall", "地铁"), choice(F.floor(k / 9), "东门", "", "出口")).alias("risk"))
 
 
-@bound(f"""select id, case when id % 6 = 0 then '' else printf('%.4f', bal) end as number, printf('%.3f;%.3f', bal / 8, (id % 7) / 8.0::double) as listed, id || '_' || replace(name, '#', '-') || '_' || printf('%.6f', (id % 50) / 8.0::double) || '_' || printf('%.6f', 1.5::double) || '_z18_64.jpg' as file,
+@bound(f"""select id, case when id % 6 = 0 then '' else printf('%.4f', bal) end as number, printf('%.3f;%.3f', bal, (id % 7) / 8.0::double) as listed, id || '_' || replace(name, '#', '-') || '_' || printf('%.6f', (id % 50) / 8.0::double) || '_' || printf('%.6f', 1.5::double) || '_z18_64.jpg' as file,
 'pv_pixels=' || (id % 90) || '; coverage=' || printf('%.4f', (id % 90) / 8.0::double) || '%; components=' || (id % 3) || '; decision=' || case when id % 2 = 0 then 'suspected_pv' else 'no_pv_or_below_threshold' end as reason, 'geocoded by ArcGIS World Geocoding' || case when id % 100 < 75 then '; low score, needs manual review' else '' end as geocode from {SITE}""")
 def format_columns(spark, sf_dir):
     k = F.col("id")
     bal = F.when(k % 6 == 0, F.lit(float("nan"))).otherwise(F.col("bal"))
     return site(spark, sf_dir).select(
-        "id", text.fixed_number(bal, 4).alias("number"), text.joined_numbers(F.array(F.col("bal") / 8, (k % 7) / 8.0), 3).alias("listed"), text.crop_file_name(k, F.replace("name", F.lit("#"), F.lit("-")), (k % 50) / 8.0, F.lit(1.5), 64, 18).alias("file"),
+        "id", text.fixed_number(bal, 4).alias("number"), text.joined_numbers(F.array(F.col("bal"), (k % 7) / 8.0), 3).alias("listed"), text.crop_file_name(k, F.replace("name", F.lit("#"), F.lit("-")), (k % 50) / 8.0, F.lit(1.5), 64, 18).alias("file"),
         text.detection_reason(k % 90, (k % 90) / 800.0, k % 3, k % 2 == 0).alias("reason"), text.geocode_reason((k % 100).cast("double")).alias("geocode"),
     )
 

@@ -2,27 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 
-def read_text_csv(spark: SparkSession, path: str, columns: list[str], required: tuple[str, ...] = ()) -> DataFrame:
-    """Every cell a string and blanks empty, as in the source files; a missing required column is an error."""
-    missing = set(required) - set(columns)
+def _text_schema(columns: list[str]) -> StructType:
+    return StructType([StructField(c, StringType()) for c in columns])
+
+
+def _csv(spark: SparkSession):
+    return spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, in whatever file system it names."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def csv_header(spark: SparkSession, path: str) -> list[str]:
+    """Column names in the file's own first row; a byte order mark isn't part of them. A file without one is an error."""
+    names = _csv(spark).option("enforceSchema", False).csv(path).columns
+    if not names:
+        raise ValueError(f"no header: {path}")
+    return [n.removeprefix("﻿") for n in names]
+
+
+def read_text_csv(spark: SparkSession, path: str, columns: list[str] | None = None, required: tuple[str, ...] = ()) -> DataFrame:
+    """Every cell a string and blanks empty, as in the source files. A required column that the file's header lacks is an error.
+
+    ``columns``: which to keep, in this order; those that the file lacks are blank. All of the file's by default.
+    """
+    header = csv_header(spark, path)
+    missing = set(required) - set(header)
     if missing:
         raise ValueError(f"missing columns: {', '.join(sorted(missing))}")
-    schema = StructType([StructField(c, StringType()) for c in columns])
-    return spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path).na.fill("")
+    rows = _csv(spark).schema(_text_schema(header)).csv(path).na.fill("")
+    return rows if columns is None else fixed_projection(rows, columns)
+
+
+def read_typed_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Columns by name under ``schema``; all of them are required, cells that can't be read are null."""
+    rows = read_text_csv(spark, path, required=tuple(schema.names))
+    return rows.select([F.nullif(F.trim(f.name), F.lit("")).try_cast(f.dataType).alias(f.name) for f in schema])
 
 
 def read_or_empty(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """As ``read_text_csv``, but no rows where the path doesn't exist in its file system."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
-        return read_text_csv(spark, path, columns)
-    return spark.createDataFrame([], StructType([StructField(c, StringType()) for c in columns]))
+    return read_text_csv(spark, path, columns) if exists(spark, path) else spark.createDataFrame([], _text_schema(columns))
+
+
+def read_where(spark: SparkSession, path: str, equal: dict[str, object], order: list[str]) -> DataFrame:
+    """Parquet rows with these values, in order; the conditions reach the scan."""
+    rows = spark.read.parquet(path)
+    for column, value in equal.items():
+        rows = rows.where(F.col(column) == F.lit(value))
+    return rows.orderBy(*order)
 
 
 def fixed_projection(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -30,18 +66,66 @@ def fixed_projection(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select([F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in df.columns else F.lit("").alias(c) for c in columns])
 
 
+def with_added_columns(df: DataFrame, defaults: dict[str, Column]) -> DataFrame:
+    """The columns that ``df`` lacks, with their defaults; those that it has stay."""
+    return df.withColumns({c: v for c, v in defaults.items() if c not in df.columns})
+
+
+def write_csv(df: DataFrame, path: str, columns: list[str], strict: bool = False) -> None:
+    """Replace a table of text cells under fixed columns; the committer moves whole files into place. ``strict``: columns beyond them are an error."""
+    extra = sorted(set(df.columns) - set(columns))
+    if strict and extra:
+        raise ValueError(f"unknown columns: {', '.join(extra)}")
+    fixed_projection(df, columns).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
 def append_run(df: DataFrame, path: str, run_id: str) -> None:
     """One batch under its run's partition; a later batch of the run is added beside it."""
     df.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(path)
 
 
+def checkpoint_run(tables: dict[str, DataFrame], root: str, run_id: str) -> None:
+    """One batch of several tables under the same run."""
+    for name, df in tables.items():
+        append_run(df, f"{root.rstrip('/')}/{name}", run_id)
+
+
 def latest_run(df: DataFrame) -> DataFrame:
     """Rows of the newest run whose id is a timestamp."""
     runs = df.where(F.col("run_id").cast("string").rlike(r"^\d{8}_\d{6}$"))
-    return runs.join(runs.agg(F.max("run_id").alias("run_id")), "run_id", "left_semi")
+    return runs.join(F.broadcast(runs.agg(F.max("run_id").alias("run_id"))), "run_id", "left_semi")
+
+
+IMAGE_EXTENSIONS = ("jpg", "jpeg", "png", "tif", "tiff", "bmp")
+
+
+def list_images(spark: SparkSession, path: str, extensions: tuple[str, ...] = IMAGE_EXTENSIONS) -> DataFrame:
+    """(path, stem, length) of image files below ``path``, by extension, sorted without regard to case. Contents aren't read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
+    named = files.where(F.lower("path").rlike(rf"\.({'|'.join(extensions)})$"))
+    return named.select("path", F.regexp_extract("path", r"([^/]*)\.[^./]*$", 1).alias("stem"), "length").orderBy(F.lower("path"))
+
+
+def first_image_per_id(images: DataFrame) -> DataFrame:
+    """(id, path) of the first file named ``{id}_...`` for each whole-number id."""
+    ids = images.select(F.regexp_extract("stem", r"^(\d+)_", 1).try_cast("bigint").alias("id"), "path")
+    return ids.where("id is not null").groupBy("id").agg(F.min("path").alias("path"))
+
+
+def resolved_path(path: Column, root: str) -> Column:
+    """Absolute paths and URIs as they are, others below ``root``; blank stays blank."""
+    clean = F.trim(F.coalesce(path, F.lit("")))
+    return F.when(clean == "", "").when(clean.rlike(r"^(/|[A-Za-z][A-Za-z0-9+.-]*:)"), clean).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), clean))
+
+
+def merged_config(base: dict, over: dict) -> dict:
+    """``over`` laid on ``base``: dictionaries key by key, all else replaced."""
+    out = dict(base)
+    for key, value in over.items():
+        out[key] = merged_config(out[key], value) if isinstance(value, dict) and isinstance(out.get(key), dict) else value
+    return out
 
 
-def read_images(spark: SparkSession, path: str, extensions: tuple[str, ...] = ("jpg", "jpeg", "png")) -> DataFrame:
-    """Image files below ``path``, by extension."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.where(F.lower("path").rlike(rf"\.({'|'.join(extensions)})$"))
+def first_setting(config: dict, *keys: str, default=None):
+    """The first of ``keys`` that has a value other than blank."""
+    return next((config[k] for k in keys if config.get(k) not in (None, "")), default)
