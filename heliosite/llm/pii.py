@@ -296,7 +296,7 @@ def stretches(text: str) -> list[list[tuple[int, int]]]:
             left.append((at, stop))
         own = [*reversed(left), (a, b)]
         if out and a < floor:  # within the words to the right of the last hint
-            own = [(a, b)] if (a, b) not in out[-1] else []
+            own = []
         right = [(w.start(), w.end()) for _, w in zip(range(REACH), _WORD.finditer(text, b), strict=False)]
         if out and (a < floor or len(left) < REACH or (left and left[-1][0] <= floor)):
             last = out[-1]
