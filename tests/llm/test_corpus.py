@@ -109,7 +109,7 @@ def test_url_rules_and_split(spark):
     assert got[0] == ("a.com", "/x", "com/", "allow") and got[1][2:] == ("www.example.com/en/", "allow") and got[2][2:] == ("example.com/en/", "block")
     assert got[3][2:] == ("net/es/", "block") and got[4][:3] == ("", "", None) and got[5][:3] == ("", "", None) and got[6][2] is None and got[7][1:3] == ("", None)
     assert len(got) == len(urls)
-    parts = url_filter.segment(spark.createDataFrame([("spamfarm",), ("zzz",)], "label string"), url_filter.title_words(pages))
+    parts = url_filter.segment(spark.createDataFrame([("spamfarm",), ("zzz",)], "label string"), url_filter.page_words(pages))
     assert {r.label: r.parts for r in parts.collect()}["spamfarm"] == ["spam", "farm"]
 
 
