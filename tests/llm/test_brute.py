@@ -101,8 +101,8 @@ def test_decontamination_word_runs_by_plain_python(spark):
         words = [r.choice(vocabulary) for _ in range(r.randint(0, 40))]
         if d % 2:
             own = items[r.randrange(25)][1].split()
-            a = r.randrange(len(own))
-            words[5:5] = own[a : a + r.choice([2, 12, 13, 20])]
+            a = r.choice([0, 0, r.randrange(len(own))])
+            words[5:5] = own[a : a + r.choice([2, 12, 13, 20, 40])]
         docs.append((d, " ".join(words)))
 
     def runs(words, n):
