@@ -217,10 +217,23 @@ def _in_play(docs: DataFrame, heads: DataFrame, n: int) -> DataFrame:
 
 def _ordered(sets: DataFrame, percent: int) -> DataFrame:
     """(h, n, members): the members that other sets hold too, rarest first, where they are enough to reach ``percent``."""
-    single = sets.where("n > 0").select("h", "n", F.explode("members").alias("member"))
-    counts = single.groupBy("member").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.count("*").alias("df")).where("low <> high").select("member", "df")
-    each = single.join(counts, "member").groupBy("h", "n").agg(F.sort_array(F.collect_set(F.struct("df", "member"))).alias("x"))
-    return persisted(each.where(F.size("x") * 100 >= F.col("n") * percent).select("h", "n", F.col("x.member").alias("members")))
+    single = sets.where("n > 0").select("h", F.explode("members").alias("member"))
+    counts = persisted(single.groupBy("member").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.count("*").alias("df")).where("low <> high").select("member", "df"))
+    marks = sets.sparkSession.sparkContext.broadcast(Marks.of(counts.select(F.col("member").alias("h"))))
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each member that other sets may hold; members that none holds aren't shuffled with their sets."""
+        for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
+            members = batch.column(2).flatten().to_numpy()
+            keep = Marks.has(marks.value, members.view(np.uint64))
+            row = np.repeat(np.arange(batch.num_rows), batch.column(2).value_lengths().to_numpy())[keep]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(members[keep])], names=["h", "n", "member"])
+
+    each = sets.where("n > 0").select("h", "n", "members").mapInArrow(trimmed(shared), "h long, n int, member long")
+    each = each.join(counts, "member").groupBy("h", "n").agg(F.sort_array(F.collect_set(F.struct("df", "member"))).alias("x"))
+    ordered = persisted(each.where(F.size("x") * 100 >= F.col("n") * percent).select("h", "n", F.col("x.member").alias("members")))
+    discarded(counts)
+    return ordered
 
 
 def _pruned(rows: DataFrame, times: int = 2) -> DataFrame:
@@ -266,8 +279,10 @@ def _rest(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def links(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """(rows, links): (doc_id, n, h) of each row of ``docs``, h naming its set, and (hub, guest) pairs of sets whose components are those of all links."""
     docs = docs.select("doc_id", "text")
-    heads = _prefixes(docs, n, percent)
-    whole = _in_play(docs, heads, n)
+    first = _prefixes(docs, n, percent)
+    whole = _in_play(docs, first, n)
+    heads = persisted(first.select("doc_id", "n", "h"))
+    discarded(first)
     sets = _ordered(whole, percent)
     discarded(whole)
     behind = f"cast(floor((s - pos) * {100 + percent} / {percent}) as long) - n"
@@ -294,7 +309,7 @@ def links(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, Da
             break
     found = persisted(found.unionByName(_rest(rows, sets, percent)))
     discarded(rows, sets)
-    return heads.select("doc_id", "n", "h"), found
+    return heads, found
 
 
 def groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -314,9 +329,23 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one row of each group: that of the smallest doc_id, and of rows that share it the one with the smallest text. Rows without an id stay."""
     found = persisted(groups(docs, n, percent))
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    marks = docs.sparkSession.sparkContext.broadcast(Marks.of(gone.select(F.xxhash64("_gone").alias("h"))))
+
+    def part(marked: bool) -> DataFrame:
+        """Rows whose id may be one to go, or those whose id surely isn't."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                hit = Marks.has(marks.value, batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).view(np.uint64))
+                yield batch.select(range(batch.num_columns - 1)).filter(pa.array(hit == marked))
+
+        rows = docs.where("doc_id is not null")
+        return rows.select(*rows.columns, F.xxhash64("doc_id").alias("_mark")).mapInArrow(trimmed(run), docs.schema)
+
+    doubtful = part(True)
+    named = part(False).unionByName(doubtful.join(gone, doubtful["doc_id"] == gone["_gone"], "left_anti"))
     if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        place = F.row_number().over(Window.partitionBy(docs["doc_id"]).orderBy(docs["text"]))
+        place = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
         named = named.select(F.struct("*").alias("_kept"), place.alias("_place")).where("_place = 1").select("_kept.*")
     return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
