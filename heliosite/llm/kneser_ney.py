@@ -41,7 +41,7 @@ from heliosite.llm.texts import HashIndex, buffers, mix, slices, trimmed, word_h
 START, END = np.uint64(0x5AFE57A27), np.uint64(0xE0D0FD0C)
 NONE = np.uint64(0)
 LOW48 = np.uint64((1 << 48) - 1)
-FLUSH = 1 << 21
+FLUSH = 1 << 22
 
 
 def to_bytes(arrays: dict[str, np.ndarray]) -> bytes:
