@@ -1,0 +1,52 @@
+"""Row numbers over sorted tables without a task that sees them all."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from heliosite.llm.storage import persisted
+
+
+def numbered(rows: DataFrame, order: list[str], group: str | None = None) -> DataFrame:
+    """``rows`` with ``idx``, from 0 in rising ``order`` (nulls first) within each value of ``group``, which holds no nulls.
+
+    Spark deals the rows by ranges of (group, order) and sorts each range; a range numbers its own rows. What stands
+    before a range is added from counts by range and group: at most one group goes on from one range into the next, so
+    the table of what to add holds a row for each range at most and is shipped whole. Rows equal in ``order`` are
+    numbered in any order. A group of any size is spread over ranges. ``rows`` is read twice, so it should be a table.
+    """
+    names = rows.columns
+    dealt = rows.withColumn("_group", F.col(group) if group else F.lit(""))
+    dealt = dealt.repartitionByRange("_group", *order).sortWithinPartitions("_group", *order)
+    at = len(names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, seen = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            column = batch.column(at)
+            new = np.zeros(n, bool)
+            new[0] = True
+            new[1:] = pc.not_equal(column.slice(1), column.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+            first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+            idx = np.arange(n) - first
+            if column[0].as_py() == last:
+                idx[first == 0] += seen
+            last, seen = column[n - 1].as_py(), int(idx[-1]) + 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, part, np.int32)), pa.array(idx)], names=[*names, "_group", "_part", "_idx"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema.fields)
+    local = persisted(dealt.mapInArrow(run, f"{fields}, _part int, _idx long"))
+    before = F.sum("n").over(Window.partitionBy("_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    ahead = local.groupBy("_group", "_part").agg(F.count(F.lit(1)).alias("n")).select("_group", "_part", before.alias("_before")).where("_before > 0")
+    both = local.join(F.broadcast(ahead), ["_group", "_part"], "left")
+    return both.select(*names, (F.col("_idx") + F.coalesce("_before", F.lit(0))).alias("idx"))

@@ -51,10 +51,14 @@ def persisted(df: DataFrame, folder: str | None = None) -> DataFrame:
 def discarded(*tables: DataFrame) -> None:
     """Delete tables that ``persisted`` wrote and nothing reads any more."""
     for df in tables:
-        sc = df.sparkSession.sparkContext
         for folder in {os.path.dirname(f) for f in df.inputFiles()}:
-            path = sc._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+            delete_folder(df.sparkSession, folder)
+
+
+def delete_folder(spark: SparkSession, uri: str) -> None:
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def open_filesystem(uri: str):
