@@ -4,7 +4,8 @@ Host labels such as ``cheappillsonline`` are split by unigram Viterbi. Word freq
 pages; each distinct label's substrings are joined with them, and the best split of a label is found from its own matches.
 Words are found up to ``LONGEST_WORD`` letters, which is the most that a label of a host may have.
 Multinomial naive Bayes learns from the pages that a rule decides. Tokens fall into ``BUCKETS`` hash buckets, so its
-tables have a fixed size whatever the corpus, and are counted over all those pages.
+tables have a fixed size whatever the corpus, and are counted over all those pages. Labels of the rules' own hosts (such as
+``com``) aren't tokens: they would only say which rule decided, and all pages that none decides would fall to one side.
 
 Defined results: a null url or one without ``://`` has empty host and path, fits no rule and gets the method's verdict for
 no tokens, which is the prior's; without any page that a rule decides, the verdict is allow, and so it is where both
@@ -49,9 +50,13 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str], ...]) -> t
     return rule, verdict
 
 
+#: Scripts, styles, comments and tags. What isn't closed runs to the end, and a tag ends at the next ``<``, so that no byte is passed over more than twice.
+MARKUP = r"(?is)<(script|style)\b.*?(?:</\1\s*+>|\z)|<!--.*?(?:-->|\z)|<[^<>]*+(?:>|\z)"
+
+
 def page_words(pages: DataFrame) -> DataFrame:
     """(word, n) over the text of all pages, without scripts, styles, comments and tags."""
-    bare = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ")
+    bare = F.regexp_replace("html", MARKUP, " ")
     return pages.select(F.explode(F.split(F.lower(bare), r"[^\p{L}]+")).alias("word")).where(f"length(word) between 1 and {LONGEST_WORD}").groupBy("word").agg(F.count("*").alias("n"))
 
 
@@ -102,7 +107,8 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataF
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     urls = urls.withColumns({"rule": rule, "listed": verdict})
     hosts = persisted(urls.select("host").distinct())
-    pieces = hosts.select("host", F.posexplode(F.split("host", r"[^\p{L}]+")).alias("place", "label")).where("label <> ''")
+    own = sorted({label for _, text in rules for label in text.partition("/")[0].split(".")})
+    pieces = hosts.select("host", F.posexplode(F.split("host", r"[^\p{L}]+")).alias("place", "label")).where((F.col("label") != "") & ~F.col("label").isin(own))
     split_labels = segment(pieces.select("label").distinct(), page_words(pages))
     host_words = persisted(
         pieces.join(split_labels, "label").groupBy("host").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("place", "parts"))), lambda x: x["parts"])).alias("words"))

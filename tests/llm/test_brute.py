@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -32,7 +33,7 @@ def plain_split(label, count, total):
 def test_urls_by_plain_python(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     rows = pages.collect()
-    bare = [re.sub(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ", r.html or "") for r in rows]
+    bare = [re.sub(r"(?is)<(script|style)\b.*?(</\1\s*>|\Z)|<!--.*?(-->|\Z)|<[^<>]*(>|\Z)", " ", r.html or "") for r in rows]
     words = Counter(w for t in bare for w in re.findall(r"[^\W\d_]+", t.lower()) if len(w) <= url_filter.LONGEST_WORD)
     assert {r.word: r.n for r in url_filter.page_words(pages).collect()} == words
     total = sum(words.values())
@@ -49,6 +50,8 @@ def test_urls_by_plain_python(spark):
                 rule = (what, text)
         tokens = []
         for label in re.findall(r"[^\W\d_]+", host):
+            if label in {"com", "example", "www", "net"}:
+                continue
             if label not in parts_of:
                 parts_of[label] = plain_split(label, words, total)
             tokens += [f"h:{w}" for w in parts_of[label][1]]
@@ -73,19 +76,40 @@ def test_urls_by_plain_python(spark):
     for page_id, host, path, rule, tokens in seen:
         x = got[page_id]
         assert (x.host, x.path, x.rule) == (host, path, rule and rule[1])
-        if all(parts_of[w][1] == split[w] for w in re.findall(r"[^\W\d_]+", host)):
+        if all(parts_of[w][1] == split[w] for w in re.findall(r"[^\W\d_]+", host) if w in split):
             odds = math.log(prior["block"] / prior["allow"]) + sum(math.log((count["block"][bucket[t]] + 1) / size["block"]) - math.log((count["allow"][bucket[t]] + 1) / size["allow"]) for t in tokens)
             assert x.block_score == pytest.approx(odds, abs=1e-6)
             assert x.verdict == (rule[0] if rule else "block" if odds > 0 else "allow")
 
 
 def test_urls_held_out(spark):
-    """Pages that a rule decides, judged by the method alone after learning from the others."""
+    """Pages that a rule decides, judged by the method alone after learning from pages of other hosts: a fifth of the hosts at a time."""
     pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url", "html")
-    ruled = url_filter.judge(pages).where("rule is not null").select("page_id", F.col("verdict").alias("want"))
-    hidden = pages.withColumn("url", F.when(F.col("page_id") % 5 == 0, F.regexp_replace("url", r"\.(com|net)(?=[/?#]|$)", ".zz")).otherwise(F.col("url")))
-    got = url_filter.judge(hidden).where("page_id % 5 = 0 and rule is null").join(ruled, "page_id").select("verdict", "want").toPandas()
-    assert len(got) > 50 and (got.verdict == got.want).mean() > 0.8
+    ruled = url_filter.judge(pages).where("rule is not null").select("page_id", F.col("verdict").alias("want"), F.abs(F.hash("host") % 5).alias("part"))
+    marked = pages.join(ruled, "page_id", "left").cache()
+    right = {"allow": [], "block": []}
+    for part in range(5):
+        hide = F.regexp_replace("url", r"\.(com|net)(?=[/?#]|$)", ".zz")
+        hidden = marked.select("page_id", F.when(F.col("part") == part, hide).otherwise(F.col("url")).alias("url"), "html")
+        for r in url_filter.judge(hidden).where("rule is null").join(ruled.where(F.col("part") == part), "page_id").collect():
+            right[r.want].append(r.verdict == r.want)
+    balanced = sum(sum(x) / len(x) for x in right.values()) / 2  # one answer for all gives 0.5
+    print("balanced accuracy", balanced, {k: (len(v), sum(v) / len(v)) for k, v in right.items()})
+    assert balanced > 0.65 and min(sum(x) / len(x) for x in right.values()) > 0.4
+
+
+def test_urls_undecided_get_both_verdicts(spark):
+    got = url_filter.judge(spark.read.parquet("/root/testdata/sf0.1/pages.parquet")).where("rule is null").groupBy("verdict").count().collect()
+    assert len(got) == 2 and min(r["count"] for r in got) > 50
+
+
+@pytest.mark.parametrize("piece", ["<", "<!--", "<script ", "<script>", "</script ", "<a href='", "<style", "> <"])
+def test_markup_is_linear(spark, piece):
+    """A megabyte of openings that nothing closes."""
+    page = "start " + piece * (1_000_000 // len(piece)) + " end"
+    began = time.time()
+    url_filter.page_words(spark.createDataFrame([(1, page)], "page_id long, html string")).collect()
+    assert time.time() - began < 20
 
 
 WORD = re.compile(r"[a-z0-9]+")
