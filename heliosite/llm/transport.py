@@ -6,7 +6,8 @@ stream through the tables, checks the continuity counters, reassembles the packe
 them are random-access points.
 
 Defined results: null text is empty; any payload is padded with bytes 255 to a positive multiple of ``FRAME``. Equal
-texts give equal bytes. Rows stay apart even if they repeat; other columns are ignored.
+texts give equal bytes. Rows stay apart even if they repeat; an empty table gives an empty result; other columns are ignored.
+In streams made elsewhere, a packet sent twice counts once, as the standard allows one copy, and tables may take many packets.
 """
 
 from __future__ import annotations
@@ -97,16 +98,43 @@ class Stream:
     packets: int
 
 
+def _first_copies(packets: np.ndarray) -> np.ndarray:
+    """Packets of one PID without the second copies that the standard allows: a packet with payload sent again right after, all bytes but its clock alike."""
+    if len(packets) < 2:
+        return packets
+    same = packets[1:] == packets[:-1]
+    clocked = (packets[1:, 3] & 0x20 > 0) & (packets[1:, 4] >= 7) & (packets[1:, 5] & 0x10 > 0)
+    same[clocked, 6:12] = True
+    again = np.append(False, same.all(axis=1) & (packets[1:, 3] & 0x10 > 0))
+    again[1:] &= ~again[:-1]  # a third one isn't legal
+    return packets[~again]
+
+
 def _sections(packets: np.ndarray, pid: int, pids: np.ndarray) -> Iterator[bytes]:
-    for packet in packets[(pids == pid) & (packets[:, 1] & 0x40 > 0)]:
-        at = 4 + (1 + int(packet[4]) if packet[3] & 0x20 else 0)
-        at += 1 + int(packet[min(at, PACKET - 1)])
-        if at + 12 > PACKET:
+    """Whole sections of a table, however many packets one takes or shares; those whose CRC fails are left out."""
+    held = None  # bytes of a section that isn't whole yet
+    for packet in _first_copies(packets[pids == pid]):
+        if not packet[3] & 0x10:
             continue
-        size = 3 + ((int(packet[at + 1]) & 15) << 8 | int(packet[at + 2]))
-        section = packet[at : at + size].tobytes()
-        if mpeg_crc(section) == 0:
-            yield section
+        body = packet[4 + (1 + int(packet[4]) if packet[3] & 0x20 else 0) :].tobytes()
+        if packet[1] & 0x40 and body:  # a section begins here; what stands before it ends the last one
+            yield from _whole((held or b"") + body[1 : 1 + body[0]])[0]
+            held = body[1 + body[0] :]
+        elif held is not None:
+            held += body
+        if held is not None:
+            found, held = _whole(held)
+            yield from found
+
+
+def _whole(held: bytes) -> tuple[list[bytes], bytes]:
+    """(the complete sections at the start of ``held``, what is left); stuffing ends it."""
+    found = []
+    while len(held) >= 3 and held[0] != 0xFF and len(held) >= (size := 3 + ((held[1] & 15) << 8 | held[2])):
+        if size >= 16 and mpeg_crc(held[:size]) == 0:
+            found.append(held[:size])
+        held = held[size:]
+    return found, b"" if held[:1] == b"\xff" else held
 
 
 def demux(media: bytes) -> Stream:
@@ -116,13 +144,16 @@ def demux(media: bytes) -> Stream:
     pids = (packets[:, 1].astype(np.int32) & 31) << 8 | packets[:, 2]
     es = -1
     for pat in _sections(packets, PAT_PID, pids):
-        pmt_pid = (pat[10] & 31) << 8 | pat[11]
+        programs = [(pat[i + 2] & 31) << 8 | pat[i + 3] for i in range(8, len(pat) - 4, 4) if pat[i] or pat[i + 1]]  # number 0 names the network
+        if not programs:
+            continue
+        pmt_pid = programs[0]
         for pmt in _sections(packets, pmt_pid, pids):
             at = 12 + ((pmt[10] & 15) << 8 | pmt[11])
             es = (pmt[at + 1] & 31) << 8 | pmt[at + 2]
             break
         break
-    own = packets[pids == es]
+    own = _first_copies(packets[pids == es])
     counter = own[:, 3] & 15
     carries = own[:, 3] & 0x10 > 0
     lost = int(((counter[1:].astype(int) - counter[:-1]) % 16 != carries[1:]).sum())
