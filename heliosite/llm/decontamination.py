@@ -14,7 +14,8 @@ The benchmark's window hashes go to the workers as a sorted array if there are a
 only matching windows are shuffled; beyond that, all windows go through the shuffle join.
 
 Defined results: null or wordless texts and items match nothing; items of fewer than ``LEAST``
-template tokens match only word for word, down to a single word; repeated
+template tokens match only word for word, down to a single word, but ``clean`` drops no document for items of fewer than
+``LEAST_EVIDENCE`` tokens; repeated
 rows of a doc_id give one row for each item, as do repeated items; rows without doc_id or item_id give none; an empty
 table on either side gives an empty result; texts of any length are taken whole. Other columns are ignored.
 """
@@ -36,6 +37,7 @@ from heliosite.llm.storage import persisted
 from heliosite.llm.texts import LOWER, HashIndex, buffers, mix, powers, prefix_hash, slices, span_hash
 
 WINDOW, LEAST, MOST_SHIPPED = 13, 6, 1 << 22
+LEAST_EVIDENCE = 5
 UNITS = "mm cm m km g kg mg t l ml s min h hr hrs hour hours day days week weeks year years month months second seconds minute minutes meter meters metre metres kilometer kilometers mile miles foot feet inch inches gram grams kilogram kilograms pound pounds ounce ounces liter liters litre litres percent dollar dollars euro euros cent cents degree degrees mph kmh watt watts volt volts".split()
 NUMBER, NAME, UNIT = (np.uint64(x) for x in (1, 2, 3))
 AS_IT_STANDS = np.uint64(0xA5175A9D5)
@@ -331,8 +333,26 @@ def _word_sizes(benchmark: DataFrame) -> list[int]:
     return sorted(r[0] for r in benchmark.where("item_id is not null").select("text").mapInArrow(run, "size int").distinct().collect())
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark passage; rows without an id are judged under a hash of their text."""
+def item_tokens(benchmark: DataFrame) -> DataFrame:
+    """(item_id, tokens): of the longest text of each item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t = templates(*buffers(batch.column(1)))
+            sizes = np.diff(t.firsts) if t is not None else np.zeros(batch.num_rows, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes.astype(np.int64))], names=["item_id", "tokens"])
+
+    rows = benchmark.where("item_id is not null").select("item_id", "text").mapInArrow(run, "item_id long, tokens long")
+    return rows.groupBy("item_id").agg(F.max("tokens").alias("tokens"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, least_words: int = LEAST_EVIDENCE) -> DataFrame:
+    """``docs`` without the documents that hold a benchmark passage; rows without an id are judged under a hash of their text.
+
+    ``least_words``: an item of fewer tokens says too little to drop a document that holds it (``contaminated`` still reports it); 1 lets every item count.
+    """
     ident = F.coalesce(docs["doc_id"], F.xxhash64(docs["text"]))
-    found = contaminated(docs.select(ident.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_hit")).distinct()
+    telling = item_tokens(benchmark).where(F.col("tokens") >= least_words)
+    found = contaminated(docs.select(ident.alias("doc_id"), "text"), benchmark).join(telling, "item_id", "left_semi")
+    found = found.select(F.col("doc_id").alias("_hit")).distinct()
     return docs.join(found, ident == F.col("_hit"), "left_anti").select(*docs.columns)

@@ -377,3 +377,39 @@ def test_decontamination_word_for_word(spark):
     for most in (1 << 22, 0):
         got = {(r.doc_id, r.item_id): r.exact for r in decontamination.contaminated(docs_of(spark, rows), items, most_shipped=most).collect()}
         assert got == {(1, 1): True, (2, 2): True, (3, 3): True, (4, 4): True, (5, 5): False}
+
+
+def test_single_words_are_reported_but_drop_nothing(spark):
+    items = spark.createDataFrame([(1, "la"), (2, "the quick brown fox jumps"), (3, None)], "item_id long, text string")
+    docs = docs_of(spark, [(1, "tra la la"), (2, "so the quick brown fox jumps again"), (3, "nothing here"), (4, None)])
+    assert {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, items).collect()} == {(1, 1), (2, 2)}
+    assert {r.doc_id for r in decontamination.clean(docs, items).collect()} == {1, 3, 4}
+    assert {r.doc_id for r in decontamination.clean(docs, items, least_words=1).collect()} == {3, 4}
+
+
+def test_transport_streams_made_elsewhere():
+    """A second copy of each packet, and a program table that takes several packets and shares one with the next section."""
+    payload = transport.payload_of(bytes(range(256)) * 40)
+    media = transport.mux(payload)
+    packets = [media[i : i + 188] for i in range(0, len(media), 188)]
+    doubled = transport.demux(b"".join(p for p in packets for _ in range(2)))
+    assert doubled.payload == payload and doubled.lost == 0
+    thrice = transport.demux(b"".join(p for p in packets for _ in range(3)))
+    assert thrice.lost > 0
+    # 80 programs; the map of the second stands first among those that count, as number 0 names the network
+    body = bytes([0, 0, 0xE0, 16]) + b"".join(bytes([0, n, 0xE0 | 0x100 >> 8, 0]) for n in range(1, 81))
+    descriptors = bytes([5, 200, *range(200)])
+    program = bytes([0xE0 | 0x101 >> 8, 1, 0xF0, len(descriptors)]) + descriptors + bytes([6, 0xE1, 1, 0xF0, 0])
+
+    def packed(pid, sections):
+        data, out, counter = b"\0" + b"".join(sections), [], 0
+        while data:
+            part, data = data[:184], data[184:]
+            out.append(bytes([0x47, (0x40 if not out else 0) | pid >> 8, pid & 255, 0x10 | counter]) + part.ljust(184, b"\xff"))
+            counter += 1
+        return out
+
+    long = [*packed(0, [transport._section(0, 1, body)]), *packed(0x100, [transport._section(2, 1, program), transport._section(2, 2, program)]), *packets[2:]]
+    assert len(long) > len(packets) + 2 and transport.demux(b"".join(long)).payload == payload
+    broken = [p if i != 1 else p[:50] + bytes([p[50] ^ 1]) + p[51:] for i, p in enumerate(long)]
+    assert transport.demux(b"".join(broken)).payload == b""
