@@ -449,7 +449,7 @@ def union_subsets(spark, sf_dir):
 
 # --- order
 
-@bound("""with p as (select event_id, user_id from events where event_type = 'click') select e.event_id, coalesce((select min(p.event_id) from p where p.user_id = e.user_id and p.event_id > e.event_id), (select min(p.event_id) from p where p.user_id = e.user_id)) as next_id from events e where event_id % 50 = 0""")
+@bound("""with p as (select event_id, user_id from events where event_type = 'click') select e.event_id, coalesce((select min(p.event_id) from p where p.user_id = e.user_id and p.event_id > e.event_id), (select min(p.event_id) from p where p.user_id = e.user_id)) as next_id from events e""")
 def next_of_any(spark, sf_dir):
     """The next pending row after any row of the queue, pending or not, else the first; one window sees both."""
     from pyspark.sql import Window
@@ -458,7 +458,7 @@ def next_of_any(spark, sf_dir):
     w = Window.partitionBy("user_id").orderBy("event_id")
     waiting = F.when(F.col("event_type") == "click", F.col("event_id"))
     after = F.min(waiting).over(w.rowsBetween(1, Window.unboundedFollowing))
-    return events.select("event_id", F.coalesce(after, F.min(waiting).over(Window.partitionBy("user_id"))).alias("next_id")).where("event_id % 50 = 0")
+    return events.select("event_id", F.coalesce(after, F.min(waiting).over(Window.partitionBy("user_id"))).alias("next_id"))
 
 
 @bound("select c_custkey as k, row_number() over (order by (o.n is not null)::int, c_custkey) as place from customer left join (select o_custkey as c_custkey, count(*) as n from orders where o_orderkey % 16 = 1 group by 1) o using (c_custkey) order by place limit 500")
@@ -482,14 +482,6 @@ def numeric_text_sort(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", place(F.asc(text.to_int(key)), F.asc("event_id")).alias("by_id"), place(F.desc(F.coalesce(text.to_float(score), F.lit(-999.0))), F.asc("event_id")).alias("by_score"))
 
 
-@bound("select n_name as grp, c_custkey, row_number() over (partition by n_regionkey order by n_name, c_acctbal desc, c_custkey) as place from customer join nation on c_nationkey = n_nationkey")
-def mixed_sort(spark, sf_dir):
-    from pyspark.sql import Window
-
-    rows = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    return rows.select(F.col("n_name").alias("grp"), "c_custkey", F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_name", F.desc("c_acctbal"), "c_custkey")).cast("long").alias("place"))
-
-
 @bound("select user_id, event_id from (select *, row_number() over (partition by user_id order by coalesce(case when event_id % 6 <> 0 then value end, 0) desc, event_id) as n from events) where n = 1")
 def best_score(spark, sf_dir):
     score = F.coalesce(F.when(F.col("event_id") % 6 != 0, F.col("value")), F.lit(0.0))
