@@ -3,7 +3,7 @@
 Window-based levels: nodes are partitioned by group and parent index, and a list over the full ordered frame gives both
 what the parent is hashed from and each node's siblings. A run's first node stands for it, so parents are unique before
 the next level. A group whose first run is one node is done; the node is its subroot. No group is gathered anywhere: rows are
-numbered over sorted ranges (``numbering``), a window holds ``fanout`` rows, and levels shrink by that factor. Proofs come
+numbered over sorted ranges (``operators.ordered``), a window holds ``fanout`` rows, and levels shrink by that factor. Proofs come
 down from the root level by level: a node's proof is its own siblings, then its parent's proof.
 
 Defined results: a null field is hashed as ``-``, any other as byte count, colon, value, so null, empty and shifted
@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from heliosite.llm.numbering import numbered
+from heliosite.operators.ordered import numbered
 from heliosite.llm.storage import persisted
 
 FANOUT = 8

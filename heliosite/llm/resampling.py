@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heliosite.llm.numbering import numbered
+from heliosite.operators.ordered import numbered
 from heliosite.llm.storage import persisted
 from heliosite.llm.texts import LOWER, buffers, prefix_hash, slices, span_hash, trimmed
 
