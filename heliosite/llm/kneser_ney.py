@@ -27,6 +27,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -183,8 +184,11 @@ class Model:
     triple_discounts: list[float] | None = None
 
 
-def fit(train: DataFrame, shard_bytes: int = 8 << 20, sample_bytes: int = 16 << 20, order: int = 2) -> Model:
-    """Count every token of ``train`` (a column ``text``). The sample only finds the common words to spread."""
+def fit(train: DataFrame, shard_bytes: int = 8 << 20, sample_bytes: int = 16 << 20, order: int = 2, rounds: int = 2) -> Model:
+    """Count every token of ``train`` (a column ``text``). The sample only finds the common words to spread.
+
+    ``rounds``: the text is read so many times, each for its own part of the shards, so that only that part of the blocks is on disk at once.
+    """
     if order not in (2, 3):
         raise ValueError("order must be 2 or 3")
     spark = train.sparkSession
@@ -207,42 +211,49 @@ def fit(train: DataFrame, shard_bytes: int = 8 << 20, sample_bytes: int = 16 <<
     common = np.unique(np.append(np.array(names, np.int64).view(np.uint64), START))
     shared = spark.sparkContext.broadcast(common)
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shrink = zstandard.ZstdCompressor(level=1)
-        held: list[tuple[np.ndarray, ...]] = []
-        count = 0
-
-        def flushed() -> pa.RecordBatch:
-            word, before, *second = (np.concatenate(x) for x in zip(*held, strict=True))
-            key = pair_key(word, before & LOW48)
-            _, first, n = np.unique(mix(key * np.uint64(0x9E3779B97F4A7C15) + second[0]) if second else key, return_index=True, return_counts=True)
-            word, before, second, key = word[first], before[first], [x[first] for x in second], key[first]
-            shard = shard_of(before, key, shards, shared.value)
-            by = np.argsort(shard.astype(np.uint64) << np.uint64(40) | before >> np.uint64(24))
-            word, before, second, n, shard = word[by], before[by], [x[by] for x in second], n[by], shard[by]
-            edges = np.flatnonzero(np.diff(shard)) + 1
-            rows = []
-            for a, b in zip([0, *edges], [*edges, len(word)], strict=True):
-                starts = np.flatnonzero(np.concatenate([[True], before[a + 1 : b] != before[a : b - 1]]))
-                each, at = np.unique(np.concatenate([before[a:b][starts], word[a:b], *(x[a:b] for x in second)]), return_inverse=True)
-                at = at.astype(np.uint16 if len(each) <= 1 << 16 else np.uint32)
-                k, m = len(starts), b - a
-                part = {"each": each, "before": at[:k], "runs": np.diff(np.append(starts, m)).astype(np.uint32), "word": at[k : k + m], "second": at[k + m :], "n": n[a:b].astype(np.uint32)}
-                rows.append((int(shard[a]), shrink.compress(to_bytes(part))))
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["shard", "block"])
-
-        for batch in batches:
-            data, offsets = buffers(batch.column(0))
-            for first, last in slices(offsets, 1 << 18):
-                low, high = offsets[first], offsets[last]
-                word, before, at = tokens(data[low:high], offsets[first : last + 1] - low)
-                held.append((word, before, second_before(before, at))[:order])
-                count += len(word)
-                if count >= FLUSH // (order - 1):
-                    yield flushed()
-                    held, count = [], 0
-        if count:
-            yield flushed()
+    def blocks_of(turn: int):
+        """Blocks for the shards of one round; a task holds only what belongs to it."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            shrink = zstandard.ZstdCompressor(level=1)
+            held: list[tuple[np.ndarray, ...]] = []
+            count = 0
+
+            def flushed() -> pa.RecordBatch:
+                shard, key, word, before, *second = (np.concatenate(x) for x in zip(*held, strict=True))
+                _, first, n = np.unique(mix(key * np.uint64(0x9E3779B97F4A7C15) + second[0]) if second else key, return_index=True, return_counts=True)
+                shard, word, before, second = shard[first], word[first], before[first], [x[first] for x in second]
+                by = np.argsort(shard.astype(np.uint64) << np.uint64(40) | before >> np.uint64(24))
+                word, before, second, n, shard = word[by], before[by], [x[by] for x in second], n[by], shard[by]
+                edges = np.flatnonzero(np.diff(shard)) + 1
+                rows = []
+                for a, b in zip([0, *edges], [*edges, len(word)], strict=True):
+                    starts = np.flatnonzero(np.concatenate([[True], before[a + 1 : b] != before[a : b - 1]]))
+                    each, at = np.unique(np.concatenate([before[a:b][starts], word[a:b], *(x[a:b] for x in second)]), return_inverse=True)
+                    at = at.astype(np.uint16 if len(each) <= 1 << 16 else np.uint32)
+                    k, m = len(starts), b - a
+                    part = {"each": each, "before": at[:k], "runs": np.diff(np.append(starts, m)).astype(np.uint32), "word": at[k : k + m], "second": at[k + m :], "n": n[a:b].astype(np.uint32)}
+                    rows.append((int(shard[a]), shrink.compress(to_bytes(part))))
+                return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["shard", "block"])
+
+            for batch in batches:
+                data, offsets = buffers(batch.column(0))
+                for first, last in slices(offsets, 1 << 18):
+                    low, high = offsets[first], offsets[last]
+                    word, before, at = tokens(data[low:high], offsets[first : last + 1] - low)
+                    key = pair_key(word, before & LOW48)
+                    shard = shard_of(before, key, shards, shared.value)
+                    own = np.flatnonzero(shard % rounds == turn)
+                    if len(own):
+                        held.append(tuple(x[own] for x in (shard, key, word, before, second_before(before, at))[: order + 2]))
+                        count += len(own)
+                    if count >= FLUSH // (order - 1):
+                        yield flushed()
+                        held, count = [], 0
+            if count:
+                yield flushed()
+
+        return trimmed(run)
 
     def summed(keys: tuple, group: pd.DataFrame) -> pd.DataFrame:
         unzip, shrink = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
@@ -296,7 +307,8 @@ def fit(train: DataFrame, shard_bytes: int = 8 << 20, sample_bytes: int = 16 <<
         return pd.DataFrame(rows, columns=["shard", "block"])
 
     # written, so that the blocks' shuffle files go before the next shuffle
-    passed = persisted(texts.mapInArrow(trimmed(blocks), "shard int, block binary").repartition(shards, "shard").groupBy("shard").applyInPandas(summed, "shard int, block binary"))
+    parts = [persisted(texts.mapInArrow(blocks_of(turn), "shard int, block binary").repartition(shards, "shard").groupBy("shard").applyInPandas(summed, "shard int, block binary")) for turn in range(rounds)]
+    passed = reduce(DataFrame.unionByName, parts)
 
     def words(keys: tuple, group: pd.DataFrame) -> pd.DataFrame:
         if keys[0] == -1:
@@ -328,7 +340,7 @@ def fit(train: DataFrame, shard_bytes: int = 8 << 20, sample_bytes: int = 16 <<
     names = ["n", "pairs", "p1", "p2", "p3", "p4", "s1", "s2", "s3", "words", "k1", "k2", "k3", "k4", "k3plus", "t1", "t2", "t3", "t4"]
     with shuffles_dropped(spark):
         top = made.select([F.get_json_object("totals", f"$.{c}").cast("long").alias(c) for c in names]).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names]).first().asDict()
-    discarded(passed)
+    discarded(*parts)
     return Model(
         folder, shards, word_shards, common, top["n"], top["words"], top["pairs"], documents,
         discounts({i: top[f"p{i}"] for i in (1, 2, 3, 4)}), discounts({i: top[f"k{i}"] for i in (1, 2, 3, 4)}),
