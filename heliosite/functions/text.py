@@ -263,3 +263,13 @@ def looked_up(key: Column, values: dict[str, str], default: str = "") -> Column:
     """``values`` of a small constant map, else ``default``."""
     pairs = [F.lit(x) for pair in values.items() for x in pair]
     return F.coalesce(F.create_map(*pairs)[key], F.lit(default))
+
+
+def canonical_json(text: Column) -> Column:
+    """JSON text with keys sorted at every depth and no spaces; null where it isn't JSON. Of keys that repeat in an object there is none to choose: null."""
+    return F.to_json(F.try_parse_json(text))
+
+
+def json_fingerprint(text: Column, digits: int = 12) -> Column:
+    """First hexadecimal digits of the SHA-1 of the canonical text, the same for any order of keys."""
+    return F.left(F.sha1(canonical_json(text).cast("binary")), F.lit(digits))

@@ -43,3 +43,59 @@ def screening_run(spark, sf_dir):
     out = screening.results(store)
     summary = out["summary"].select("mall_id", "image_status", "downloaded_tile_count", "roof_area_m2_est", "existing_pv_area_m2_est", "existing_pv_tile_count", "install_condition_score", "install_condition_level", "error")
     return summary.join(out["self"].select("mall_id", F.col("pv_status").alias("self_status")), "mall_id").join(out["detail"].select("mall_id", F.col("pv_status").alias("map_status")), "mall_id")
+
+
+_WINDOWS = "(select l_orderkey as image, (l_linenumber * 5 % 17)::bigint as x0, (l_linenumber * 3 % 7)::bigint as y0, l_partkey, l_suppkey, (l_quantity % 10) / 10.0::double as score, l_linenumber from lineitem)"
+
+
+@bound(f"""with w as {_WINDOWS}, g as (select *, max(score) over (partition by image) as best, row_number() over (partition by image order by score desc, l_linenumber, l_partkey, l_suppkey) as n from w),
+cells as (select image, y0 + i // 8 as y, x0 + i % 8 as x, (l_partkey * (i + 1) + l_suppkey) % 251 / 250.0::double as v from g, range(48) r(i) where score >= 0.45 or (best < 0.45 and n = 1)),
+top as (select image, y, x, max(v) as v from cells group by all)
+select image, y, x // 4 * 4 as x0, count(*) as covered, sum(v) as total, max(v) as most from top group by all""")
+def window_merge(spark, sf_dir):
+    """Lines of orders as scored windows of 8 x 6 pixels over an image an order; windows of low score are left out, overlaps keep the largest value."""
+    from heliosite.operators import windows
+
+    rows = table(spark, sf_dir, "lineitem")
+    n = F.col("l_linenumber")
+    values = F.transform(F.sequence(F.lit(1), F.lit(48)), lambda i: (F.col("l_partkey") * i + F.col("l_suppkey")) % 251 / 250.0)
+    made = rows.select(F.col("l_orderkey").alias("image"), (n * 5 % 17).cast("long").alias("x0"), (n * 3 % 7).cast("long").alias("y0"), F.lit(8).alias("width"), (F.col("l_quantity") % 10 / 10.0).alias("score"), "l_linenumber", "l_partkey", "l_suppkey", values.alias("values"))
+    merged = windows.max_merged(windows.gated(made, "image", "score", ["l_linenumber", "l_partkey", "l_suppkey"], 0.45), "image", 4)
+    there = F.filter("values", lambda v: v.isNotNull())
+    return merged.select("image", "y", "x0", F.size(there).cast("long").alias("covered"), F.aggregate(there, F.lit(0.0), lambda a, v: a + v).alias("total"), F.array_max(there).alias("most"))
+
+
+_TILES = "(select distinct p_partkey % 40 as tile_x, p_partkey // 40 % 25 as tile_y from part where p_partkey % 7 <> 3)"
+
+
+@bound(f"""with crops as (select o_orderkey as id, o_orderkey * 37 % 280 as l, o_custkey * 11 % 170 as t, 5 + o_orderkey % 13 as w, 3 + o_custkey % 9 as h from orders),
+px as (select id, l + i % w as x, t + i // w as y, i // w // 4 * 4 as y0, i // w - i // w // 4 * 4 as yy, i % w as xx, h from crops, unnest(range(w * h)) u(i)),
+met as (select p.*, case when tile_x is null then 9 else (p.x * 3 + p.y * 5 + p.x // 8 * 31) % 251 end as v, tile_x is null as gone, x // 8 as tx, y // 8 as ty from px p left join {_TILES} on tile_x = x // 8 and tile_y = y // 8)
+select id, y0, least(4, h - y0)::int as height, (max(xx) + 1)::bigint as width, count(distinct case when gone then tx * 1000 + ty end)::int as missing, sum(v * (1 + (yy * 31 + xx) % 17))::bigint as total from met group by id, y0, h""")
+def tile_mosaic(spark, sf_dir):
+    """Orders as crops of a map of small tiles, of which some are missing; bands of four rows, digested by weighted sums of their bytes."""
+    from heliosite.operators import windows
+
+    k, m = F.col("o_orderkey"), F.col("o_custkey")
+    crops = table(spark, sf_dir, "orders").select(k.alias("id"), (k * 37 % 280).alias("left"), (m * 11 % 170).alias("top"), (5 + k % 13).alias("width"), (3 + m % 9).alias("height"))
+    part = F.col("p_partkey")
+    places = table(spark, sf_dir, "part").where(part % 7 != 3).select((part % 40).alias("tile_x"), (F.floor(part / 40) % 25).alias("tile_y")).distinct()
+    byte = lambda i: ((F.col("tile_x") * 8 + i % 8) * 3 + (F.col("tile_y") * 8 + F.floor(i / 8)) * 5 + F.col("tile_x") * 31) % 251
+    pixels = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.lpad(F.hex(byte(i)), 2, "0")), ""))
+    bands = windows.mosaic(crops, places.withColumn("pixels", pixels), "id", channels=1, band=4, fill=9, side=8)
+    text = F.hex("pixels")
+    weighed = lambda i: F.conv(F.substring(text, i * 2 + 1, F.lit(2)), 16, 10).cast("long") * (1 + (F.floor(i / F.col("width")) * 31 + i % F.col("width")) % 17)
+    total = F.aggregate(F.transform(F.sequence(F.lit(0), F.octet_length("pixels") - 1), weighed), F.lit(0).cast("long"), lambda a, v: a + v)
+    return bands.select("id", "y0", "height", "width", "missing", total.alias("total"))
+
+
+@bound("""select event_id, substr(sha1('{"k":' || coalesce(json_extract_string(props, '$.k'), 'null') || ',"of":{"a":[' || event_id || ',"' || event_type || '"],"b":' || (event_id % 2 = 0)::varchar || '},"user":' || user_id || '}'), 1, 12) as fingerprint from events""")
+def fingerprints(spark, sf_dir):
+    """Nested values whose keys come in two orders and spacings have one fingerprint."""
+    from heliosite.functions import text
+
+    k = F.get_json_object("props", "$.k")
+    even = (F.col("event_id") % 2 == 0).cast("string")
+    one = F.concat(F.lit('{"user": '), "user_id", F.lit(', "of": {"b": '), even, F.lit(', "a": ['), "event_id", F.lit(', "'), "event_type", F.lit('"]}, "k": '), F.coalesce(k, F.lit("null")), F.lit("}"))
+    other = F.concat(F.lit('{"k":'), F.coalesce(k, F.lit("null")), F.lit(' , "of":{"a":['), "event_id", F.lit(',"'), "event_type", F.lit('"],"b":'), even, F.lit('},"user":'), "user_id", F.lit("}"))
+    return table(spark, sf_dir, "events").select("event_id", text.json_fingerprint(F.when(F.col("user_id") % 2 == 0, one).otherwise(other)).alias("fingerprint"))
