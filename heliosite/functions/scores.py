@@ -40,19 +40,16 @@ def _blank(column: Column) -> Column:
     return F.coalesce(column, F.lit(""))
 
 
-def identity_similarity(name: Column, place: Column, address: Column, kind: Column, city: Column, district: Column) -> Column:
-    """Similarity of a name to all that a candidate says of itself."""
-    return text.similarity(name, F.concat_ws(" ", *[_blank(c) for c in (place, address, kind, city, district)]))
+def identity_score(names: dict[str, Column], place: Column, kind: Column, provider: Column, similarity: Column, in_region: Column, hints: Hints = Hints()) -> tuple[Column, Column]:
+    """(score, array of flags) of an official candidate; ``provider`` is its share from the rank.
 
-
-def identity_score(name: Column, place: Column, address: Column, kind: Column, city: Column, district: Column, provider: Column, similarity: Column, in_region: Column, hints: Hints = Hints()) -> tuple[Column, Column]:
-    """(score, array of flags) of an official candidate; ``provider`` is its share from the rank, ``similarity`` as from ``identity_similarity``."""
+    ``names``: normal forms of the site's name (normal), of its core (core), of the candidate's place (other) and of all it says of itself (whole), and
+    compact forms of the place (short), the name (short_name) and its core (short_core), as ``operators.places.identity_scored`` makes them once a row.
+    """
     place, kind = _blank(place), _blank(kind)
-    whole = text.normalize_name(F.concat_ws(" ", place, *[_blank(c) for c in (address, kind, city, district)]))
     both = F.concat_ws(" ", place, kind)
-    core, normal, other = text.normalize_name(text.core_name(name)), text.normalize_name(name), text.normalize_name(place)
-    short = text.compact(place)
-    exact = ((other != "") & ((other == normal) | (other == core))) | ((short != "") & ((short == text.compact(name)) | (short == text.compact(text.core_name(name)))))
+    core, normal, other, whole = (names[c] for c in ("core", "normal", "other", "whole"))
+    exact = ((other != "") & ((other == normal) | (other == core))) | ((names["short"] != "") & ((names["short"] == names["short_name"]) | (names["short"] == names["short_core"])))
     held = ~exact & (core != "") & F.contains(whole, core)
     weak = ~exact & ~held & (similarity < 0.25)
     main = text.has_any(kind, hints.main_type)
@@ -65,7 +62,7 @@ def identity_score(name: Column, place: Column, address: Column, kind: Column, c
     flags = text.flags(
         (~in_region, "outside_target_bbox"), (weak, "weak_name_match"), (main, "main_mall_type"), (~main & ~hinted, "no_mall_hint"), (inner, "internal_sub_poi"), (bad, "bad_place_hint"), (generic, "generic_candidate"),
     )
-    return F.round(score, 3), flags
+    return score, flags
 
 
 # Kinds of open map data that are places to shop, and those that are stops.

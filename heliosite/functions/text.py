@@ -107,6 +107,25 @@ def capped_notes(notes: Column, most: int = 8) -> Column:
     return F.array_join(F.when(rest > 0, F.concat(F.slice(notes, 1, most), F.array(F.concat(F.lit("...+"), rest.cast("string"))))).otherwise(notes), "; ")
 
 
+# Openings of prompts that notes leave out.
+PROMPT_OPENINGS = ("a satellite image of ", "a remote sensing image of ", "a top-down image of ", "a commercial or industrial ")
+
+
+def short_prompt(prompt: Column) -> Column:
+    out = F.coalesce(prompt, F.lit(""))
+    for opening in PROMPT_OPENINGS:
+        out = F.replace(out, F.lit(opening), F.lit(""))
+    return out
+
+
+def component_note(component: Column) -> Column:
+    """What was seen of a component: struct(label_id, decision, positive, positive_score, negative, negative_score, delta); a missing decision is a pass."""
+    shown = lambda c: F.coalesce(component[c].cast("string"), F.lit(""))
+    return F.concat(
+        shown("label_id"), F.lit(":"), F.coalesce(component["decision"], F.lit("pass")), F.lit(" pos="), short_prompt(component["positive"]), F.lit("("), shown("positive_score"), F.lit(") neg="), short_prompt(component["negative"]), F.lit("("), shown("negative_score"), F.lit(") d="), shown("delta"),
+    )
+
+
 def mask_stem(stem: Column) -> Column:
     """Lower case, each kind of suffix cut once, in this order."""
     out = F.lower(stem)

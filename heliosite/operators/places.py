@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heliosite.functions import decide, geo
+from heliosite.functions import decide, geo, scores, text
 from heliosite.operators.relational import first_per_key
 
 
@@ -106,3 +106,52 @@ def located(rows: DataFrame, geocodes: DataFrame, query: Column, least: float =
     source = F.when(own, "input_coordinates").when(no_query, "none").otherwise("arcgis")
     taken = {c: F.when(own, F.col(c)).when(~no_query & ~failed, F.col(f"geo_{c}")) for c in ("lon", "lat")}
     return both.withColumns({"status": status, "source": source, "reason": reason, **taken}).drop("answered", *[f"geo_{c}" for c in ("lon", "lat", "score", "error")])
+
+
+def identity_scored(rows: DataFrame, name: str, said: tuple[str, ...], provider: str, inside: str, hints: scores.Hints = scores.Hints()) -> DataFrame:
+    """``rows`` with similarity, score and flags of an official candidate. ``said``: its place, address, kind, city and district.
+
+    Normal forms are columns of their own before they are compared, so that a row's names are cleaned once each. Scores aren't rounded.
+    """
+    place, _, kind, *_ = said
+    blank = lambda c: F.coalesce(F.col(c), F.lit(""))
+    step = rows.withColumns({"_whole": F.concat_ws(" ", *map(blank, said)), "_core": text.core_name(F.col(name))})
+    normal = {"normal": F.col(name), "core": F.col("_core"), "other": blank(place), "whole": F.col("_whole")}
+    short = {"short": blank(place), "short_name": F.col(name), "short_core": F.col("_core")}
+    step = step.withColumns({f"_{c}1": text.normalize_name(v) for c, v in normal.items()} | {f"_{c}1": text.compact(v) for c, v in short.items()})
+    step = step.withColumns({f"_{c}2": text.normalize_name(F.col(f"_{c}1")) for c in ("normal", "whole")})
+    step = step.withColumns({f"_{c}3": text.bigrams(F.col(f"_{c}2")) for c in ("normal", "whole")} | {f"_{c}4": text.characters(F.col(f"_{c}1")) for c in ("normal", "whole")})
+    n, w = ([F.col(f"_{c}{i}") for i in (1, 3, 4)] for c in ("normal", "whole"))
+    step = step.withColumn("similarity", text.similarity_of(n[0], w[0], F.length(n[0]), F.length(w[0]), n[1], w[1], n[2], w[2]))
+    names = {c: F.col(f"_{c}1") for c in (*normal, *short)}
+    score, flags = scores.identity_score(names, F.col(place), F.col(kind), F.col(provider), F.col("similarity"), F.col(inside), hints)
+    return step.select(*rows.columns, "similarity", score.alias("score"), flags.alias("flags"))
+
+
+def fallback_center(sites: DataFrame, candidates: DataFrame) -> DataFrame:
+    """``sites`` (site_id, lon, lat) without coordinates take those of their first candidate, by provider and rank, that has both; ``derived`` says where.
+
+    Candidates: site_id, provider, rank, lon, lat, and ``seq`` for the order of equal ones. A site with one coordinate alone counts as without.
+    """
+    first = first_per_key(candidates.where("lon is not null and lat is not null"), ["site_id"], [F.asc_nulls_first("provider"), F.asc_nulls_first("rank"), F.asc("seq")])
+    both = sites.join(first.select("site_id", F.col("lon").alias("_lon"), F.col("lat").alias("_lat")), "site_id", "left")
+    derived = (F.col("lon").isNull() | F.col("lat").isNull()) & F.col("_lon").isNotNull()
+    out = {c: F.when(derived, F.col(f"_{c}")).otherwise(F.col(c)) for c in ("lon", "lat")} | {"derived": derived}
+    return both.select(*[c for c in sites.columns if c not in out], *[v.alias(c) for c, v in out.items()])
+
+
+def rolled_tiles(tiles: DataFrame, area_at: float = 50_000.0) -> DataFrame:
+    """A row for each mall_id from its tiles (ok, roof_components, roof_area_m2, pv_status, pv_area_m2, method): planned and downloaded tiles, sums, methods, score, level.
+
+    Tiles that aren't ok are planned only. The score weighs the roof area three to one against the share of planned tiles with a roof; the level is unknown where nothing was downloaded.
+    """
+    ok = F.coalesce(F.col("ok"), F.lit(False))
+    count, total = lambda c: F.count_if(ok & c), lambda c: F.coalesce(F.sum(F.when(ok, F.col(c))), F.lit(0.0))
+    rolled = tiles.groupBy("mall_id").agg(
+        F.count(F.lit(1)).alias("tile_count"), count(F.lit(True)).alias("downloaded_tile_count"), count(F.col("roof_components") > 0).alias("roof_candidate_tile_count"), total("roof_components").cast("long").alias("roof_candidate_count"), total("roof_area_m2").alias("roof_area_m2"),
+        count(F.col("pv_status").isin("possible_pv", "likely_pv")).alias("existing_pv_tile_count"), total("pv_area_m2").alias("existing_pv_area_m2"), F.array_join(F.sort_array(F.collect_set(F.when(ok, F.col("method")))), "+").alias("methods"),
+    )
+    share = F.least(F.col("roof_candidate_tile_count") / F.greatest(F.col("tile_count"), F.lit(1)), F.lit(1.0))
+    score = F.least(F.lit(1.0), F.col("roof_area_m2") / area_at * 0.75 + share * 0.25)
+    scored = rolled.withColumn("install_condition_score", score)
+    return scored.withColumn("install_condition_level", decide.condition_level(F.col("install_condition_score"), F.col("roof_area_m2"), F.col("downloaded_tile_count")))

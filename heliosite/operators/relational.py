@@ -90,3 +90,23 @@ def similar_names(df: DataFrame, key: str, group: str, name: str, tokens: tuple[
     c = F.col
     score = text.similarity_of(c("n1"), c("n2"), c("size1"), c("size2"), c("bi1"), c("bi2"), c("ch1"), c("ch2"))
     return pairs.select(c("k1").alias("a"), c("k2").alias("b"), score.alias("score"))
+
+
+def coverage(df: DataFrame, groups: list[str], ident: str, flag: str, confidence: str) -> DataFrame:
+    """Per group: rows with an id, those flagged, their rate and percentage, the mean confidence; the highest rate first. A null is a group of its own.
+
+    Percentages have two decimals and means three, ties to even; a group without ids has no rate.
+    """
+    n, hits = F.count(ident), F.sum(F.col(flag).cast("long"))
+    rolled = df.groupBy(*groups).agg(n.alias("mall_count"), F.coalesce(hits, F.lit(0)).alias("suspected_pv_count"), F.bround(F.avg(confidence), 3).alias("avg_confidence"))
+    rate = F.when(F.col("mall_count") > 0, F.col("suspected_pv_count") / F.col("mall_count"))
+    return rolled.withColumn("coverage_rate", rate).withColumn("coverage_rate_pct", F.bround(F.col("coverage_rate") * 100, 2)).orderBy(F.desc_nulls_last("coverage_rate"), F.desc("mall_count"))
+
+
+def ranked_frequency(df: DataFrame, key: str, seen: str) -> DataFrame:
+    """(key, n, place): counts with their places from 1, the most frequent first; equal ones as they were first seen, by the order of ``seen``."""
+    from heliosite.operators.ordered import numbered
+    from heliosite.sources.shared import written
+
+    counts = written(df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(seen).alias("_first")))
+    return numbered(counts, [F.desc("n"), "_first"], None, "place").select(key, "n", (F.col("place") + 1).alias("place"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heliosite.functions import decide
+from heliosite.functions import decide, text
 from heliosite.operators.relational import first_per_key
 
 SECOND = "requires second review"
@@ -100,3 +100,39 @@ def output_view(view: str, level: Column, path: Column) -> Column:
 def of_province(province: Column, wanted: str) -> Column:
     """A null province is blank text; no wish is met by all."""
     return F.coalesce(province, F.lit("")) == wanted if wanted else F.lit(True)
+
+
+#: Columns of the approved centers, in order.
+APPROVED_COLUMNS = "mall_id name province city confidence_level center_lon center_lat center_source reviewer reason final_polygon_geojson review_round reviewed_at selected_provider selected_poi_name official_coord_evidence".split()
+
+
+def approved(malls: DataFrame, reviews: DataFrame) -> DataFrame:
+    """The centers that may be analysed: those a review puts at level A or B with both coordinates, and those no review touches whose automatic level and center will do.
+
+    ``malls``: mall_id, name, province, city, confidence_level, approved_center_lon, approved_center_lat, selected_provider, selected_poi_name, official_coord_evidence.
+    ``reviews``: mall_id (once), decision_level, final_lon, final_lat, and the reviewer's columns.
+    """
+    good = lambda level: F.coalesce(F.col(level).isin("A", "B"), F.lit(False))
+    told = reviews.select("mall_id", "decision_level", "final_lon", "final_lat", "reviewer", "reason", "final_polygon_geojson", "review_round", "reviewed_at", F.lit(True).alias("_told"))
+    both = malls.join(told, "mall_id", "left")
+    manual = good("decision_level")
+    by_hand = manual & F.col("final_lon").isNotNull() & F.col("final_lat").isNotNull()
+    by_rule = F.col("_told").isNull() & good("confidence_level") & F.col("approved_center_lon").isNotNull() & F.col("approved_center_lat").isNotNull()
+    made = {
+        "confidence_level": F.coalesce("decision_level", "confidence_level"), "center_lon": F.when(manual, F.col("final_lon")).otherwise(F.col("approved_center_lon")),
+        "center_lat": F.when(manual, F.col("final_lat")).otherwise(F.col("approved_center_lat")), "center_source": F.when(manual, "manual_review").otherwise("official_poi_auto"),
+    }
+    return both.where(by_hand | by_rule).select([(made[c] if c in made else F.col(c)).alias(c) for c in APPROVED_COLUMNS])
+
+
+def first_filled_of(rows: DataFrame, sides: list[DataFrame], key: str, defaults: dict[str, str]) -> DataFrame:
+    """``rows`` with each column of ``defaults`` from the first of ``sides`` whose row of the key has it filled, else its default; ``found`` says whether any side has the key.
+
+    Each side has a key once at most; a column that a side lacks isn't filled there.
+    """
+    out = rows
+    for i, side in enumerate(sides):
+        out = out.join(side.select(key, F.lit(True).alias(f"_in{i}"), *[F.col(c).alias(f"_{c}{i}") for c in defaults if c in side.columns]), key, "left")
+    filled = {c: text.first_filled(*[F.col(f"_{c}{i}") for i, s in enumerate(sides) if c in s.columns], F.lit(d)) for c, d in defaults.items()}
+    found = F.coalesce(*[F.col(f"_in{i}") for i in range(len(sides))], F.lit(False))
+    return out.select(*rows.columns, *[F.coalesce(v, F.lit("")).alias(c) for c, v in filled.items()], found.alias("found"))

@@ -119,15 +119,14 @@ s as (select *, {_similar('normal', 'whole')} as sim, (other <> '' and other in
 {_any('place', _HINTS.inner_name)} or {_any('kind', _HINTS.inner_type)} as inside_place, {_any("(place || ' ' || kind)", _HINTS.mall)} or {_any('kind', _HINTS.good_type)} as hint from m),
 f as (select *, not exact and core <> '' and contains(whole, core) as held, inside_place and not (exact and main) as inner_poi from s),
 t as (select *, not exact and not held and sim < 0.25::double as weak from f)
-select k, round(sim, 6) as similarity, round(provider + sim * 45 + (case when inside then 15 else -45 end) + (case when exact then 30 when held then 18 when weak then -18 else 0 end) + (case when main then 22 when hint then 10 else 0 end) - (case when inner_poi then 36 else 0 end) - (case when bad then 28 else 0 end) - (case when generic then 8 else 0 end), 3) as score,
+select k, round(sim, 6) as similarity, round(provider + sim * 45 + (case when inside then 15 else -45 end) + (case when exact then 30 when held then 18 when weak then -18 else 0 end) + (case when main then 22 when hint then 10 else 0 end) - (case when inner_poi then 36 else 0 end) - (case when bad then 28 else 0 end) - (case when generic then 8 else 0 end), 9) as score,
 concat_ws('|', {either('not inside', 'outside_target_bbox')}, {either('weak', 'weak_name_match')}, {either('main', 'main_mall_type')}, {either('not main and not hint', 'no_mall_hint')}, {either('inner_poi', 'internal_sub_poi')}, {either('bad', 'bad_place_hint')}, {either('generic', 'generic_candidate')}) as flags from t""")
 def identity_score(spark, sf_dir):
     k = F.col("c_custkey")
     rows = table(spark, sf_dir, "customer").select(k.alias("k"), choice(k, *_NAMES).alias("name"), choice(F.floor(k / 2), *_PLACES).alias("place"), choice(F.floor(k / 3), *_KINDS).alias("kind"), F.col("c_mktsegment").alias("address"), (k % 10 != 3).alias("inside"), decide.provider_score(k % 14 + 1).alias("provider"))
-    said = [F.col("name"), F.col("place"), F.col("address"), F.col("kind"), F.lit("City"), F.lit("D")]
-    rows = rows.withColumn("sim", scores.identity_similarity(*said))
-    score, flags = scores.identity_score(*said, F.col("provider"), F.col("sim"), F.col("inside"))
-    return rows.select("k", F.round("sim", 6).alias("similarity"), score.alias("score"), F.array_join(flags, "|").alias("flags"))
+    rows = rows.withColumns({"city": F.lit("City"), "district": F.lit("D")})
+    scored = places.identity_scored(rows, "name", ("place", "address", "kind", "city", "district"), "provider", "inside")
+    return scored.select("k", F.round("similarity", 6).alias("similarity"), F.round("score", 9).alias("score"), F.array_join("flags", "|").alias("flags"))
 
 
 _RH = scores.RelocationHints()

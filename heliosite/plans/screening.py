@@ -127,9 +127,9 @@ def core_names(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", text.core_name(name).alias("core"))
 
 
-@bound("select event_id, round((event_id % 1000) * pow(value / 1000, 2), 6) as area_m2 from events")
+@bound("select event_id, (event_id % 1000) * (value / 1000) * (value / 1000) as area_m2 from events")
 def pixel_areas(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.round(geo.area_m2(F.col("event_id") % 1000, F.col("value") / 1000), 6).alias("area_m2"))
+    return table(spark, sf_dir, "events").select("event_id", geo.area_m2(F.col("event_id") % 1000, F.col("value") / 1000).alias("area_m2"))
 
 
 @bound("""select event_id, case when event_id % 5 < 2 then 'none' when s = 'likely_pv' and components = 0 then 'possible_pv' else s end as status
