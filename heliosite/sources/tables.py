@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from heliosite.sources.commits import Store
+from heliosite.sources.tiles import filesystem
+
 
 def _text_schema(columns: list[str]) -> StructType:
     return StructType([StructField(c, StringType()) for c in columns])
@@ -29,17 +36,34 @@ def csv_header(spark: SparkSession, path: str) -> list[str]:
     return [n.removeprefix("﻿") for n in names]
 
 
+def data_files(spark: SparkSession, path: str) -> list[str]:
+    """The file, or the files of a folder that Spark would read, by name; empty ones hold nothing, not even a header."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(where)
+    named = [(str(f.getPath()), f.getLen()) for f in found if f.isFile() and not f.getPath().getName().startswith(("_", "."))]
+    return sorted(name for name, size in named if size)
+
+
 def read_text_csv(spark: SparkSession, path: str, columns: list[str] | None = None, required: tuple[str, ...] = ()) -> DataFrame:
-    """Every cell a string and blanks empty, as in the source files. A required column that the file's header lacks is an error.
+    """Every cell a string and blanks empty, as in the source files. A required column that a file's header lacks is an error.
 
-    ``columns``: which to keep, in this order; those that the file lacks are blank. All of the file's by default.
+    ``columns``: which to keep, in this order; those that the file lacks are blank. All of the first file's by default. Files of a folder may have their columns
+    in different orders: those with the same header are read together, and columns meet by name; a column that only some files have is blank in the others.
     """
-    header = csv_header(spark, path)
-    missing = set(required) - set(header)
-    if missing:
-        raise ValueError(f"missing columns: {', '.join(sorted(missing))}")
-    rows = _csv(spark).schema(_text_schema(header)).csv(path).na.fill("")
-    return rows if columns is None else fixed_projection(rows, columns)
+    kinds: dict[tuple[str, ...], list[str]] = {}
+    for file in data_files(spark, path):
+        kinds.setdefault(tuple(csv_header(spark, file)), []).append(file)
+    if not kinds:
+        raise ValueError(f"no header: {path}")
+    wanted = columns or list(dict.fromkeys(c for header in kinds for c in header))
+    out = None
+    for header, files in kinds.items():
+        if missing := set(required) - set(header):
+            raise ValueError(f"missing columns: {', '.join(sorted(missing))}")
+        rows = _csv(spark).schema(_text_schema(list(header))).csv(files).na.fill("")
+        rows = rows if wanted == list(header) else fixed_projection(rows, wanted)
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def read_typed_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -72,22 +96,40 @@ def with_added_columns(df: DataFrame, defaults: dict[str, Column]) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, columns: list[str], strict: bool = False) -> None:
-    """Replace a table of text cells under fixed columns; the committer moves whole files into place. ``strict``: columns beyond them are an error."""
+    """Replace a table of text cells under fixed columns. ``strict``: columns beyond them are an error.
+
+    The new table is written beside the old one and takes its name when it is whole; a job that fails leaves the old one as it was. If the driver dies
+    between the two renames, the old table stands under ``{path}.before``.
+    """
     extra = sorted(set(df.columns) - set(columns))
     if strict and extra:
         raise ValueError(f"unknown columns: {', '.join(extra)}")
-    fixed_projection(df, columns).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    spark, place = df.sparkSession, path.rstrip("/")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = hadoop(place).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    new, old = hadoop(f"{place}.{uuid.uuid4().hex}"), hadoop(f"{place}.before")
+    try:
+        fixed_projection(df, columns).write.option("header", True).option("escape", '"').csv(new.toString())
+        if files.exists(hadoop(place)):
+            files.delete(old, True)
+            if not files.rename(hadoop(place), old):
+                raise OSError(f"{path} couldn't be moved away")
+        if not files.rename(new, hadoop(place)):
+            files.rename(old, hadoop(place))
+            raise OSError(f"{path} couldn't be replaced")
+        files.delete(old, True)
+    finally:
+        files.delete(new, True)
 
 
 def append_run(df: DataFrame, path: str, run_id: str) -> None:
-    """One batch under its run's partition; a later batch of the run is added beside it."""
+    """One batch under its run's partition; a later batch of the run is added beside it. A batch that is tried again is added again; ``sources.commits`` stores each once."""
     df.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(path)
 
 
-def checkpoint_run(tables: dict[str, DataFrame], root: str, run_id: str) -> None:
-    """One batch of several tables under the same run."""
-    for name, df in tables.items():
-        append_run(df, f"{root.rstrip('/')}/{name}", run_id)
+def checkpoint_run(tables: dict[str, DataFrame], root: str, run_id: str, batch: int) -> bool:
+    """One batch of several tables of a run, all or none of them and once only; False if it is there already."""
+    return Store(tables[next(iter(tables))].sparkSession, root).commit(f"{run_id}-{batch:06d}", {name: df.withColumn("run_id", F.lit(run_id)) for name, df in tables.items()})
 
 
 def latest_run(df: DataFrame) -> DataFrame:
@@ -112,6 +154,31 @@ def first_image_per_id(images: DataFrame) -> DataFrame:
     return ids.where("id is not null").groupBy("id").agg(F.min("path").alias("path"))
 
 
+def with_existence(rows: DataFrame, path: str, exists: str = "exists") -> DataFrame:
+    """``rows`` with whether the file that ``path`` names is there; blank and null name none.
+
+    Each folder that the rows name is listed once, by a task, so the calls grow with the folders and not with the rows. A folder that isn't there has no files.
+    """
+    clean = F.trim(F.coalesce(F.col(path), F.lit("")))
+    split = rows.withColumns({"_folder": F.when(clean.contains("/"), F.regexp_extract(clean, r"^(.*)/[^/]*$", 1)), "_file": F.regexp_extract(clean, r"([^/]*)$", 1)})
+    folders = split.where("_folder is not null and _file <> ''").select("_folder").distinct()
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                files, root = filesystem(folder or "/")
+                try:
+                    names = [f.base_name for f in files.get_file_info(fs.FileSelector(root, allow_not_found=True)) if f.type == fs.FileType.File]
+                except NotADirectoryError:
+                    names = []
+                yield pa.RecordBatch.from_arrays([pa.array([folder] * len(names), pa.string()), pa.array(names, pa.string())], names=["_folder", "_file"])
+
+    there = folders.mapInArrow(listed, "_folder string, _file string").withColumn(exists, F.lit(True))
+    return split.join(there, ["_folder", "_file"], "left").select(*rows.columns, F.coalesce(exists, F.lit(False)).alias(exists))
+
+
 def resolved_path(path: Column, root: str) -> Column:
     """Absolute paths and URIs as they are, others below ``root``; blank stays blank."""
     clean = F.trim(F.coalesce(path, F.lit("")))
