@@ -50,19 +50,6 @@ def resume(source: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return source.join(done.select(key).distinct(), key, "left_anti")
 
 
-def agreement(sites: DataFrame, group: str, radius_m: float, distance) -> DataFrame:
-    """Pairs of rows in a group from different providers within ``radius_m``.
-
-    ``distance`` builds the metres between two rows' coordinates. Rows meet only in the same or the next latitude band of
-    ``radius_m``, so that a large group isn't compared whole.
-    """
-    own, other = (f"{spare(sites)}_{side}" for side in ("own", "other"))
-    left = sites.withColumn(own, F.floor(F.col("lat") * 111_000.0 / radius_m))
-    right = sites.select([F.col(c).alias(f"other_{c}") for c in sites.columns]).withColumn(other, F.explode(F.array(*[F.floor(F.col("other_lat") * 111_000.0 / radius_m) + i for i in (-1, 0, 1)])))
-    joined = left.join(right, (F.col(group) == F.col(f"other_{group}")) & (F.col(own) == F.col(other)) & (F.col("provider") != F.col("other_provider")))
-    return joined.where(distance(F.col("lon"), F.col("lat"), F.col("other_lon"), F.col("other_lat")) <= radius_m).drop(own, other)
-
-
 def early_stop(df: DataFrame, keys: list[str], order: list[Column], stop: Column) -> DataFrame:
     """Rows of each key up to and with the first at which ``stop`` holds."""
     before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)

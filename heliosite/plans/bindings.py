@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heliosite.functions import decide, geo, text
+from heliosite.operators import cells
 from heliosite.operators import relational as rel
 
 FLAGSHIP = "coverage_by_group"
@@ -87,7 +88,8 @@ def provider_counts(spark, sf_dir):
 
 @bound(f"select a.id, count(*) as agreeing from {SITE} a join {SITE} b on a.grp = b.grp and a.provider <> b.provider where 2 * 6371008.8 * asin(sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))) <= 20000 group by a.id")
 def provider_agreement(spark, sf_dir):
-    return rel.agreement(site(spark, sf_dir), "grp", 20_000.0, geo.haversine_m).groupBy("id").agg(F.count("*").alias("agreeing"))
+    near = cells.near_pairs(site(spark, sf_dir), "grp", "id", 20_000.0, allowed=F.col("provider") != F.col("other_provider"))
+    return near.groupBy("id").agg(F.count("*").alias("agreeing"))
 
 
 @bound("select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by value desc, event_id) as n from events) where n = 1")
@@ -231,6 +233,17 @@ def name_similarity(spark, sf_dir):
     return rel.similar_names(p, "p_partkey", "p_brand", "name").select("a", "b", F.round("score", 6).alias("score"))
 
 
+@bound(f"""with p as (select p_partkey as k, p_brand as b, replace(replace(replace(replace(lower(p_name), ' ', ''), '#', ''), '-', ''), 'mall', '') as n from (select p_partkey, p_brand, case when p_partkey % 3 = 0 then p_name || ' Mall' else p_name end as p_name from part)),
+j as (select x.k as a, y.k as b, x.n as n1, y.n as n2 from p x join p y on x.b = y.b and x.k < y.k)
+select * from (select a, b, round(case when contains(n1, n2) or contains(n2, n1) then least(1.0::double, 0.72::double + 0.28::double * least(length(n1), length(n2)) / greatest(length(n1), length(n2)))
+else 0.78::double * 2 * len(list_intersect({_GRAMS.format('n1')}, {_GRAMS.format('n2')})) / (len({_GRAMS.format('n1')}) + len({_GRAMS.format('n2')})) + 0.22::double * len(list_intersect({_CHARS.format('n1')}, {_CHARS.format('n2')})) / len({_CHARS.format('n1')}) end, 6) as score from j) where score >= 0.8""")
+def similar_name_pairs(spark, sf_dir):
+    """The pairs of a brand that score 0.8, through shared bigrams."""
+    name = F.when(F.col("p_partkey") % 3 == 0, F.concat("p_name", F.lit(" Mall"))).otherwise(F.col("p_name"))
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.replace(name, F.lit("#"), F.lit("")).alias("name"))
+    return cells.similar_above(p, "p_partkey", "p_brand", "name", 0.8).select("a", "b", F.round("score", 6).alias("score"))
+
+
 @bound(f"select id, round(156543.03392804097::double * cos(radians(lat)) / 262144, 9) as mpp, round((lon + 180) / 360 * 256 * 262144, 3) as px, round((0.5::double - ln((1 + sin(radians(lat))) / (1 - sin(radians(lat)))) / (4 * pi())) * 256 * 262144, 3) as py, round(lon, 6) as lon, round(lat, 6) as lat from {SITE}")
 def pixel_roundtrip(spark, sf_dir):
     s = site(spark, sf_dir).withColumn("mpp", geo.metres_per_pixel(F.col("lat"), 18))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from heliosite.functions import decide, geo, scores, text
-from heliosite.operators import places, reviews
+from heliosite.operators import cells, places, reviews
 from heliosite.operators import relational as rel
 from heliosite.plans.bindings import _CHARS, _GRAMS, SITE, _without, bound, site, table
 
@@ -599,10 +599,7 @@ _TO = "(0.5::double - ln((1 + sin(radians({v}))) / (1 - sin(radians({v})))) / (4
 @bound(f"""with p as (select a.id as a, b.id as b, (b.lon - a.lon) / 360 * 4194304 + 512 as x, {_TO.format(v='b.lat').replace('67108864', '4194304')} - {_TO.format(v='a.lat').replace('67108864', '4194304')} + 512 as y from {SITE} a join {SITE} b on a.grp = b.grp and a.id < b.id)
 select a, b, round(x, 3) as x, round(y / 1024 * 100, 5) as y_pct from p where x between -24 and 1048 and y between -24 and 1048""")
 def marker_visible(spark, sf_dir):
-    left = site(spark, sf_dir).select(F.col("id").alias("a"), "grp", F.col("lon").alias("lon0"), F.col("lat").alias("lat0"))
-    right = site(spark, sf_dir).select(F.col("id").alias("b"), "grp", "lon", "lat")
-    marker = geo.marker(F.col("lon0"), F.col("lat0"), F.col("lon"), F.col("lat"), 14, 1024, 24)
-    return left.join(right, "grp").where("a < b").select("a", "b", marker.alias("m")).where("m.visible").select("a", "b", F.round("m.x", 3).alias("x"), F.round("m.y_pct", 5).alias("y_pct"))
+    return cells.visible_pairs(site(spark, sf_dir), "grp", "id", 14, 1024, 24).select("a", "b", F.round("m.x", 3).alias("x"), F.round("m.y_pct", 5).alias("y_pct"))
 
 
 @bound(f"select id, round(lon + (id % 900 - 512) / 67108864.0::double * 360, 7) as lon, round(least(85.05112878::double, 90 - 360 * atan(exp((({_TO.format(v='lat')} + id % 700 - 512) / 67108864 - 0.5::double) * 2 * pi())) / pi()), 7) as lat from {SITE}")
