@@ -154,8 +154,8 @@ class LineRuns:
 
 def dealt(docs: DataFrame, batches: int = BATCHES) -> list[tuple[int | None, int | None]]:
     """Ranges (from, below) of ``doc`` with about as many rows each, the largest first."""
-    edges = sorted(set(docs.approxQuantile("doc", [i / batches for i in range(1, batches)], 0.01)))
-    edges = [int(x) for x in edges]
+    shares = [i / batches for i in range(1, batches)]
+    edges = sorted({int(x) for x in docs.approxQuantile("doc", shares, 0.01)}) if shares else []
     return list(zip([None, *edges], [*edges, None], strict=True))[::-1]
 
 
