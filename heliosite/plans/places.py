@@ -310,7 +310,7 @@ def effective_status(spark, sf_dir):
 
 
 _ASKED = "(select id, case when id % 3 <> 0 then lon end as lon0, lat as lat0, case when id % 5 = 0 then '' else 'q' || (id % 40) end as query from {SITE})".replace("{SITE}", SITE)
-_GEO = "(select 'q' || s_suppkey as query, case when s_suppkey % 6 <> 5 then 121.0::double + s_suppkey / 100.0::double end as lon, 31.0::double as lat, (60 + s_suppkey)::double as score, case when s_suppkey % 7 = 6 then 'timeout' end as error from supplier where s_suppkey < 32)"
+_GEO = "(select 'q' || s_suppkey as query, case when s_suppkey % 6 <> 5 then 121.0::double + s_suppkey / 100.0::double end as lon, 31.0::double as lat, (60 + s_suppkey)::double as score, case when s_suppkey % 7 = 6 then 'timeout' end as error from supplier)"
 
 
 @bound(f"""select id, case when lon0 is not null then lon0 when query <> '' and error is null then lon end as lon, case when lon0 is not null then lat0 when query <> '' and error is null then lat end as lat,
@@ -320,7 +320,7 @@ from {_ASKED} a left join (select *, 1 as g from {_GEO}) b using (query)""")
 def coord_precedence(spark, sf_dir):
     k, s = F.col("id"), F.col("s_suppkey")
     rows = site(spark, sf_dir).select("id", F.when(k % 3 != 0, F.col("lon")).alias("lon"), "lat")
-    codes = table(spark, sf_dir, "supplier").where("s_suppkey < 32").select(F.concat(F.lit("q"), s.cast("string")).alias("query"), F.when(s % 6 != 5, 121.0 + s / 100.0).alias("lon"), F.lit(31.0).alias("lat"), (60 + s).cast("double").alias("score"), F.when(s % 7 == 6, "timeout").alias("error"))
+    codes = table(spark, sf_dir, "supplier").select(F.concat(F.lit("q"), s.cast("string")).alias("query"), F.when(s % 6 != 5, 121.0 + s / 100.0).alias("lon"), F.lit(31.0).alias("lat"), (60 + s).cast("double").alias("score"), F.when(s % 7 == 6, "timeout").alias("error"))
     found = places.located(rows, codes, F.when(k % 5 == 0, "").otherwise(F.concat(F.lit("q"), (k % 40).cast("string"))))
     return found.select("id", "lon", "lat", "status", "source", "reason")
 
@@ -381,12 +381,12 @@ def keyed_index(spark, sf_dir):
     return reviews.keyed(table(spark, sf_dir, "events").select("event_id", key.alias("key"), "value"), "key", F.col("event_id"))
 
 
-@bound("select user_id, event_id from (select *, row_number() over (partition by user_id order by run desc, event_id desc) as n from (select user_id, event_id, event_id % 4 as run from events where event_id % 4 < 3)) where n = 1")
+@bound("select user_id, event_id from (select *, row_number() over (partition by user_id order by run desc, event_id desc) as n from (select user_id, event_id, event_id % 4 as run from events)) where n = 1")
 def keyed_upsert(spark, sf_dir):
     """Runs in turn over one dictionary: of a key, the last run's last row stays."""
     events = table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_id") % 4).alias("run"))
     now = events.where("run = 0")
-    for run in (1, 2):
+    for run in (1, 2, 3):
         now = rel.upsert(now, events.where(F.col("run") == run), ["user_id"], F.col("run"), [F.desc("event_id")])
     return rel.first_per_key(now, ["user_id"], [F.desc("run"), F.desc("event_id")]).select("user_id", "event_id")
 
@@ -642,10 +642,14 @@ def padded_boxes(spark, sf_dir):
     return sizes(spark, sf_dir).select("k", center["left"].alias("c_left"), center["bottom"].alias("c_bottom"), share["left"].alias("p_left"), fixed["bottom"].alias("q_bottom"))
 
 
-@bound("with v as (select unnest([(0, 0), (500, 0), (-500, 0), (0, 500), (0, -500), (500, 500), (500, -500), (-500, 500), (-500, -500), (1000, 0), (-1000, 0), (0, 1000), (0, -1000)]) as p) select row_number() over (order by sqrt(p[1]*p[1] + p[2]*p[2]), abs(p[1]) + abs(p[2]), p[1], p[2]) as n, p[1]::double as dx, p[2]::double as dy from v")
+@bound(f"""with v as (select unnest([(0, 0), (500, 0), (-500, 0), (0, 500), (0, -500), (500, 500), (500, -500), (-500, 500), (-500, -500), (1000, 0), (-1000, 0), (0, 1000), (0, -1000)]) as p),
+o as (select row_number() over (order by sqrt(p[1]*p[1] + p[2]*p[2]), abs(p[1]) + abs(p[2]), p[1], p[2]) as n, p[1]::double as dx, p[2]::double as dy from v)
+select id, n, dx, dy, round(lon + dx / (cos(radians(lat)) * 111320), 9) as lon, round(lat + dy / 111320, 9) as lat from {SITE}, o""")
 def sample_offsets(spark, sf_dir):
-    rows = table(spark, sf_dir, "region").limit(1).select(F.posexplode(geo.sample_offsets(1000.0, 13)).alias("i", "o"))
-    return rows.select((F.col("i") + 1).cast("long").alias("n"), "o.dx", "o.dy")
+    """The places to look at about each site."""
+    rows = site(spark, sf_dir).select("id", F.col("lon").alias("lon0"), F.col("lat").alias("lat0"), F.posexplode(geo.sample_offsets(1000.0, 13)).alias("i", "o"))
+    lon, lat = geo.offset_point(F.col("lon0"), F.col("lat0"), F.col("o.dx"), F.col("o.dy"))
+    return rows.select("id", (F.col("i") + 1).cast("long").alias("n"), "o.dx", "o.dy", F.round(lon, 9).alias("lon"), F.round(lat, 9).alias("lat"))
 
 
 @bound("with s as (select o_orderkey as k, 300 + (o_orderkey * 37) % 900 as w, 300 + (o_orderkey * 53) % 900 as h from orders), x as (select k, unnest(case when w <= 400 then [0] else list_distinct(range(0, w - 399, 312) || [w - 400]) end) as x, h from s) select k, x::int as x, unnest(case when h <= 400 then [0] else list_distinct(range(0, h - 399, 312) || [h - 400]) end)::int as y from x")

@@ -7,7 +7,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from heliosite.plans import audit, bindings, exports, ordered, places, runs, screening  # noqa: F401
+from heliosite.plans import audit, bindings, exports, ordered, places, runs, scoring, screening  # noqa: F401
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 
