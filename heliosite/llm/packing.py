@@ -7,7 +7,7 @@ tightest gap that holds it.
 
 Only the number of pieces of each length decides the plan, so the plan is made from at most ``capacity`` counts and
 handles all equal pieces of equal gaps in one step; its size doesn't depend on the number of documents. Spark then ranks
-the pieces of each length (``SALTS`` parts a length, so a common length isn't one group) and looks their places up.
+the pieces of each length over sorted ranges, so that a common length is spread, and looks their places up.
 
 Defined results: null text is empty and gives one piece of length 1; repeated rows are packed as often as they occur;
 an empty table gives an empty result. Other columns are ignored.
@@ -23,14 +23,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from heliosite.llm.storage import persisted
+from heliosite.operators.ordered import numbered
 
 CAPACITY = 2048
-SALTS = 64
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Beyond these characters, Unicode versions of the two tokenizer libraries could differ.
 _PLAIN = regex.compile(r"[^\x00-ɏ]")
@@ -162,24 +162,23 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY) -> tuple[pd.DataFrame, in
 
 def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``cut`` (piece rows) with sequence_id and offset. ``cut`` is read twice: give a written table."""
-    salted = cut.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
-    table = np.zeros((capacity + 1, SALTS), np.int64)
-    for row in salted.groupBy("length", "_salt").count().collect():  # at most capacity * SALTS rows
-        table[row["length"], row["_salt"]] = row["count"]
-    slots, _ = plan(table.sum(axis=1), capacity)
-    before = np.cumsum(table, axis=1) - table
-    base = np.concatenate([[0], np.cumsum(table.sum(axis=1))])[:-1]
+    counts = np.zeros(capacity + 1, np.int64)
+    for row in cut.groupBy("length").count().collect():  # at most capacity rows
+        counts[row["length"]] = row["count"]
+    slots, _ = plan(counts, capacity)
+    base = np.concatenate([[0], np.cumsum(counts)])[:-1]
     starts = (base[slots.length.to_numpy(int)] + slots["first"].to_numpy(int)) if len(slots) else np.zeros(0, np.int64)
-    shipped = cut.sparkSession.sparkContext.broadcast((before, base, starts, {c: slots[c].to_numpy(np.int64) for c in slots}))
+    shipped = cut.sparkSession.sparkContext.broadcast((base, starts, {c: slots[c].to_numpy(np.int64) for c in slots}))
     columns = cut.columns
     schema = StructType([*cut.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
-    ranked = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1)
+    # most pieces of long texts have the same length, so the places of a length are numbered over ranges
+    ranked = numbered(cut, ["doc_id", "piece", "start", "ids_crc32"], "length", "_rank")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, base, starts, slot = shipped.value
+        base, starts, slot = shipped.value
         for batch in batches:
-            length, salt, rank = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "_salt", "_rank"))
-            nth = base[length] + before[length, salt] + rank
+            length, rank = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "_rank"))
+            nth = base[length] + rank
             at = np.searchsorted(starts, nth, "right") - 1
             inside = nth - starts[at]
             each = slot["each"][at]
