@@ -12,6 +12,7 @@ they repeat; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import random
 import re
 from collections.abc import Iterator
@@ -104,6 +105,11 @@ def shape(word: str) -> str:
     return "".join(out)
 
 
+def coarse(word: str) -> str:
+    """The shape without the lengths of its runs of digits, and letters with digits behind them as letters."""
+    return re.sub(r"a9", "a", re.sub(r"9[1-5]", "9", shape(word)))
+
+
 _CUES = frozenset("at dot call phone tel mobile fax email mail e-mail contact card visa number ip host server address ping [at] (at) [dot] (dot)".split())
 
 
@@ -118,7 +124,7 @@ def features(words: list[str], i: int) -> list[str]:
 
     word = words[i]
     n = sum("0" <= c <= "9" for c in word)
-    return ["1", at(i, "s0"), at(i - 1, "s-1"), at(i + 1, "s+1"), at(i, "w0"), at(i - 1, "w-1"), at(i + 1, "w+1"), f"n={min(n, 20)}", f"@={'@' in word}", f".={min(word.count('.'), 4)}", f"+={word[:1] == '+'}", f"(={word[:1] == '('}"]
+    return ["1", at(i, "s0"), at(i - 1, "s-1"), at(i + 1, "s+1"), at(i, "w0"), at(i - 1, "w-1"), at(i + 1, "w+1"), f"n={min(n, 20)}", f"@={'@' in word}", f".={min(word.count('.'), 4)}", f"+={word[:1] == '+'}", f"(={word[:1] == '('}", f"c={coarse(word)}"]
 
 
 @dataclass
@@ -148,7 +154,7 @@ def sentences(n: int = 400, seed: int = 7) -> list[list[tuple[str, str]]]:
     def entity() -> tuple[str, list[str]]:
         kind = r.choice(KINDS)
         if kind == "email":
-            user, host, top = word() + r.choice(["", num(2)]), word(), r.choice(["com", "org", "net", "de"])
+            user, host, top = word() + r.choice(["", num(r.randint(1, 7))]), word() + r.choice(["", "", num(r.randint(1, 5))]), r.choice(["com", "org", "net", "de"])
             return kind, r.choice([[f"{user}@{host}.{top}"], [user, "[at]", host, "[dot]", top], [user, "(at)", host, "(dot)", top], [f"{user}[at]{host}.{top}"], [f"{user}(at){host}.{top}"], [user, "@", f"{host}.{top}"]])
         if kind == "ip":
             p = [str(r.randint(0, 255)) for _ in range(4)]
@@ -163,7 +169,7 @@ def sentences(n: int = 400, seed: int = 7) -> list[list[tuple[str, str]]]:
     def other() -> list[str]:
         return r.choice([
             [f"{num(4)}-0{r.randint(1, 9)}-{r.randint(10, 28)}"], [f"{r.randint(0, 23)}:{num(2)}"], [f"${num(2)}.{num(2)}"], [num(r.randint(1, 12))], [f"v{num(1)}.{num(1)}.{num(1)}"], [f"{num(2)}%"],
-            [f"{num(1)},{num(3)}"], ["token", "=", f'"{num(2)}{word()}{num(4)}{word()}{num(3)}"'], [f"{word()}{num(2)}"], [f"({num(4)})"], [f"{num(2)}/{num(2)}/{num(4)}"], ["@", word()], [f"@{word()}"], [f"{num(1)}.{num(2)}"],
+            [f"{num(1)},{num(3)}"], ["token", "=", f'"{num(2)}{word()}{num(4)}{word()}{num(3)}"'], [f"{word()}{num(r.randint(1, 7))}"], [f"({num(4)})"], [f"{num(2)}/{num(2)}/{num(4)}"], ["@", word()], [f"@{word()}"], [f"{num(1)}.{num(2)}"],
             [num(3), num(2)], [f"{num(3)}-{num(4)}"], [f"#{num(3)}"], [f"http://{word()}.com/{num(3)}"], [f"{word()}@{word()}"], [num(2), num(2), num(2)], [f"{num(16)}{r.choice('abc')}"],
         ])
 
@@ -362,11 +368,23 @@ def all_spans(texts: list[str], model: Field) -> list[tuple[list[tuple[str, int,
         added[i] += spans_of(texts[i], words, labels)
     out = []
     for own, more in zip(base, added, strict=True):
-        free = [s for s in more if not any(s[1] < b and a < s[2] for _, a, b in own)] if more else []
+        free = _outside(more, own) if more else []
         out.append((own, in_order([*own, *free])))
     return out
 
 
+def _outside(spans: list[tuple[str, int, int]], taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """The ``spans`` that overlap none of ``taken``."""
+    starts, ends = [], []
+    for _, a, b in sorted(taken, key=lambda s: s[1]):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return [s for s in spans if not ((i := bisect.bisect_right(ends, s[1])) < len(starts) and starts[i] < s[2])]
+
+
 def find(docs: DataFrame, model: Field) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans); the counts are those of the patterns."""
     import hashlib

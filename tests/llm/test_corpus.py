@@ -413,3 +413,30 @@ def test_transport_streams_made_elsewhere():
     assert len(long) > len(packets) + 2 and transport.demux(b"".join(long)).payload == payload
     broken = [p if i != 1 else p[:50] + bytes([p[50] ^ 1]) + p[51:] for i, p in enumerate(long)]
     assert transport.demux(b"".join(broken)).payload == b""
+
+
+def test_obfuscated_forms_by_kind(spark):
+    """Recall of each form on sentences that the training code doesn't make, and words that only look alike."""
+    r = random.Random(11)
+    model = pii.fit(pii.examples(spark))
+    names = "anna bob carol.k dieter_9 e-v".split()
+    made = {
+        "at in brackets": lambda i: f"{r.choice(names)}{i} [at] shop{i % 7} [dot] com", "at in parentheses": lambda i: f"{r.choice(names)}{'9' * (i % 7)} (at) mail (dot) org", "no spaces": lambda i: f"c{10 ** (i % 7)}[at]d{i}.com",
+        "ip in brackets": lambda i: f"10[.]{i % 200}[.]3[.]{i % 90}", "phone with dots": lambda i: f"555.{100 + i % 800}.{1000 + i * 7}",
+    }
+    recall = {}
+    for form, of in made.items():
+        texts = [f"please {r.choice(['contact', 'write to', 'reach'])} {of(i)} before {r.choice(['noon', 'friday'])}" for i in range(200)]
+        spans = [set(a) - set(b) for b, a in pii.all_spans(texts, model)]
+        recall[form] = sum(any(t[a:b] in t and len(t[a:b]) > 8 for _, a, b in s) for t, s in zip(texts, spans, strict=True)) / len(texts)
+    plain = [f"{x} {i}" for i in range(40) for x in ("meet at dot com station", f"room {i}(at) floor", f"version 3.{i}.1 released", f"on 2024-0{i % 9 + 1}-11 at noon", f"item c{i * 997} costs ${i}.50")]
+    wrong = sum(len(set(a) - set(b)) for b, a in pii.all_spans(plain, model))
+    print("recall", recall, "false", wrong, "of", len(plain))
+    assert min(recall.values()) > 0.8 and wrong <= len(plain) // 50
+
+
+def test_added_spans_outside_patterns():
+    r = random.Random(4)
+    for _ in range(200):
+        spans, taken = ([("k", a, a + r.randint(1, 9)) for a in (r.randint(0, 60) for _ in range(r.randint(0, 8)))] for _ in range(2))
+        assert pii._outside(spans, taken) == [s for s in spans if not any(s[1] < b and a < s[2] for _, a, b in taken)]
