@@ -136,3 +136,21 @@ def first_filled_of(rows: DataFrame, sides: list[DataFrame], key: str, defaults:
     filled = {c: text.first_filled(*[F.col(f"_{c}{i}") for i, s in enumerate(sides) if c in s.columns], F.lit(d)) for c, d in defaults.items()}
     found = F.coalesce(*[F.col(f"_in{i}") for i in range(len(sides))], F.lit(False))
     return out.select(*rows.columns, *[F.coalesce(v, F.lit("")).alias(c) for c, v in filled.items()], found.alias("found"))
+
+
+def not_yet_archived(reviews: DataFrame, history: DataFrame, keys: list[str], known: DataFrame | None = None, site: str = "mall_id") -> DataFrame:
+    """The reviews that ``history`` doesn't hold under the same ``keys``, of ``known`` sites if those are given. A null key is never held."""
+    rows = reviews if known is None else reviews.join(known.select(site), site, "left_semi").select(*reviews.columns)
+    return rows.join(history.select(*keys), keys, "left_anti").select(*reviews.columns)
+
+
+def moved(rows: DataFrame, goes: Column) -> tuple[DataFrame, DataFrame]:
+    """(rows that stay, rows that are moved): where ``goes`` is true a row moves, where it is false or null it stays."""
+    yes = F.coalesce(goes, F.lit(False))
+    return rows.where(~yes), rows.where(yes)
+
+
+def resolved(rows: DataFrame, level: str, center: list[str]) -> DataFrame:
+    """``rows`` with ``enters`` and ``review``: a level that may be analysed keeps its ``center`` columns, another's are null, and all but level A are to be reviewed."""
+    enters = decide.enters(F.col(level))
+    return rows.withColumns({c: F.when(enters == 1, F.col(c)) for c in center} | {"enters": enters, "review": (F.col(level) != "A").cast("int")})

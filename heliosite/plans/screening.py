@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from heliosite.functions import decide, geo, text
+from heliosite.operators import reviews
 from heliosite.plans.bindings import SITE, bound, site, table
 
 
@@ -17,11 +18,11 @@ def approved_centers(spark, sf_dir):
     auto = F.when(k % 4 == 0, "A").when(k % 4 == 1, "B").when(k % 4 == 2, "C").otherwise("D")
     sites = table(spark, sf_dir, "customer").select("c_custkey", auto.alias("auto"), F.when(k % 7 != 0, F.col("c_acctbal")).alias("auto_lon"))
     last = F.max("o_orderkey")
-    reviews = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+    told = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
         F.when(last % 3 == 0, "A").when(last % 3 == 1, "B").otherwise("C").alias("level"), F.when(last % 5 != 0, F.max("o_totalprice")).alias("lon"),
     )
     manual = F.col("level").isin("A", "B")
-    both = sites.join(reviews, "c_custkey", "left").where((manual & F.col("lon").isNotNull()) | (F.col("level").isNull() & F.col("auto").isin("A", "B") & F.col("auto_lon").isNotNull()))
+    both = sites.join(told, "c_custkey", "left").where((manual & F.col("lon").isNotNull()) | (F.col("level").isNull() & F.col("auto").isin("A", "B") & F.col("auto_lon").isNotNull()))
     return both.select("c_custkey", F.coalesce("level", "auto").alias("confidence_level"), F.when(manual, F.col("lon")).otherwise(F.col("auto_lon")).alias("center_lon"), F.when(manual, "manual_review").otherwise("official_poi_auto").alias("center_source"))
 
 
@@ -30,8 +31,8 @@ and not exists (select 1 from lineitem where l_orderkey = o_orderkey and l_lines
 def not_yet_requeued(spark, sf_dir):
     history = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linestatus").alias("o_orderstatus"))
     known = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"))
-    reviews = table(spark, sf_dir, "orders").where(F.col("o_orderstatus").isin("O", "F")).select("o_orderkey", "o_custkey", "o_orderstatus")
-    return reviews.join(known, "o_custkey", "left_semi").join(history, ["o_orderkey", "o_orderstatus"], "left_anti").select("o_orderkey")
+    rows = table(spark, sf_dir, "orders").where(F.col("o_orderstatus").isin("O", "F")).select("o_orderkey", "o_custkey", "o_orderstatus")
+    return reviews.not_yet_archived(rows, history, ["o_orderkey", "o_orderstatus"], known, "o_custkey").select("o_orderkey")
 
 
 @bound("""select c_custkey, coalesce(nullif(trim(case when c_custkey % 2 = 0 then ' ' else c_mktsegment end), ''), nullif(trim(o.p), ''), 'none') as filled
@@ -111,9 +112,9 @@ def totals_by_key(spark, sf_dir):
 union all select 'current', count(*), sum(o_orderkey)::bigint from orders where o_orderkey not in (select o_orderkey from m)""")
 def archive_and_delete(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
-    moved = orders.where("o_orderstatus = 'F'")
+    kept, moved = reviews.moved(orders, F.col("o_orderstatus") == "F")
     count = lambda df, side: df.agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("ids")).select(F.lit(side).alias("side"), "n", "ids")
-    return count(moved, "history").unionByName(count(orders.join(moved, "o_orderkey", "left_anti"), "current"))
+    return count(moved, "history").unionByName(count(kept, "current"))
 
 
 @bound("select c_custkey, regexp_replace(lower(concat_ws(' 店-', c_name, c_mktsegment)), '[^0-9a-z一-鿿]+', '', 'g') as key from customer")
@@ -144,9 +145,9 @@ def demoted_status(spark, sf_dir):
 @bound("""select c_custkey, level, (level = 'A' or level = 'B')::int as enters, case when level in ('A', 'B') then c_acctbal end as center_lon, (level <> 'A')::int as review
 from (select c_custkey, c_acctbal, case c_custkey % 4 when 0 then 'A' when 1 then 'B' when 2 then 'C' else 'D' end as level from customer)""")
 def resolved_rows(spark, sf_dir):
-    k, level = F.col("c_custkey"), F.col("level")
+    k = F.col("c_custkey")
     rows = table(spark, sf_dir, "customer").withColumn("level", F.when(k % 4 == 0, "A").when(k % 4 == 1, "B").when(k % 4 == 2, "C").otherwise("D"))
-    return rows.select("c_custkey", "level", decide.enters(level).alias("enters"), F.when(decide.enters(level) == 1, F.col("c_acctbal")).alias("center_lon"), (level != "A").cast("int").alias("review"))
+    return reviews.resolved(rows.withColumn("center_lon", F.col("c_acctbal")), "level", ["center_lon"]).select("c_custkey", "level", "enters", "center_lon", "review")
 
 
 @bound("""with e as (select user_id, event_id, value as pos, (event_id * 31) % 101 as neg from events),
