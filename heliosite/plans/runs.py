@@ -9,7 +9,7 @@ from heliosite.plans.bindings import bound, site, table
 from heliosite.sources.commits import Store
 from heliosite.sources.shared import shared_dir
 
-_DETECTED = """select o_custkey as mall_id, max(o_orderkey) as k, sum(o_orderkey % 997)::bigint as pv_px, (sum(o_totalprice) * 2)::bigint as roof_px, count(*) as candidates, max(o_orderkey) % 1500 as self_px from orders group by 1"""
+_DETECTED = """select o_custkey as mall_id, max(o_orderkey) as k, sum(o_orderkey % 997)::bigint as pv_px, floor(sum(o_totalprice) * 2 + 0.25)::bigint as roof_px, count(*) as candidates, max(o_orderkey) % 1500 as self_px from orders group by 1"""
 _SITES = "(select c_custkey as id, c_name as name, 30.67::double + ((c_custkey * 104729) % 1200) / 1000.0::double as lat, case c_custkey % 4 when 0 then ' a' when 1 then 'B' when 2 then 'C' else 'A' end as level from customer)"
 
 
@@ -28,7 +28,7 @@ def screening_run(spark, sf_dir):
     level = F.when(k % 4 == 0, " a").when(k % 4 == 1, "B").when(k % 4 == 2, "C").otherwise("A")
     centers = site(spark, sf_dir).select(k.alias("mall_id"), "name", level.alias("confidence_level"), F.col("lon").alias("center_lon"), F.col("lat").alias("center_lat"), F.lit("official_poi_auto").alias("center_source"))
     of = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("mall_id")).agg(
-        F.max("o_orderkey").alias("k"), F.sum(F.col("o_orderkey") % 997).alias("pv_area_px"), F.round(F.sum("o_totalprice") * 2).cast("long").alias("roof_area_px"), F.count("*").alias("roof_candidate_count"),
+        F.max("o_orderkey").alias("k"), F.sum(F.col("o_orderkey") % 997).alias("pv_area_px"), F.floor(F.sum("o_totalprice") * 2 + 0.25).alias("roof_area_px"), F.count("*").alias("roof_candidate_count"),
     )
     given = {
         "pv_status": F.when(F.col("k") % 3 == 0, "likely_pv").otherwise("possible_pv"), "self_area_px": F.col("k") % 1500, "self_box_px": F.lit(250_000), "error": F.when(F.col("k") % 13 == 0, "map was cut off"),
