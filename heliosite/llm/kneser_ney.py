@@ -6,6 +6,8 @@ no word makes a shard large. A shard sums its pairs, writes them as a sorted has
 on, for each word, its count and its number of distinct predecessors, and for each predecessor how many words follow it
 once, twice or more. Shards of words sum these and write the vocabulary in the same form. Only totals reach the driver.
 
+The arrays of ``SEGMENT`` shards are then put behind one another, so that a batch looks its keys up in a few large files, however many shards there are.
+
 Scoring. Workers map the files and look whole batches up: P(w | v) = max(c(vw) - D, 0) / c(v) + g(v) P(w), where P(w)
 comes from distinct predecessors, discounted likewise and interpolated with 1 / (V + 1).
 
@@ -25,6 +27,8 @@ scored whole. Other columns are ignored.
 from __future__ import annotations
 
 import json
+import os
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -36,13 +40,14 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heliosite.llm.storage import discarded, local_file, persisted, shared_dir, shuffles_dropped, write_file
+from heliosite.llm.storage import delete_folder, discarded, local_file, open_filesystem, persisted, read_file, shared_dir, shuffles_dropped, write_file
 from heliosite.llm.texts import HashIndex, buffers, mix, slices, trimmed, word_hashes
 
 START, END = np.uint64(0x5AFE57A27), np.uint64(0xE0D0FD0C)
 NONE = np.uint64(0)
 LOW48 = np.uint64((1 << 48) - 1)
 FLUSH = 1 << 22
+SEGMENT = 256
 
 
 def to_bytes(arrays: dict[str, np.ndarray]) -> bytes:
@@ -99,31 +104,73 @@ def pair_array(key: np.ndarray, n: np.ndarray, **more: np.ndarray) -> dict[str,
     }
 
 
-def pair_counts(store: dict[str, np.ndarray], key: np.ndarray) -> np.ndarray:
-    return pair_columns(store, key, ["n"])[0]
-
-
-def pair_columns(store: dict[str, np.ndarray], key: np.ndarray, names: list[str]) -> np.ndarray:
-    out = np.zeros((len(names), len(key)), np.int64)
-    bits = len(store["directory"]).bit_length() - 1 if len(store["directory"]) > 2 else 0
-    bucket = (key >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(key), np.int64)
-    rest = ((key << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
-    at, stop = store["directory"][bucket].astype(np.int64), store["directory"][bucket + 1].astype(np.int64)
-    live = np.flatnonzero(at < stop)
-    at, stop, rest = at[live], stop[live], rest[live]
-    while len(live):
-        have = store["rest"][at]
-        hit = have == rest
-        for i, name in enumerate(names):
-            n = store[name][at[hit]].astype(np.int64)
-            big = np.flatnonzero(n == 255)
-            if len(big):
-                of = "big" if name == "n" else f"{name}_big"
-                n[big] = store[f"{of}_n"][np.searchsorted(store[of], at[hit][big])]
-            out[i, live[hit]] = n
-        go = (have < rest) & (at + 1 < stop)
-        live, at, stop, rest = live[go], at[go] + 1, stop[go], rest[go]
-    return out
+def joined_files(folder: str, kind: str, shards: range) -> None:
+    """Put the arrays of consecutive shards behind one another, a file for each column, and where each shard's begin; one shard is held at a time."""
+    name, outs, starts, kinds = f"{folder}/{kind}-{shards[0] // SEGMENT:07d}", {}, [], {}
+    files, at = open_filesystem(name)
+    mine = uuid.uuid4().hex  # another attempt of the task writes files of its own
+    rows = places = 0
+    try:
+        for s in shards:
+            try:
+                one = from_bytes(read_file(f"{folder}/parts-{kind}/{s:07d}"))
+            except FileNotFoundError:  # a shard that got nothing
+                starts.append((-1, 0))
+                continue
+            starts.append((places, max(0, len(one["directory"]).bit_length() - 1) if len(one["directory"]) > 2 else 0))
+            for column, x in one.items():
+                if column == "directory" or column.endswith("big"):
+                    x = x + np.uint32(rows)
+                if column not in outs:
+                    outs[column], kinds[column] = files.open_output_stream(f"{at}.{column}.{mine}"), x.dtype.str
+                outs[column].write(x.tobytes())
+            rows, places = rows + len(one["rest"]), places + len(one["directory"])
+    finally:
+        for out in outs.values():
+            out.close()
+    for column in outs:
+        files.move(f"{at}.{column}.{mine}", f"{at}.{column}")
+    write_file(name, json.dumps({"starts": starts, "columns": kinds}).encode())
+
+
+class Segment:
+    """The sorted hash arrays of up to ``SEGMENT`` shards, mapped, looked up in one go."""
+
+    def __init__(self, name: str):
+        head = json.loads(read_file(name))
+        self.first, self.bits = (np.array(x, np.int64) for x in zip(*head["starts"], strict=True))
+        self.columns = {}
+        for column, kind in head["columns"].items():
+            path = local_file(f"{name}.{column}")
+            self.columns[column] = np.memmap(path, kind, "r") if os.path.getsize(path) else np.zeros(0, kind)
+
+    def look_up(self, shard: np.ndarray, key: np.ndarray, names: list[str]) -> np.ndarray:
+        """``names`` of each key of its shard, zeros where it is absent."""
+        c = self.columns
+        out = np.zeros((len(names), len(key)), np.int64)
+        live = np.flatnonzero(self.first[shard] >= 0)
+        if not len(live):
+            return out
+        shard, key = shard[live], key[live]
+        bits = self.bits[shard].astype(np.uint64)
+        bucket = np.where(bits > 0, key >> (np.uint64(64) - np.maximum(bits, 1)), 0).astype(np.int64) + self.first[shard]
+        rest = ((key << bits) >> np.uint64(32)).astype(np.uint32)
+        at, stop = c["directory"][bucket].astype(np.int64), c["directory"][bucket + 1].astype(np.int64)
+        some = at < stop
+        live, at, stop, rest = live[some], at[some], stop[some], rest[some]
+        while len(live):
+            have = c["rest"][at]
+            hit = have == rest
+            for i, name in enumerate(names):
+                n = c[name][at[hit]].astype(np.int64)
+                big = np.flatnonzero(n == 255)
+                if len(big):
+                    of = "big" if name == "n" else f"{name}_big"
+                    n[big] = c[f"{of}_n"][np.searchsorted(c[of], at[hit][big])]
+                out[i, live[hit]] = n
+            go = (have < rest) & (at + 1 < stop)
+            live, at, stop, rest = live[go], at[go] + 1, stop[go], rest[go]
+        return out
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -270,7 +317,7 @@ def fit(train: DataFrame, shard_bytes: int = 8 << 20, sample_bytes: int = 16 <<
             n = np.bincount(at, n).astype(np.int64)
             word, before, second, middle = word[first], before[first], second[first], middle[first]
             whole = second != NONE
-            write_file(f"{folder}/triples-{int(keys[0]):07d}", to_bytes(pair_array(key[whole], n[whole])))
+            write_file(f"{folder}/parts-triples/{int(keys[0]):07d}", to_bytes(pair_array(key[whole], n[whole])))
             totals |= {f"t{i}": (n[whole] == i).sum() for i in (1, 2, 3, 4)}
             spread = is_in(middle, shared.value)
             for hot in (False, True):
@@ -281,13 +328,13 @@ def fit(train: DataFrame, shard_bytes: int = 8 << 20, sample_bytes: int = 16 <<
                 if hot:
                     contexts = {"context2": context, **{c: v.astype(np.uint32) for c, v in columns.items()}}
                 else:
-                    write_file(f"{folder}/contexts-{int(keys[0]):07d}", to_bytes(pair_array(context, **{c: v.astype(np.int64) for c, v in columns.items()})))
+                    write_file(f"{folder}/parts-contexts/{int(keys[0]):07d}", to_bytes(pair_array(context, **{c: v.astype(np.int64) for c, v in columns.items()})))
             del second, at, by, own, middle
         key, first, at = np.unique(pair_key(word, before), return_index=True, return_inverse=True)
         occurs = np.bincount(at, n).astype(np.int64)
         n = np.where(before[first] == (START & LOW48), occurs, np.bincount(at)) if order == 3 else occurs
         word, before = word[first], before[first]
-        write_file(f"{folder}/pairs-{int(keys[0]):07d}", to_bytes(pair_array(key, n)))
+        write_file(f"{folder}/parts-pairs/{int(keys[0]):07d}", to_bytes(pair_array(key, n)))
         each, at = np.unique(word, return_inverse=True)
         rows = []
         totals |= {"n": occurs.sum(), "pairs": len(n), **{f"p{i}": (n == i).sum() for i in (1, 2, 3, 4)}}
@@ -319,7 +366,7 @@ def fit(train: DataFrame, shard_bytes: int = 8 << 20, sample_bytes: int = 16 <<
         if keys[0] < -1:
             key, at = np.unique(np.concatenate([p["context2"] for p in parts]), return_inverse=True)
             columns = {c: np.bincount(at, np.concatenate([p[c] for p in parts])).astype(np.int64) for c in ("n", "f1", "f2", "f3")}
-            write_file(f"{folder}/spread-{-2 - int(keys[0]):07d}", to_bytes(pair_array(key, **columns)))
+            write_file(f"{folder}/parts-spread/{-2 - int(keys[0]):07d}", to_bytes(pair_array(key, **columns)))
             return pd.DataFrame({"totals": ["{}"]})
         own, other = [p for p in parts if "word" in p], [p for p in parts if "context" in p]
         word, at = np.unique(np.concatenate([np.zeros(0, np.uint64), *(p["word"] for p in own)]), return_inverse=True)
@@ -341,6 +388,20 @@ def fit(train: DataFrame, shard_bytes: int = 8 << 20, sample_bytes: int = 16 <<
     with shuffles_dropped(spark):
         top = made.select([F.get_json_object("totals", f"$.{c}").cast("long").alias(c) for c in names]).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names]).first().asDict()
     discarded(*parts)
+    segments = -(-shards // SEGMENT)
+
+    def joining(kind: str):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in batch.column(0).to_pylist():
+                    joined_files(folder, kind, range(i * SEGMENT, min(shards, (i + 1) * SEGMENT)))
+                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64())], names=["id"])
+
+        return trimmed(run)
+
+    for kind in ("pairs", *(("triples", "contexts", "spread") if order == 3 else ())):
+        spark.range(0, segments, 1, segments).mapInArrow(joining(kind), "id long").count()
+        delete_folder(spark, f"{folder}/parts-{kind}")
     return Model(
         folder, shards, word_shards, common, top["n"], top["words"], top["pairs"], documents,
         discounts({i: top[f"p{i}"] for i in (1, 2, 3, 4)}), discounts({i: top[f"k{i}"] for i in (1, 2, 3, 4)}),
@@ -369,10 +430,14 @@ class Reader:
         except FileNotFoundError:  # a shard that got nothing
             return {}
 
-    def store(self, kind: str, s: int) -> dict[str, np.ndarray]:
-        if (kind, s) not in self.stores:
-            self.stores[kind, s] = self._map(f"{kind}-{s:07d}")
-        return self.stores[kind, s]
+    def look_up(self, kind: str, shard: np.ndarray, key: np.ndarray, names: list[str]) -> np.ndarray:
+        """``names`` of each key, whose shard is given; a call for each segment of shards."""
+        out = np.zeros((len(names), len(key)), np.int64)
+        for i, at in _by_shard(shard // SEGMENT):
+            if (kind, i) not in self.stores:
+                self.stores[kind, i] = Segment(f"{self.model.folder}/{kind}-{i:07d}")
+            out[:, at] = self.stores[kind, i].look_up(shard[at] % SEGMENT, key[at], names)
+        return out
 
     def word_store(self, s: int) -> tuple[HashIndex, dict[str, np.ndarray]] | None:
         if s not in self.words:
@@ -411,9 +476,7 @@ class Reader:
         key = pair_key(token, low)
         n = np.zeros(len(token), np.int64)
         known = np.flatnonzero((w["n"] > 0) & (v["n"] > 0))
-        for s, at in _by_shard(shard_of(before[known], key[known], m.shards, m.common)):
-            if store := self.store("pairs", s):
-                n[known[at]] = pair_counts(store, key[known[at]])
+        n[known] = self.look_up("pairs", shard_of(before[known], key[known], m.shards, m.common), key[known], ["n"])[0]
         d = np.array([0.0, *m.pair_discounts])
         total = np.maximum(v["n"], 1)
         left = sum(m.pair_discounts[i] * v[f"f{i + 1}"] for i in range(3)) / total
@@ -432,17 +495,13 @@ class Reader:
         found = np.zeros((4, len(context)), np.int64)
         spread = is_in(middle, m.common)
         for kind, own, shard in (("contexts", np.flatnonzero(~spread), shard_of(middle, context, m.shards, m.common)), ("spread", np.flatnonzero(spread), context_shard(context, m.shards))):
-            for s, of in _by_shard(shard[own]):
-                if store := self.store(kind, s):
-                    found[:, own[of]] = pair_columns(store, context[own[of]], ["n", "f1", "f2", "f3"])
+            found[:, own] = self.look_up(kind, shard[own], context[own], ["n", "f1", "f2", "f3"])
         after = np.zeros((4, len(token)), np.int64)
         after[:, whole] = found[:, at]
         pairs = pairs[after[0, pairs] > 0]
         n = np.zeros(len(token), np.int64)
         key = triple_key(token[pairs], low[pairs], second[pairs])
-        for s, of in _by_shard(shard_of(before[pairs], pair_key(token[pairs], low[pairs]), m.shards, m.common)):
-            if store := self.store("triples", s):
-                n[pairs[of]] = pair_counts(store, key[of])
+        n[pairs] = self.look_up("triples", shard_of(before[pairs], pair_key(token[pairs], low[pairs]), m.shards, m.common), key, ["n"])[0]
         d, total = np.array([0.0, *m.triple_discounts]), np.maximum(after[0], 1)
         left = sum(m.triple_discounts[i] * after[i + 1] for i in range(3)) / total
         return np.where(after[0] > 0, np.maximum(n - d[np.minimum(n, 3)], 0) / total + left * p, p)

@@ -80,6 +80,12 @@ def write_file(uri: str, data: bytes) -> None:
     filesystem.move(part, path)
 
 
+def read_file(uri: str) -> bytes:
+    filesystem, path = open_filesystem(uri)
+    with filesystem.open_input_stream(path) as f:
+        return f.read()
+
+
 def local_file(uri: str) -> str:
     """A path that can be memory-mapped: the file itself on a mounted store, else a copy in this worker's folder."""
     filesystem, path = open_filesystem(uri)
