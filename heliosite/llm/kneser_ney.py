@@ -6,7 +6,7 @@ no word makes a shard large. A shard sums its pairs, writes them as a sorted has
 on, for each word, its count and its number of distinct predecessors, and for each predecessor how many words follow it
 once, twice or more. Shards of words sum these and write the vocabulary in the same form. Only totals reach the driver.
 
-The arrays of ``SEGMENT`` shards are then put behind one another, so that a batch looks its keys up in a few large files, however many shards there are.
+Tasks take a segment of shards in turn, one in memory at a time, and put their arrays behind one another, so that a batch looks its keys up in a few large files, however many shards there are.
 
 Scoring. Workers map the files and look whole batches up: P(w | v) = max(c(vw) - D, 0) / c(v) + g(v) P(w), where P(w)
 comes from distinct predecessors, discounted likewise and interpolated with 1 / (V + 1).
@@ -30,6 +30,7 @@ import json
 import os
 import uuid
 from collections.abc import Iterator
+from contextlib import suppress
 from dataclasses import dataclass
 from functools import reduce
 
@@ -47,7 +48,7 @@ START, END = np.uint64(0x5AFE57A27), np.uint64(0xE0D0FD0C)
 NONE = np.uint64(0)
 LOW48 = np.uint64((1 << 48) - 1)
 FLUSH = 1 << 22
-SEGMENT = 256
+SEGMENT, LEAST_SEGMENTS = 256, 12
 
 
 def to_bytes(arrays: dict[str, np.ndarray]) -> bytes:
@@ -104,41 +105,44 @@ def pair_array(key: np.ndarray, n: np.ndarray, **more: np.ndarray) -> dict[str,
     }
 
 
-def joined_files(folder: str, kind: str, shards: range) -> None:
-    """Put the arrays of consecutive shards behind one another, a file for each column, and where each shard's begin; one shard is held at a time."""
-    name, outs, starts, kinds = f"{folder}/{kind}-{shards[0] // SEGMENT:07d}", {}, [], {}
-    files, at = open_filesystem(name)
-    mine = uuid.uuid4().hex  # another attempt of the task writes files of its own
-    rows = places = 0
-    try:
-        for s in shards:
-            try:
-                one = from_bytes(read_file(f"{folder}/parts-{kind}/{s:07d}"))
-            except FileNotFoundError:  # a shard that got nothing
-                starts.append((-1, 0))
-                continue
-            starts.append((places, max(0, len(one["directory"]).bit_length() - 1) if len(one["directory"]) > 2 else 0))
-            for column, x in one.items():
-                if column == "directory" or column.endswith("big"):
-                    x = x + np.uint32(rows)
-                if column not in outs:
-                    outs[column], kinds[column] = files.open_output_stream(f"{at}.{column}.{mine}"), x.dtype.str
-                outs[column].write(x.tobytes())
-            rows, places = rows + len(one["rest"]), places + len(one["directory"])
-    finally:
-        for out in outs.values():
+class SegmentWriter:
+    """Puts the arrays of consecutive shards behind one another, a file for each column, and says where each shard's begin. One shard is held at a time."""
+
+    def __init__(self, name: str):
+        self.name, self.outs, self.kinds, self.starts, self.rows, self.places = name, {}, {}, [], 0, 0
+        self.files, self.at = open_filesystem(name)
+        self.mine = uuid.uuid4().hex  # another attempt of the task writes files of its own
+        self.files.create_dir(os.path.dirname(self.at), recursive=True)
+
+    def add(self, place: int, arrays: dict[str, np.ndarray]) -> None:
+        """``place``: the shard's number in the segment, rising; those left out have nothing."""
+        self.starts += [(-1, 0)] * (place - len(self.starts))
+        self.starts.append((self.places, len(arrays["directory"]).bit_length() - 1 if len(arrays["directory"]) > 2 else 0))
+        for column, x in arrays.items():
+            if column == "directory" or column.endswith("big"):
+                x = x + np.uint32(self.rows)
+            if column not in self.outs:
+                self.outs[column], self.kinds[column] = self.files.open_output_stream(f"{self.at}.{column}.{self.mine}"), x.dtype.str
+            self.outs[column].write(x.tobytes())
+        self.rows, self.places = self.rows + len(arrays["rest"]), self.places + len(arrays["directory"])
+
+    def close(self) -> None:
+        for column, out in self.outs.items():
             out.close()
-    for column in outs:
-        files.move(f"{at}.{column}.{mine}", f"{at}.{column}")
-    write_file(name, json.dumps({"starts": starts, "columns": kinds}).encode())
+            self.files.move(f"{self.at}.{column}.{self.mine}", f"{self.at}.{column}")
+        write_file(self.name, json.dumps({"starts": self.starts, "columns": self.kinds}).encode())
 
 
 class Segment:
     """The sorted hash arrays of up to ``SEGMENT`` shards, mapped, looked up in one go."""
 
-    def __init__(self, name: str):
-        head = json.loads(read_file(name))
-        self.first, self.bits = (np.array(x, np.int64) for x in zip(*head["starts"], strict=True))
+    def __init__(self, name: str, shards: int):
+        try:
+            head = json.loads(read_file(name))
+        except FileNotFoundError:  # nothing fell to its shards
+            head = {"starts": [], "columns": {}}
+        starts = [*head["starts"], *[(-1, 0)] * (shards - len(head["starts"]))]
+        self.first, self.bits = (np.array(x, np.int64) for x in zip(*starts, strict=True))
         self.columns = {}
         for column, kind in head["columns"].items():
             path = local_file(f"{name}.{column}")
@@ -227,6 +231,7 @@ class Model:
     word_discounts: list[float]
     word_classes: list[int]
     start_classes: list[int]
+    width: int
     order: int = 2
     triple_discounts: list[float] | None = None
 
@@ -244,6 +249,8 @@ def fit(train: DataFrame, shard_bytes: int = 8 << 20, sample_bytes: int = 16 <<
     size, documents = (x or 0 for x in texts.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first())
     shards = max(8, -(-size // shard_bytes))
     word_shards = max(8, -(-size // (4 * shard_bytes)))
+    width = max(1, min(SEGMENT, shards // LEAST_SEGMENTS))  # shards of a segment
+    segments = -(-shards // width)
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -290,7 +297,7 @@ def fit(train: DataFrame, shard_bytes: int = 8 << 20, sample_bytes: int = 16 <<
                     word, before, at = tokens(data[low:high], offsets[first : last + 1] - low)
                     key = pair_key(word, before & LOW48)
                     shard = shard_of(before, key, shards, shared.value)
-                    own = np.flatnonzero(shard % rounds == turn)
+                    own = np.flatnonzero(shard // width % rounds == turn)
                     if len(own):
                         held.append(tuple(x[own] for x in (shard, key, word, before, second_before(before, at))[: order + 2]))
                         count += len(own)
@@ -302,9 +309,10 @@ def fit(train: DataFrame, shard_bytes: int = 8 << 20, sample_bytes: int = 16 <<
 
         return trimmed(run)
 
-    def summed(keys: tuple, group: pd.DataFrame) -> pd.DataFrame:
+    def one_shard(number: int, blocks: list[bytes], store) -> list[tuple[int, bytes]]:
+        """Sum a shard's blocks, ``store`` its arrays and pass on what others sum up."""
         unzip, shrink = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
-        parts = [from_bytes(unzip.decompress(b)) for b in group["block"]]
+        parts = [from_bytes(unzip.decompress(b)) for b in blocks]
         word, n = (np.concatenate(x) for x in ([p["each"][p["word"]] for p in parts], [p["n"] for p in parts]))
         middle = np.concatenate([np.repeat(p["each"][p["before"]], p["runs"]) for p in parts])
         before = middle & LOW48
@@ -317,7 +325,7 @@ def fit(train: DataFrame, shard_bytes: int = 8 << 20, sample_bytes: int = 16 <<
             n = np.bincount(at, n).astype(np.int64)
             word, before, second, middle = word[first], before[first], second[first], middle[first]
             whole = second != NONE
-            write_file(f"{folder}/parts-triples/{int(keys[0]):07d}", to_bytes(pair_array(key[whole], n[whole])))
+            store("triples", pair_array(key[whole], n[whole]))
             totals |= {f"t{i}": (n[whole] == i).sum() for i in (1, 2, 3, 4)}
             spread = is_in(middle, shared.value)
             for hot in (False, True):
@@ -328,13 +336,13 @@ def fit(train: DataFrame, shard_bytes: int = 8 << 20, sample_bytes: int = 16 <<
                 if hot:
                     contexts = {"context2": context, **{c: v.astype(np.uint32) for c, v in columns.items()}}
                 else:
-                    write_file(f"{folder}/parts-contexts/{int(keys[0]):07d}", to_bytes(pair_array(context, **{c: v.astype(np.int64) for c, v in columns.items()})))
+                    store("contexts", pair_array(context, **{c: v.astype(np.int64) for c, v in columns.items()}))
             del second, at, by, own, middle
         key, first, at = np.unique(pair_key(word, before), return_index=True, return_inverse=True)
         occurs = np.bincount(at, n).astype(np.int64)
         n = np.where(before[first] == (START & LOW48), occurs, np.bincount(at)) if order == 3 else occurs
         word, before = word[first], before[first]
-        write_file(f"{folder}/parts-pairs/{int(keys[0]):07d}", to_bytes(pair_array(key, n)))
+        store("pairs", pair_array(key, n))
         each, at = np.unique(word, return_inverse=True)
         rows = []
         totals |= {"n": occurs.sum(), "pairs": len(n), **{f"p{i}": (n == i).sum() for i in (1, 2, 3, 4)}}
@@ -351,10 +359,44 @@ def fit(train: DataFrame, shard_bytes: int = 8 << 20, sample_bytes: int = 16 <<
                 pick = in_turn[edges[i] : edges[i + 1]]
                 small = {k: low48(v[pick]) if k == "context" else v[pick] for k, v in names.items()}
                 rows.append((s, shrink.compress(to_bytes(small))))
-        return pd.DataFrame(rows, columns=["shard", "block"])
+        return rows
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Shard after shard of sorted blocks; the arrays of a segment's shards go behind one another."""
+        writers: dict[str, tuple[int, SegmentWriter]] = {}
+        number, blocks = -1, []
+
+        def store(kind: str, arrays: dict[str, np.ndarray]) -> None:
+            segment = number // width
+            if kind not in writers or writers[kind][0] != segment:
+                if kind in writers:
+                    writers[kind][1].close()
+                writers[kind] = (segment, SegmentWriter(f"{folder}/{kind}-{segment:07d}"))
+            writers[kind][1].add(number % width, arrays)
+
+        def made() -> pa.RecordBatch:
+            rows = one_shard(number, blocks, store)
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["shard", "block"])
+
+        for batch in batches:
+            for shard, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if shard != number:
+                    if blocks:
+                        yield made()
+                    number, blocks = shard, []
+                blocks.append(block.as_buffer().to_pybytes())
+        if blocks:
+            yield made()
+        for _, writer in writers.values():
+            writer.close()
+
 
     # written, so that the blocks' shuffle files go before the next shuffle
-    parts = [persisted(texts.mapInArrow(blocks_of(turn), "shard int, block binary").repartition(shards, "shard").groupBy("shard").applyInPandas(summed, "shard int, block binary")) for turn in range(rounds)]
+    def counted(turn: int) -> DataFrame:
+        dealt = texts.mapInArrow(blocks_of(turn), "shard int, block binary").repartition(segments, F.floor(F.col("shard") / width))
+        return persisted(dealt.sortWithinPartitions("shard").mapInArrow(trimmed(summed), "shard int, block binary"))
+
+    parts = [counted(turn) for turn in range(rounds)]
     passed = reduce(DataFrame.unionByName, parts)
 
     def words(keys: tuple, group: pd.DataFrame) -> pd.DataFrame:
@@ -388,24 +430,25 @@ def fit(train: DataFrame, shard_bytes: int = 8 << 20, sample_bytes: int = 16 <<
     with shuffles_dropped(spark):
         top = made.select([F.get_json_object("totals", f"$.{c}").cast("long").alias(c) for c in names]).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names]).first().asDict()
     discarded(*parts)
-    segments = -(-shards // SEGMENT)
+    if order == 3:
 
-    def joining(kind: str):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def joining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """The spread contexts, summed shard by shard, as segments."""
             for batch in batches:
                 for i in batch.column(0).to_pylist():
-                    joined_files(folder, kind, range(i * SEGMENT, min(shards, (i + 1) * SEGMENT)))
+                    writer = SegmentWriter(f"{folder}/spread-{i:07d}")
+                    for shard in range(i * width, min(shards, (i + 1) * width)):
+                        with suppress(FileNotFoundError):  # a shard that got nothing
+                            writer.add(shard % width, from_bytes(read_file(f"{folder}/parts-spread/{shard:07d}")))
+                    writer.close()
                     yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64())], names=["id"])
 
-        return trimmed(run)
-
-    for kind in ("pairs", *(("triples", "contexts", "spread") if order == 3 else ())):
-        spark.range(0, segments, 1, segments).mapInArrow(joining(kind), "id long").count()
-        delete_folder(spark, f"{folder}/parts-{kind}")
+        spark.range(0, segments, 1, segments).mapInArrow(trimmed(joining), "id long").count()
+        delete_folder(spark, f"{folder}/parts-spread")
     return Model(
         folder, shards, word_shards, common, top["n"], top["words"], top["pairs"], documents,
         discounts({i: top[f"p{i}"] for i in (1, 2, 3, 4)}), discounts({i: top[f"k{i}"] for i in (1, 2, 3, 4)}),
-        [top["k1"], top["k2"], top["k3plus"]], [top["s1"], top["s2"], top["s3"]], order, discounts({i: top[f"t{i}"] for i in (1, 2, 3, 4)}),
+        [top["k1"], top["k2"], top["k3plus"]], [top["s1"], top["s2"], top["s3"]], width, order, discounts({i: top[f"t{i}"] for i in (1, 2, 3, 4)}),
     )
 
 
@@ -433,10 +476,11 @@ class Reader:
     def look_up(self, kind: str, shard: np.ndarray, key: np.ndarray, names: list[str]) -> np.ndarray:
         """``names`` of each key, whose shard is given; a call for each segment of shards."""
         out = np.zeros((len(names), len(key)), np.int64)
-        for i, at in _by_shard(shard // SEGMENT):
+        width = self.model.width
+        for i, at in _by_shard(shard // width):
             if (kind, i) not in self.stores:
-                self.stores[kind, i] = Segment(f"{self.model.folder}/{kind}-{i:07d}")
-            out[:, at] = self.stores[kind, i].look_up(shard[at] % SEGMENT, key[at], names)
+                self.stores[kind, i] = Segment(f"{self.model.folder}/{kind}-{i:07d}", width)
+            out[:, at] = self.stores[kind, i].look_up(shard[at] % width, key[at], names)
         return out
 
     def word_store(self, s: int) -> tuple[HashIndex, dict[str, np.ndarray]] | None:
