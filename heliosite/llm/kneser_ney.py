@@ -42,13 +42,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heliosite.llm.storage import delete_folder, discarded, local_file, open_filesystem, persisted, read_file, shared_dir, shuffles_dropped, write_file
-from heliosite.llm.texts import HashIndex, buffers, mix, slices, trimmed, word_hashes
+from heliosite.llm.texts import HashIndex, buffers, give_back, mix, slices, trimmed, word_hashes
 
 START, END = np.uint64(0x5AFE57A27), np.uint64(0xE0D0FD0C)
 NONE = np.uint64(0)
 LOW48 = np.uint64((1 << 48) - 1)
 FLUSH = 1 << 22
 SEGMENT, LEAST_SEGMENTS = 256, 12
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def to_bytes(arrays: dict[str, np.ndarray]) -> bytes:
@@ -376,6 +377,7 @@ def fit(train: DataFrame, shard_bytes: int = 8 << 20, sample_bytes: int = 16 <<
 
         def made() -> pa.RecordBatch:
             rows = one_shard(number, blocks, store)
+            give_back()
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["shard", "block"])
 
         for batch in batches:
@@ -394,7 +396,12 @@ def fit(train: DataFrame, shard_bytes: int = 8 << 20, sample_bytes: int = 16 <<
     # written, so that the blocks' shuffle files go before the next shuffle
     def counted(turn: int) -> DataFrame:
         dealt = texts.mapInArrow(blocks_of(turn), "shard int, block binary").repartition(segments, F.floor(F.col("shard") / width))
-        return persisted(dealt.sortWithinPartitions("shard").mapInArrow(trimmed(summed), "shard int, block binary"))
+        held = spark.conf.get(BATCH_BYTES)
+        spark.conf.set(BATCH_BYTES, str(8 << 20))  # blocks come a few at a time, not all of a segment's
+        try:
+            return persisted(dealt.sortWithinPartitions("shard").mapInArrow(trimmed(summed), "shard int, block binary"))
+        finally:
+            spark.conf.set(BATCH_BYTES, held)
 
     parts = [counted(turn) for turn in range(rounds)]
     passed = reduce(DataFrame.unionByName, parts)

@@ -66,6 +66,14 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
+def give_back() -> None:
+    """Return freed memory to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def trimmed(run: Callable) -> Callable:
     """``run`` over record batches, after which the worker gives its freed memory back, as it lives on beside those of other stages."""
 
@@ -73,10 +81,7 @@ def trimmed(run: Callable) -> Callable:
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
-            if give_back is not None:
-                give_back(0)
+            give_back()
 
     return held
 
