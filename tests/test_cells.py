@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from heliosite.functions import text
 from heliosite.operators import cells
 from heliosite.operators.relational import similar_names
 
@@ -71,3 +72,24 @@ def test_names_above_a_score(spark, least):
 def test_a_score_that_any_pair_may_reach_is_refused(spark):
     with pytest.raises(ValueError, match="all pairs"):
         cells.similar_above(spark.createDataFrame([(1, "g", "n")], "k int, g string, name string"), "k", "g", "name", 0.2)
+
+
+def copied(spark):
+    """600 rows of a group under eight names, half of them under one."""
+    names = ["north plaza", "north plazas", "riverside", "river", "old orchard", "old orchards", "city"]
+    return spark.createDataFrame([(i, "g", "north plaza mall" if i % 2 else names[i // 2 % 7]) for i in range(600)], "k int, g string, name string")
+
+
+def scored(df):
+    a, b = df.toDF("a", "g", "n1"), df.toDF("b", "g2", "n2")
+    return {(p.a, p.b): p.score for p in a.join(b, F.expr("g = g2 and a < b")).select("a", "b", text.similarity(F.col("n1"), F.col("n2")).alias("score")).collect()}
+
+
+def test_copies_of_names_are_scored_once(spark):
+    df = copied(spark)
+    assert {(p.a, p.b): p.score for p in similar_names(df, "k", "g", "name").collect()} == scored(df)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert compared(similar_names(df, "k", "g", "name")) < 5_000 < 600 * 599 / 2
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
