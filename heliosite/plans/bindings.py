@@ -241,7 +241,7 @@ def similar_name_pairs(spark, sf_dir):
     """The pairs of a brand that score 0.8, through shared bigrams."""
     name = F.when(F.col("p_partkey") % 3 == 0, F.concat("p_name", F.lit(" Mall"))).otherwise(F.col("p_name"))
     p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.replace(name, F.lit("#"), F.lit("")).alias("name"))
-    return cells.similar_above(p, "p_partkey", "p_brand", "name", 0.8).select("a", "b", F.round("score", 6).alias("score"))
+    return cells.similar_above(p, "p_partkey", "p_brand", "name", 0.8, decimals=6)
 
 
 @bound(f"select id, round(156543.03392804097::double * cos(radians(lat)) / 262144, 9) as mpp, round((lon + 180) / 360 * 256 * 262144, 3) as px, round((0.5::double - ln((1 + sin(radians(lat))) / (1 - sin(radians(lat)))) / (4 * pi())) * 256 * 262144, 3) as py, round(lon, 6) as lon, round(lat, 6) as lat from {SITE}")

@@ -93,3 +93,13 @@ def test_copies_of_names_are_scored_once(spark):
         assert compared(similar_names(df, "k", "g", "name")) < 5_000 < 600 * 599 / 2
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_copies_of_names_meet_once(spark):
+    df = copied(spark)
+    assert {(p.a, p.b): p.score for p in cells.similar_above(df, "k", "g", "name", 0.8).collect()} == {p: s for p, s in scored(df).items() if s >= 0.8}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert compared(cells.similar_above(df, "k", "g", "name", 0.8)) < 10_000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
