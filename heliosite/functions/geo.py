@@ -25,6 +25,11 @@ def metres_per_pixel(lat: Column, zoom: int, zoom0: float = MPP_ZOOM0) -> Column
 
 
 def to_pixel(lon: Column, lat: Column, zoom: int) -> tuple[Column, Column]:
+def unit_vector(lon: Column, lat: Column) -> tuple[Column, Column, Column]:
+    """The point on a sphere of radius 1."""
+    return F.cos(F.radians(lat)) * F.cos(F.radians(lon)), F.cos(F.radians(lat)) * F.sin(F.radians(lon)), F.sin(F.radians(lat))
+
+
     size = float(TILE * 2**zoom)
     s = F.sin(F.radians(F.greatest(F.least(lat, F.lit(MAX_LATITUDE)), F.lit(-MAX_LATITUDE))))
     return (lon + 180.0) / 360.0 * size, (0.5 - F.ln((1 + s) / (1 - s)) / (4 * math.pi)) * size

@@ -88,8 +88,7 @@ def provider_counts(spark, sf_dir):
 
 @bound(f"select a.id, count(*) as agreeing from {SITE} a join {SITE} b on a.grp = b.grp and a.provider <> b.provider where 2 * 6371008.8 * asin(sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))) <= 20000 group by a.id")
 def provider_agreement(spark, sf_dir):
-    near = cells.near_pairs(site(spark, sf_dir), "grp", "id", 20_000.0, allowed=F.col("provider") != F.col("other_provider"))
-    return near.groupBy("id").agg(F.count("*").alias("agreeing"))
+    return cells.near_counts(site(spark, sf_dir), "grp", "id", 20_000.0, "provider", "agreeing")
 
 
 @bound("select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by value desc, event_id) as n from events) where n = 1")

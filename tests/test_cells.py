@@ -103,3 +103,16 @@ def test_copies_of_names_meet_once(spark):
         assert compared(cells.similar_above(df, "k", "g", "name", 0.8)) < 10_000
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_rows_of_one_place_are_compared_once(spark):
+    places = [(i % 3, 100 + i * 0.05, 10.0) for i in range(12)]
+    rows = [(i, "g", *places[i % 12]) for i in range(480)] + [(900, "g", None, 100.0, 10.0), (901, "g", 1, None, 10.0), (902, None, 1, 100.0, 10.0), (903, "h", 1, 100.0, 10.0)]
+    df = spark.createDataFrame(rows, "id int, g string, kind int, lon double, lat double")
+    want = {a[0]: n for a in rows[:480] if (n := sum(a[2] != b[2] and metres(a[3:], b[3:]) <= 20_000 for b in rows[:480]))}
+    assert {r.id: r.n for r in cells.near_counts(df, "g", "id", 20_000.0, "kind").collect()} == want
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert compared(cells.near_counts(df, "g", "id", 20_000.0, "kind")) < 1_000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
