@@ -15,6 +15,11 @@ METRES_A_DEGREE = 111320.0
 TILE = 256
 
 
+def once(value: Column, made) -> Column:
+    """``made`` of a value that is computed once, however often it is named there."""
+    return F.get(F.transform(F.array(value), made), F.lit(0))
+
+
 def haversine_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     half = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
     return F.atan2(F.sqrt(half), F.sqrt(1 - half)) * (2 * EARTH_M)
@@ -148,11 +153,14 @@ def centroid(ring: Column) -> tuple[Column, Column]:
     n = F.size(ring)
     nxt = F.concat(F.slice(ring, 2, F.greatest(n - 1, F.lit(0))), F.slice(ring, 1, 1))
     edges = F.transform(F.arrays_zip(ring.alias("a"), nxt.alias("b")), lambda e: F.struct(e["a"].alias("a"), e["b"].alias("b"), (e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"]).alias("c")))
-    add = lambda f: F.aggregate(edges, F.lit(0.0), lambda s, e: s + f(e))
     mean = lambda k: F.aggregate(ring, F.lit(0.0), lambda s, p: s + p[k]) / n
-    twice = add(lambda e: e["c"])
-    flat = (n < 3) | (F.abs(twice / 2) < 1e-6)
-    return tuple(F.when(flat, mean(k)).otherwise(add(lambda e, k=k: (e["a"][k] + e["b"][k]) * e["c"]) / (3 * twice)) for k in ("x", "y"))
+
+    def middle(k: str) -> Column:
+        add = lambda es, f: F.aggregate(es, F.lit(0.0), lambda s, e: s + f(e))
+        weighed = lambda es, twice: F.when((n < 3) | (F.abs(twice / 2) < 1e-6), mean(k)).otherwise(add(es, lambda e: (e["a"][k] + e["b"][k]) * e["c"]) / (3 * twice))
+        return once(edges, lambda es: once(add(es, lambda e: e["c"]), lambda twice: weighed(es, twice)))
+
+    return middle("x"), middle("y")
 
 
 def tile_cover(lon: Column, lat: Column, size_px: int, zoom: int) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from heliosite.functions.geo import once
+
 # Punctuation dropped from names, and generic tokens removed from them in this order.
 NAME_PUNCTUATION = r"(?U)[\s　·•,，.。:：;；!！?？'\"“”‘’()\[\]{}（）【】<>《》/\-|_+&＆]"
 GENERIC_TOKENS = ("上海市", "上海", "购物中心", "购物公园", "商场", "商业广场", "商业中心", "商业", "综合体", "广场", "中心", "项目", "一期", "二期", "三期", "mall", "max", "mega")
@@ -267,15 +269,15 @@ def payload_field(provider: Column, raw: Column, field: str, fields: dict = PAYL
 def polygon_json(ring: Column) -> Column:
     """GeoJSON of an open ring of struct(x, y): closed, eight decimals; null for fewer than three vertices."""
     points = F.transform(ring, lambda p: F.array(F.round(p["x"], 8), F.round(p["y"], 8)))
-    closed = F.concat(points, F.slice(points, 1, 1))
+    closed = once(points, lambda ps: F.concat(ps, F.slice(ps, 1, 1)))
     return F.when(F.size(ring) >= 3, F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(closed).alias("coordinates"))))
 
 
 def polygon_ring(json: Column) -> Column:
     """The open ring of struct(x, y) of a GeoJSON polygon; a closing vertex goes."""
     outer = F.get(F.from_json(json, "type string, coordinates array<array<array<double>>>")["coordinates"], F.lit(0))
-    open_ = F.when((F.size(outer) > 1) & (F.element_at(outer, 1) == F.element_at(outer, -1)), F.slice(outer, 1, F.size(outer) - 1)).otherwise(outer)
-    return F.transform(open_, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
+    open_ = lambda o: F.when((F.size(o) > 1) & (F.element_at(o, 1) == F.element_at(o, -1)), F.slice(o, 1, F.size(o) - 1)).otherwise(o)
+    return F.transform(once(outer, open_), lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
 
 
 def looked_up(key: Column, values: dict[str, str], default: str = "") -> Column:
