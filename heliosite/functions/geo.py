@@ -25,16 +25,16 @@ def haversine_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Colum
     return F.atan2(F.sqrt(half), F.sqrt(1 - half)) * (2 * EARTH_M)
 
 
-def metres_per_pixel(lat: Column, zoom: int, zoom0: float = MPP_ZOOM0) -> Column:
-    return F.cos(F.radians(lat)) * zoom0 / float(2**zoom)
-
-
-def to_pixel(lon: Column, lat: Column, zoom: int) -> tuple[Column, Column]:
 def unit_vector(lon: Column, lat: Column) -> tuple[Column, Column, Column]:
     """The point on a sphere of radius 1."""
     return F.cos(F.radians(lat)) * F.cos(F.radians(lon)), F.cos(F.radians(lat)) * F.sin(F.radians(lon)), F.sin(F.radians(lat))
 
 
+def metres_per_pixel(lat: Column, zoom: int, zoom0: float = MPP_ZOOM0) -> Column:
+    return F.cos(F.radians(lat)) * zoom0 / float(2**zoom)
+
+
+def to_pixel(lon: Column, lat: Column, zoom: int) -> tuple[Column, Column]:
     size = float(TILE * 2**zoom)
     s = F.sin(F.radians(F.greatest(F.least(lat, F.lit(MAX_LATITUDE)), F.lit(-MAX_LATITUDE))))
     return (lon + 180.0) / 360.0 * size, (0.5 - F.ln((1 + s) / (1 - s)) / (4 * math.pi)) * size
@@ -119,7 +119,7 @@ def windows(width: Column, height: Column, window: int, stride: int) -> Column:
 
 
 def _grid(steps: Column, keep) -> Column:
-    return F.filter(F.flatten(F.transform(steps, lambda y: F.transform(steps, lambda x: F.struct(x.alias("dx"), y.alias("dy"))))), keep)
+    return F.filter(once(steps, lambda s: F.flatten(F.transform(s, lambda y: F.transform(s, lambda x: F.struct(x.alias("dx"), y.alias("dy")))))), keep)
 
 
 def _far(p: Column) -> Column:
@@ -129,7 +129,7 @@ def _far(p: Column) -> Column:
 def _nearest(offsets: Column, *ties) -> Column:
     """Offsets by distance (to a micrometre, so that equal ones are equal), then ``ties``, dx, dy."""
     keyed = F.transform(offsets, lambda p: F.struct(F.round(_far(p), 6).alias("d"), *[t(p).alias(f"t{i}") for i, t in enumerate(ties)], p["dx"].alias("dx"), p["dy"].alias("dy")))
-    return F.transform(F.array_sort(keyed), lambda p: F.struct(p["dx"].alias("dx"), p["dy"].alias("dy"), p["d"].alias("distance")))
+    return F.transform(F.sort_array(keyed), lambda p: F.struct(p["dx"].alias("dx"), p["dy"].alias("dy"), p["d"].alias("distance")))
 
 
 def buffer_tiles(radius_m: float, tile_px: int, overlap_px: int, mpp: Column) -> Column:

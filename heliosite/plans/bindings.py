@@ -292,10 +292,12 @@ def windows(spark, sf_dir):
 @bound(f"""with m as (select id, 156543.03392804097::double * cos(radians(lat)) / 262144 as mpp from {SITE}), g as (select id, mpp, 640 * mpp as st, 384 * mpp as half from m)
 select id, n, i, j from (select id, i, j, row_number() over (partition by id order by round(sqrt(i*i*st*st + j*j*st*st), 6), i, j) as n from g, range(-12, 13) a(i), range(-12, 13) b(j) where abs(i) <= ceil((1000 + half) / st) and abs(j) <= ceil((1000 + half) / st) and sqrt(i*i*st*st + j*j*st*st) <= 1000 + half * sqrt(2))""")
 def tile_grid(spark, sf_dir):
-    mpp = geo.metres_per_pixel(F.col("lat"), 18)
-    tiles = site(spark, sf_dir).select("id", mpp.alias("mpp"), F.posexplode(geo.buffer_tiles(1000.0, 768, 128, mpp)).alias("at", "tile"))
-    step = lambda k: F.round(F.col("tile")[k] / (640 * F.col("mpp"))).cast("long")
-    return tiles.select("id", (F.col("at") + 1).cast("long").alias("n"), step("dx").alias("i"), step("dy").alias("j"))
+    sites = site(spark, sf_dir).select("id", geo.metres_per_pixel(F.col("lat"), 18).alias("mpp"))
+    step = lambda tile, k: F.round(tile[k] / (640 * F.col("mpp"))).cast("long").alias
+    placed = lambda tile, at: F.struct((at + 1).cast("long").alias("n"), step(tile, "dx")("i"), step(tile, "dy")("j"))
+    # sites of one scale have one grid; a plain inline would have its arrays tested for elements at each site, below the distinct
+    grids = sites.select("mpp").distinct().select("mpp", F.transform(geo.buffer_tiles(1000.0, 768, 128, F.col("mpp")), placed).alias("tiles"))
+    return sites.join(grids, "mpp").select("id", F.inline_outer("tiles"))
 
 
 @bound(f"""select id, round(lon + case id % 4 when 0 then 0.01::double when 1 then 0.02::double / 3 when 2 then 0.01::double else 0.01::double end, 6) as x,

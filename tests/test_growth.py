@@ -11,3 +11,8 @@ def plan(spark, name):
 
 def test_a_polygon_is_parsed_once(spark):
     assert plan(spark, "geojson_roundtrip").count("from_json(") == 1
+
+
+def test_sites_of_one_scale_share_their_grid(spark):
+    text = plan(spark, "tile_grid")
+    assert "Aggregate [mpp" in text and text.count("sort_array(") == 1
