@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +13,7 @@ from heliosite.functions.geo import TILE
 
 SEGMENT = 32
 BAND = 64
+CHUNK = 2**22
 
 
 def gated(windows: DataFrame, image: str, score: str, order: list[str], least: float) -> DataFrame:
@@ -52,33 +55,83 @@ def mosaic(crops: DataFrame, tiles: DataFrame, crop: str, channels: int = 3, ban
     bands = bands.select(crop, "left", "width", (c("band") * band).alias("y0"), F.least(F.lit(band), c("height") - c("band") * band).cast("int").alias("rows"), (c("top") + c("band") * band).alias("top"))
     tile = lambda at: F.floor(at / side)
     wanted = bands.withColumn("tile_x", F.explode(F.sequence(tile(c("left")), tile(c("left") + c("width") - 1)))).withColumn("tile_y", F.explode(F.sequence(tile(c("top")), tile(c("top") + c("rows") - 1))))
-    have = tiles.where(F.octet_length("pixels") == side * side * channels).groupBy("tile_x", "tile_y").agg(F.min("pixels").alias("pixels"))
+    # not a filter, which would be pushed down to where the pixels' rows repeat
+    whole = F.when(F.octet_length("pixels") == side * side * channels, c("pixels"))
+    have = tiles.groupBy("tile_x", "tile_y").agg(F.min(whole).alias("pixels"))
     met = wanted.join(have, ["tile_x", "tile_y"], "left")
     # rows of the tile that the band needs, whole; columns are cut where they are laid out
     first = F.greatest(c("top") - c("tile_y") * side, F.lit(0))
     last = F.least(c("top") + c("rows") - c("tile_y") * side, F.lit(side))
     line = side * channels
     strip = F.expr(f"substring(pixels, cast(_first * {line} + 1 as int), cast((_last - _first) * {line} as int))")
-    strips = met.withColumns({"_first": first, "_last": last}).select(crop, "y0", "rows", "width", "left", "top", "tile_x", (c("tile_y") * side + c("_first") - c("top")).cast("int").alias("at"), (c("_last") - c("_first")).cast("int").alias("tall"), strip.alias("strip"))
+    at = (c("tile_y") * side + c("_first") - c("top")).cast("int")
+    strips = met.withColumns({"_first": first, "_last": last}).select(crop, "y0", "rows", "width", (c("tile_x") * side - c("left")).alias("x"), at.alias("at"), (c("_last") - c("_first")).cast("int").alias("tall"), strip.alias("strip"))
     key = crops.schema[crop].dataType.simpleString()
     schema = f"`{crop}` {key}, y0 long, height int, width long, missing int, pixels binary"
-
-    def laid(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        r = rows[0]
-        out, missing = np.full((r["rows"], r["width"], channels), fill, np.uint8), 0
-        for s in rows:
-            if s["strip"] is None:
-                missing += 1
-                continue
-            part = np.frombuffer(s["strip"], np.uint8).reshape(s["tall"], side, channels)
-            x = s["tile_x"] * side - s["left"]
-            a, b = max(0, x), min(r["width"], x + side)
-            out[s["at"] : s["at"] + s["tall"], a:b] = part[:, a - x : b - x]
-        columns = [pa.array([r[crop]], table.schema.field(crop).type), pa.array([r["y0"]], pa.int64()), pa.array([r["rows"]], pa.int32()), pa.array([r["width"]], pa.int64()), pa.array([missing], pa.int32()), pa.array([out.tobytes()], pa.binary())]
-        return pa.Table.from_arrays(columns, names=[crop, "y0", "height", "width", "missing", "pixels"])
-
-    return strips.groupBy(crop, "y0").applyInArrow(laid, schema)
+    laid = lambda batches: _laid(batches, crop, side, channels, fill)
+    return strips.repartition(crop, "y0").sortWithinPartitions(crop, "y0").mapInArrow(laid, schema)
+
+
+def _changes(column: pa.ChunkedArray) -> np.ndarray:
+    """At which rows after the first the value isn't the one before; nulls are alike."""
+    codes = column.combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+    return codes[1:] != codes[:-1]
+
+
+def _laid(batches: Iterator[pa.RecordBatch], crop: str, side: int, channels: int, fill: int) -> Iterator[pa.RecordBatch]:
+    """Bands from their strips in order; the last band of a batch waits for what the next one brings."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table])
+        if not len(table):
+            continue
+        starts = np.r_[0, 1 + np.flatnonzero(_changes(table[crop]) | _changes(table["y0"]))]
+        yield from _bands(table, starts[:-1], starts[-1], crop, side, channels, fill)
+        held = table.slice(starts[-1])
+    if held is not None:
+        yield from _bands(held, np.array([0]), len(held), crop, side, channels, fill)
+
+
+def _bands(table: pa.Table, starts: np.ndarray, end: int, crop: str, side: int, channels: int, fill: int) -> Iterator[pa.RecordBatch]:
+    """The bands that begin at ``starts``, as many at a time as come to ``CHUNK`` bytes, at least one."""
+    ends = np.r_[starts[1:], end].astype(np.int64)
+    heads = table.take(pa.array(starts, pa.int64()))
+    sizes = heads["rows"].to_numpy().astype(np.int64) * heads["width"].to_numpy() * channels
+    i = 0
+    while i < len(starts):
+        j = i + max(1, int(np.searchsorted(np.cumsum(sizes[i:]), CHUNK, "right")))
+        yield _layout(table.slice(starts[i], ends[j - 1] - starts[i]), heads.slice(i, j - i), ends[i:j] - starts[i:j], sizes[i:j], crop, side, channels, fill)
+        i = j
+
+
+def _layout(strips: pa.Table, heads: pa.Table, counts: np.ndarray, sizes: np.ndarray, crop: str, side: int, channels: int, fill: int) -> pa.RecordBatch:
+    """Bands side by side in one buffer; lines of strips are copied into it by their places."""
+    n, of = len(heads), np.repeat(np.arange(len(heads)), counts)
+    begins = np.r_[0, np.cumsum(sizes)]
+    out = np.full(begins[-1], fill, np.uint8)
+    strip = strips["strip"].combine_chunks().cast(pa.large_binary())
+    there = strip.is_valid().to_numpy(zero_copy_only=False)
+    missing = np.bincount(of[~there], minlength=n)
+    data = np.frombuffer(strip.buffers()[2] or b"", np.uint8)
+    offset = np.frombuffer(strip.buffers()[1], np.int64)[strip.offset : strip.offset + len(strip)]
+    x, at, tall = (strips[name].to_numpy().astype(np.int64)[there] for name in ("x", "at", "tall"))
+    of, offset, wide = of[there], offset[there], heads["width"].to_numpy()
+    low, high = np.maximum(x, 0), np.minimum(x + side, wide[of])
+    line = _ranges(tall)
+    source = np.repeat(offset + (low - x) * channels, tall) + line * (side * channels)
+    target = np.repeat(begins[of] + (at * wide[of] + low) * channels, tall) + line * np.repeat(wide[of] * channels, tall)
+    length = np.repeat((high - low) * channels, tall)
+    byte = _ranges(length)
+    out[np.repeat(target, length) + byte] = data[np.repeat(source, length) + byte]
+    pixels = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(begins.astype(np.int32)), pa.py_buffer(out)])
+    columns = [heads[crop].combine_chunks(), heads["y0"].combine_chunks(), heads["rows"].combine_chunks(), heads["width"].combine_chunks(), pa.array(missing, pa.int32()), pixels]
+    return pa.RecordBatch.from_arrays(columns, names=[crop, "y0", "height", "width", "missing", "pixels"])
+
+
+def _ranges(lengths: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each length, joined."""
+    return np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
 
 
 def crop_box(x: Column, y: Column, size: Column) -> tuple[Column, Column]:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from heliosite.operators import screening
 from heliosite.plans.bindings import bound, site, table
@@ -68,6 +71,18 @@ def window_merge(spark, sf_dir):
 _TILES = "(select distinct p_partkey % 40 as tile_x, p_partkey // 40 % 25 as tile_y from part where p_partkey % 7 <> 3)"
 
 
+@F.arrow_udf(LongType())
+def _weighed(pixels: pa.Array, width: pa.Array) -> pa.Array:
+    """Sums of bytes weighted by their row and column."""
+    pixels = pixels.cast(pa.large_binary())
+    ends = np.frombuffer(pixels.buffers()[1], np.int64)[pixels.offset : pixels.offset + len(pixels) + 1]
+    data, lengths = np.frombuffer(pixels.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].astype(np.int64), np.diff(ends)
+    place = np.arange(len(data)) - np.repeat(ends[:-1] - ends[0], lengths)
+    row, column = np.divmod(place, np.repeat(width.to_numpy(zero_copy_only=False), lengths))
+    sums = np.r_[0, np.cumsum(data * (1 + (row * 31 + column) % 17))]
+    return pa.array(sums[ends[1:] - ends[0]] - sums[ends[:-1] - ends[0]], pa.int64())
+
+
 @bound(f"""with crops as (select o_orderkey as id, o_orderkey * 37 % 280 as l, o_custkey * 11 % 170 as t, 5 + o_orderkey % 13 as w, 3 + o_custkey % 9 as h from orders),
 px as (select id, l + i % w as x, t + i // w as y, i // w // 4 * 4 as y0, i // w - i // w // 4 * 4 as yy, i % w as xx, h from crops, unnest(range(w * h)) u(i)),
 met as (select p.*, case when tile_x is null then 9 else (p.x * 3 + p.y * 5 + p.x // 8 * 31) % 251 end as v, tile_x is null as gone, x // 8 as tx, y // 8 as ty from px p left join {_TILES} on tile_x = x // 8 and tile_y = y // 8)
@@ -83,10 +98,7 @@ def tile_mosaic(spark, sf_dir):
     byte = lambda i: ((F.col("tile_x") * 8 + i % 8) * 3 + (F.col("tile_y") * 8 + F.floor(i / 8)) * 5 + F.col("tile_x") * 31) % 251
     pixels = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.lpad(F.hex(byte(i)), 2, "0")), ""))
     bands = windows.mosaic(crops, places.withColumn("pixels", pixels), "id", channels=1, band=4, fill=9, side=8)
-    text = F.hex("pixels")
-    weighed = lambda i: F.conv(F.substring(text, i * 2 + 1, F.lit(2)), 16, 10).cast("long") * (1 + (F.floor(i / F.col("width")) * 31 + i % F.col("width")) % 17)
-    total = F.aggregate(F.transform(F.sequence(F.lit(0), F.octet_length("pixels") - 1), weighed), F.lit(0).cast("long"), lambda a, v: a + v)
-    return bands.select("id", "y0", "height", "width", "missing", total.alias("total"))
+    return bands.select("id", "y0", "height", "width", "missing", _weighed("pixels", "width").alias("total"))
 
 
 @bound("""select event_id, substr(sha1('{"k":' || coalesce(json_extract_string(props, '$.k'), 'null') || ',"of":{"a":[' || event_id || ',"' || event_type || '"],"b":' || (event_id % 2 = 0)::varchar || '},"user":' || user_id || '}'), 1, 12) as fingerprint from events""")

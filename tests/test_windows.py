@@ -55,6 +55,20 @@ def test_mosaic_equals_slicing(spark, band):
     assert not any(b.id == 99 for b in got) and any(b.missing for b in got)
 
 
+def test_bands_are_laid_out_without_a_call_each(spark):
+    """Bands whose strips come in several batches, and keys that are null; no group is a Python call of its own."""
+    crops = spark.createDataFrame([(None if i == 7 else f"c{i:03}", i % 5 - 2, -3, 9 + i % 3, 11) for i in range(60)], "id string, left int, top int, width int, height int")
+    tiles = spark.createDataFrame([(x, y, bytes((x * 50 + y * 20 + k) % 256 for k in range(16))) for x in range(4) for y in range(3) if (x, y) != (1, 1)], "tile_x int, tile_y int, pixels binary")
+    made = lambda: w.mosaic(crops, tiles, "id", channels=1, band=4, fill=9, side=4)
+    assert "FlatMapGroups" not in made()._jdf.queryExecution().executedPlan().toString()
+    whole = sorted(map(tuple, made().collect()), key=str)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert sorted(map(tuple, made().collect()), key=str) == whole and len(whole) == 180
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_crop_corner(spark):
     rows = spark.createDataFrame([(1000.0, 700.0, 512), (1000.25, 699.5, 511), (255.5, 0.0, 1)], "x double, y double, size int")
     got = [tuple(r) for r in rows.select(*w.crop_box(F.col("x"), F.col("y"), F.col("size"))).collect()]
