@@ -1,6 +1,6 @@
 """Tables with declared types, keys, checks and references, and an audit that finds every row that breaks them.
 
-The declarations compile into one plan. Each table is read once: a row gives a fact for each rule it breaks by itself (a
+The declarations compile into one plan, in which numbers stand for rules. Each table is read once: a row gives a fact for each rule it breaks by itself (a
 type that doesn't hold, a missing value, a failed check), one for each unique key it holds, and one for each reference. Facts of
 all tables meet in a single aggregation by (rule, value), which Spark begins in each scan, so a value that a third
 of all rows hold is one row of each task: a key that several rows hold is a duplicate, and a reference that no key
@@ -17,6 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+_PLAIN = ("tinyint", "smallint", "int", "bigint", "float", "double", "boolean")  # types whose texts have no comma
 VIOLATION = "table string, rule string, value string, rows long"
 
 
@@ -47,56 +48,72 @@ def _name(columns: tuple[str, ...]) -> str:
 
 def _value(columns: tuple[str, ...], types: dict[str, str]) -> Column:
     """The columns as one text, null if one of them is."""
-    parts = [F.regexp_replace(F.col(c).try_cast(types[c]).cast("string"), r"([,\\])", r"\\$1") for c in columns]
+    shown = lambda c: F.col(c).try_cast(types[c]).cast("string")
+    escaped = lambda v: F.replace(F.replace(v, F.lit("\\"), F.lit("\\\\")), F.lit(","), F.lit("\\,"))
+    parts = [shown(c) if types[c] in _PLAIN else escaped(shown(c)) for c in columns]  # numbers have nothing to escape
     return reduce(lambda a, b: F.concat(a, F.lit(","), b), parts)
 
 
-def facts(table: Table, rows: DataFrame) -> DataFrame:
-    """(target, rule, kind, value): what the rows of one table say. Kinds: broken, key, reference."""
-    at = lambda rule, kind, value, when, target=table.name: F.when(when, F.struct(F.lit(target).alias("target"), F.lit(rule).alias("rule"), F.lit(kind).alias("kind"), value.cast("string").alias("value")))
-    own = _value(table.key, table.columns)
-    shown = F.coalesce(own, F.lit("?"))
+def _reference(table: Table, columns: tuple[str, ...], theirs: tuple[str, ...]) -> tuple[str, str, str]:
+    return table.name, f"reference {_name(columns)} -> {_name(theirs)}", "reference"
+
+
+def rules(schema: list[Table]) -> dict[tuple[str, str, str], int]:
+    """(table, rule, kind) to the number that stands for it in facts. Kinds: broken, key, reference."""
+    found = []
+    for t in schema:
+        found += [(t.name, f"type {c} {kind}", "broken") for c, kind in t.columns.items()]
+        found += [(t.name, f"required {c}", "broken") for c in (*t.key, *t.required)]
+        found += [(t.name, f"check {name}", "broken") for name in t.checks]
+        found += [(t.name, f"unique {_name(columns)}", "key") for columns in t.keys()]
+        found += [_reference(t, columns, theirs) for columns, (_, theirs) in t.references.items()]
+    return {rule: i for i, rule in enumerate(dict.fromkeys(found))}
+
+
+def facts(table: Table, rows: DataFrame, schema: list[Table]) -> DataFrame:
+    """(rule, held, value): what the rows of one table say of the numbered rules; ``held`` where a value is there as a key. A key answers each reference that asks for it."""
+    number = rules(schema)
+    at = lambda rule, held, value, when: F.when(when, F.struct(F.lit(number[rule]).alias("rule"), F.lit(held).alias("held"), value.alias("value")))
+    # texts are columns of their own, so that each is made once a row
+    texts = {columns: f"_text{i}" for i, columns in enumerate(dict.fromkeys([*table.keys(), *table.references]))}
+    rows = rows.withColumns({name: _value(columns, table.columns) for columns, name in texts.items()})
+    shown = F.coalesce(F.col(texts[table.key]), F.lit("?"))
     found = []
     for c, t in table.columns.items():
-        if c in rows.columns:
-            found.append(at(f"type {c} {t}", "broken", shown, F.col(c).isNotNull() & F.col(c).try_cast(t).isNull()))
+        if c in rows.columns and dict(rows.dtypes)[c] != t:  # a column of that type already has no other value
+            found.append(at((table.name, f"type {c} {t}", "broken"), False, shown, F.col(c).isNotNull() & F.col(c).try_cast(t).isNull()))
     present = {c: F.col(c).try_cast(t) if c in rows.columns else F.lit(None) for c, t in table.columns.items()}
     for c in dict.fromkeys([*table.key, *table.required]):
-        found.append(at(f"required {c}", "broken", shown, present[c].isNull()))
+        found.append(at((table.name, f"required {c}", "broken"), False, shown, present[c].isNull()))
     for name, condition in table.checks.items():
-        found.append(at(f"check {name}", "broken", shown, ~F.expr(condition)))
-    for columns in table.keys():
-        value = _value(columns, table.columns)
-        found.append(at(f"unique {_name(columns)}", "key", value, value.isNotNull()))
-    for columns, (target, theirs) in table.references.items():
-        value = _value(columns, table.columns)
-        found.append(at(f"{table.name} {_name(columns)} -> {_name(theirs)}", "reference", value, value.isNotNull(), target))
-    return rows.select(F.inline(F.filter(F.array(*found), lambda x: x.isNotNull())))
+        found.append(at((table.name, f"check {name}", "broken"), False, shown, ~F.expr(condition)))
+    for columns in dict.fromkeys(table.keys()):
+        value = F.col(texts[columns])
+        found.append(at((table.name, f"unique {_name(columns)}", "key"), True, value, value.isNotNull()))
+        for t in schema:
+            for asking, target in t.references.items():
+                if target == (table.name, columns):
+                    found.append(at(_reference(t, asking, columns), True, value, value.isNotNull()))
+    for columns, (_, theirs) in table.references.items():
+        value = F.col(texts[columns])
+        found.append(at(_reference(table, columns, theirs), False, value, value.isNotNull()))
+    return rows.select(F.inline(F.array(*found))).where(F.col("value").isNotNull())
 
 
 def audit(schema: list[Table], tables: dict[str, DataFrame]) -> DataFrame:
     """(table, rule, value, rows): a row for each value that breaks a rule, and how many rows hold it. Broken rows are named by their key."""
     named = {t.name: t for t in schema}
-    every = reduce(DataFrame.unionByName, [facts(t, tables[t.name]) for t in schema])
-    # keys that references look for answer under each rule that asks for them
-    asked = {(target, theirs): [] for t in schema for target, theirs in t.references.values()}
     for t in schema:
-        for columns, (target, theirs) in t.references.items():
+        for target, theirs in t.references.values():
             if theirs not in named[target].keys():
                 raise ValueError(f"{t.name} refers to {target}{_name(theirs)}, which isn't a key")
-            asked[target, theirs].append(f"{t.name} {_name(columns)} -> {_name(theirs)}")
-    rules = F.array(F.col("rule"))
-    for (target, theirs), asking in asked.items():
-        rules = F.when((F.col("kind") == "key") & (F.col("target") == target) & (F.col("rule") == f"unique {_name(theirs)}"), F.array(F.col("rule"), *map(F.lit, asking))).otherwise(rules)
-    each = every.withColumn("rule", F.explode(rules))
-    count = lambda kind: F.count_if(F.col("kind") == kind)
-    met = each.groupBy("target", "rule", "value").agg(count("broken").alias("broken"), count("key").alias("keys"), count("reference").alias("refs"))
-    duplicate = F.startswith("rule", F.lit("unique ")) & (F.col("keys") > 1)
-    dangling = (F.col("refs") > 0) & (F.col("keys") == 0)
-    bad = met.where((F.col("broken") > 0) | duplicate | dangling)
-    owner = F.when(F.col("refs") > 0, F.split_part("rule", F.lit(" "), F.lit(1))).otherwise(F.col("target"))
-    rule = F.when(F.col("refs") > 0, F.concat(F.lit("reference "), F.expr("substr(rule, instr(rule, ' ') + 1)"))).otherwise(F.col("rule"))
-    return bad.select(owner.alias("table"), rule.alias("rule"), "value", (F.col("broken") + F.when(duplicate, F.col("keys")).otherwise(0) + F.when(dangling, F.col("refs")).otherwise(0)).alias("rows"))
+    every = reduce(DataFrame.unionByName, [facts(t, tables[t.name], schema) for t in schema])
+    met = every.groupBy("rule", "value").agg(F.count(F.lit(1)).alias("rows"), F.count_if("held").alias("keys"))
+    number = rules(schema)
+    of = lambda kind: F.col("rule").isin([i for (_, _, k), i in number.items() if k == kind])
+    bad = met.where(F.when(of("key"), F.col("keys") > 1).when(of("reference"), F.col("keys") == 0).otherwise(True))
+    name = lambda i: F.element_at(F.array(*[F.lit(rule[i]) for rule in number]), F.col("rule") + 1)
+    return bad.select(name(0).alias("table"), name(1).alias("rule"), "value", "rows")
 
 
 def store(rows: DataFrame, table: Table, name: str, buckets: int, by: tuple[str, ...] | None = None) -> None:

@@ -52,3 +52,10 @@ def test_lookup_opens_one_bucket(spark):
     finally:
         spark.conf.unset("spark.sql.files.openCostInBytes")
         spark.sql("drop table heliosite_test_site")
+
+
+def test_facts_are_small(spark):
+    """A fact is a number, a flag and a value: rules' names are written where something is found, and no lambda runs over each row."""
+    site, spot = spark.createDataFrame([(1, "a,b", "A")], "id long, name string, level string"), spark.createDataFrame([(1, 1, 0.5)], "site long, place int, lon double")
+    plan = c.audit(SCHEMA, {"site": site, "spot": spot})._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and "regexp" not in plan and plan.count("unique (site, place)") <= 1
