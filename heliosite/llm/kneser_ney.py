@@ -46,7 +46,7 @@ from heliosite.llm.texts import HashIndex, buffers, give_back, mix, slices, trim
 
 START, END = np.uint64(0x5AFE57A27), np.uint64(0xE0D0FD0C)
 NONE = np.uint64(0)
-LOW48 = np.uint64((1 << 48) - 1)
+LOW32, LOW48 = np.uint64((1 << 32) - 1), np.uint64((1 << 48) - 1)
 FLUSH = 1 << 22
 SEGMENT, LEAST_SEGMENTS = 256, 12
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -92,6 +92,17 @@ def from_low48(x: np.ndarray) -> np.ndarray:
     return wide.view(np.uint64).ravel()
 
 
+def grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(each key rising, where one of its equals stands, the group of every element), without the stable sort of ``np.unique``."""
+    order = np.argsort(key)
+    key = key[order]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    at = np.empty(len(key), np.int64)
+    at[order] = np.cumsum(new) - 1
+    return key[new], order[new], at
+
+
 def pair_array(key: np.ndarray, n: np.ndarray, **more: np.ndarray) -> dict[str, np.ndarray]:
     """Sorted hash array: leading bits select a bucket, 32 more are stored, counts in a byte with the larger ones apart."""
     bits = max(0, int(len(key)).bit_length() - 2)
@@ -147,7 +158,7 @@ class Segment:
         self.columns = {}
         for column, kind in head["columns"].items():
             path = local_file(f"{name}.{column}")
-            self.columns[column] = np.memmap(path, kind, "r") if os.path.getsize(path) else np.zeros(0, kind)
+            self.columns[column] = np.asarray(np.memmap(path, kind, "r")) if os.path.getsize(path) else np.zeros(0, kind)
 
     def look_up(self, shard: np.ndarray, key: np.ndarray, names: list[str]) -> np.ndarray:
         """``names`` of each key of its shard, zeros where it is absent."""
@@ -207,8 +218,12 @@ def is_in(word: np.ndarray, common: np.ndarray) -> np.ndarray:
 
 def shard_of(word: np.ndarray, key: np.ndarray, shards: int, common: np.ndarray) -> np.ndarray:
     """By the word, or by the key where the word is common."""
-    by = np.where(is_in(word, common), key, word)
-    return ((by >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+    return by_low_bits(np.where(is_in(word, common), key, word), shards)
+
+
+def by_low_bits(x: np.ndarray, shards: int) -> np.ndarray:
+    """A shard from the low 32 bits: the leading ones choose buckets, of which a shard dealt by them too would fill but a few."""
+    return ((x & LOW32) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
 def discounts(counts_of_counts: dict[int, int]) -> list[float]:
@@ -276,7 +291,8 @@ def fit(train: DataFrame, shard_bytes: int = 8 << 20, sample_bytes: int = 16 <<
 
             def flushed() -> pa.RecordBatch:
                 shard, key, word, before, *second = (np.concatenate(x) for x in zip(*held, strict=True))
-                _, first, n = np.unique(mix(key * np.uint64(0x9E3779B97F4A7C15) + second[0]) if second else key, return_index=True, return_counts=True)
+                _, first, at = grouped(mix(key * np.uint64(0x9E3779B97F4A7C15) + second[0]) if second else key)
+                n = np.bincount(at)
                 shard, word, before, second = shard[first], word[first], before[first], [x[first] for x in second]
                 by = np.argsort(shard.astype(np.uint64) << np.uint64(40) | before >> np.uint64(24))
                 word, before, second, n, shard = word[by], before[by], [x[by] for x in second], n[by], shard[by]
@@ -322,7 +338,7 @@ def fit(train: DataFrame, shard_bytes: int = 8 << 20, sample_bytes: int = 16 <<
         if order == 3:
             second = np.concatenate([p["each"][p["second"]] for p in parts]) & LOW48
             del parts
-            key, first, at = np.unique(triple_key(word, before, second), return_index=True, return_inverse=True)
+            key, first, at = grouped(triple_key(word, before, second))
             n = np.bincount(at, n).astype(np.int64)
             word, before, second, middle = word[first], before[first], second[first], middle[first]
             whole = second != NONE
@@ -339,7 +355,7 @@ def fit(train: DataFrame, shard_bytes: int = 8 << 20, sample_bytes: int = 16 <<
                 else:
                     store("contexts", pair_array(context, **{c: v.astype(np.int64) for c, v in columns.items()}))
             del second, at, by, own, middle
-        key, first, at = np.unique(pair_key(word, before), return_index=True, return_inverse=True)
+        key, first, at = grouped(pair_key(word, before))
         occurs = np.bincount(at, n).astype(np.int64)
         n = np.where(before[first] == (START & LOW48), occurs, np.bincount(at)) if order == 3 else occurs
         word, before = word[first], before[first]
@@ -352,7 +368,7 @@ def fit(train: DataFrame, shard_bytes: int = 8 << 20, sample_bytes: int = 16 <<
         context, by = np.unique(before, return_inverse=True)
         follow = np.stack([np.bincount(by, m, len(context)) for m in ((n == 1), (n == 2), (n >= 3))]).astype(np.uint32)
         columns = {"word": each, "n": np.bincount(at, occurs).astype(np.uint64), "kinds": np.bincount(at).astype(np.uint32)}
-        for names, part_of in ((columns, word_shard(columns["word"], word_shards)), ({"context": context, "f1": follow[0], "f2": follow[1], "f3": follow[2], "after": np.bincount(by, n, len(context)).astype(np.uint64)}, word_shard(context, word_shards)), *([(contexts, -2 - context_shard(contexts["context2"], shards))] if len(contexts.get("context2", ())) else [])):
+        for names, part_of in ((columns, word_shard(columns["word"], word_shards)), ({"context": context, "f1": follow[0], "f2": follow[1], "f3": follow[2], "after": np.bincount(by, n, len(context)).astype(np.uint64)}, word_shard(context, word_shards)), *([(contexts, -2 - by_low_bits(contexts["context2"], shards))] if len(contexts.get("context2", ())) else [])):
             in_turn = np.argsort(part_of, kind="stable")
             present, edges = np.unique(part_of[in_turn], return_index=True)
             edges = np.append(edges, len(part_of))
@@ -395,7 +411,7 @@ def fit(train: DataFrame, shard_bytes: int = 8 << 20, sample_bytes: int = 16 <<
 
     # written, so that the blocks' shuffle files go before the next shuffle
     def counted(turn: int) -> DataFrame:
-        dealt = texts.mapInArrow(blocks_of(turn), "shard int, block binary").repartition(segments, F.floor(F.col("shard") / width))
+        dealt = texts.mapInArrow(blocks_of(turn), "shard int, block binary").repartitionById(-(-segments // rounds), F.floor(F.col("shard") / (width * rounds)).cast("int"))  # a segment, a task
         held = spark.conf.get(BATCH_BYTES)
         spark.conf.set(BATCH_BYTES, str(8 << 20))  # blocks come a few at a time, not all of a segment's
         try:
@@ -464,10 +480,6 @@ def word_shard(word: np.ndarray, shards: int) -> np.ndarray:
     return ((word & LOW48) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % shards
 
 
-def context_shard(key: np.ndarray, shards: int) -> np.ndarray:
-    return ((key >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
-
-
 class Reader:
     """A worker's view of the files, mapped on first use."""
 
@@ -476,18 +488,24 @@ class Reader:
 
     def _map(self, name: str) -> dict[str, np.ndarray]:
         try:
-            return from_bytes(np.memmap(local_file(f"{self.model.folder}/{name}"), np.uint8, "r"))
+            return from_bytes(np.asarray(np.memmap(local_file(f"{self.model.folder}/{name}"), np.uint8, "r")))
         except FileNotFoundError:  # a shard that got nothing
             return {}
 
     def look_up(self, kind: str, shard: np.ndarray, key: np.ndarray, names: list[str]) -> np.ndarray:
-        """``names`` of each key, whose shard is given; a call for each segment of shards."""
-        out = np.zeros((len(names), len(key)), np.int64)
+        """``names`` of each key, whose shard is given; a call for each segment of shards, in the order of its files."""
+        out = np.empty((len(names), len(key)), np.int64)
         width = self.model.width
-        for i, at in _by_shard(shard // width):
-            if (kind, i) not in self.stores:
-                self.stores[kind, i] = Segment(f"{self.model.folder}/{kind}-{i:07d}", width)
-            out[:, at] = self.stores[kind, i].look_up(shard[at] % width, key[at], names)
+        order = np.argsort(shard.astype(np.uint64) << np.uint64(32) | key >> np.uint64(32))
+        shard, key = shard[order], key[order]
+        segment = shard // width
+        edges = [0, *(np.flatnonzero(np.diff(segment)) + 1).tolist(), len(key)]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if a < b:
+                i = int(segment[a])
+                if (kind, i) not in self.stores:
+                    self.stores[kind, i] = Segment(f"{self.model.folder}/{kind}-{i:07d}", width)
+                out[:, order[a:b]] = self.stores[kind, i].look_up(shard[a:b] - i * width, key[a:b], names)
         return out
 
     def word_store(self, s: int) -> tuple[HashIndex, dict[str, np.ndarray]] | None:
@@ -509,15 +527,15 @@ class Reader:
     def scores(self, token: np.ndarray, before: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(count of each token in training, log10 of its base probability, log10 of the model's)."""
         m = self.model
-        each, at = np.unique(token, return_inverse=True)
-        w = {c: v[at] for c, v in self.look_up_words(each).items()}
-        seen, at = np.unique(before, return_inverse=True)
-        v = {c: x for c, x in self.look_up_words(seen).items()}
-        start = seen == START
-        v["n"] = v["after"]  # occurrences at order two, as no text ends but in END
+        each, at = np.unique(np.append(token, START), return_inverse=True)
+        found = self.look_up_words(each)
+        w = {c: found[c][at[:-1]] for c in ("n", "kinds")}
+        v = {"n": found["after"], **{c: found[c] for c in ("f1", "f2", "f3")}}  # occurrences at order two, as no text ends but in END
+        start = at[-1]
         v["n"][start] = m.documents
         for i in (1, 2, 3):
             v[f"f{i}"][start] = m.start_classes[i - 1]
+        at = np.where(before == START, start, np.append(start, at[:-2]))  # what stands before is the token before, or the start
         v = {c: x[at] for c, x in v.items()}
         base = np.log10((w["n"] + 1) / (m.tokens + m.words + 1))
         d = np.array([0.0, *m.word_discounts])
@@ -541,11 +559,11 @@ class Reader:
         """Order three above ``p`` of order two. ``pairs``: where the last two tokens are a pair of training."""
         m, low = self.model, before & LOW48
         whole = np.flatnonzero(second != NONE)
-        context, first, at = np.unique(context_key(low[whole], second[whole]), return_index=True, return_inverse=True)
+        context, first, at = grouped(context_key(low[whole], second[whole]))
         middle = before[whole][first]
         found = np.zeros((4, len(context)), np.int64)
         spread = is_in(middle, m.common)
-        for kind, own, shard in (("contexts", np.flatnonzero(~spread), shard_of(middle, context, m.shards, m.common)), ("spread", np.flatnonzero(spread), context_shard(context, m.shards))):
+        for kind, own, shard in (("contexts", np.flatnonzero(~spread), shard_of(middle, context, m.shards, m.common)), ("spread", np.flatnonzero(spread), by_low_bits(context, m.shards))):
             found[:, own] = self.look_up(kind, shard[own], context[own], ["n", "f1", "f2", "f3"])
         after = np.zeros((4, len(token)), np.int64)
         after[:, whole] = found[:, at]
@@ -570,7 +588,7 @@ def reader_of(model: Model) -> Reader:
 
 
 def _by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(shard, kind="stable")
+    order = np.argsort(shard.astype(np.uint16) if len(shard) and shard.max() < 1 << 16 else shard, kind="stable")  # short ones are sorted by radix
     edges = np.flatnonzero(np.diff(shard[order])) + 1
     for at in np.split(order, edges):
         if len(at):

@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -247,6 +248,16 @@ def test_kneser_ney_of_order_three(spark, docs, rows):
         assert got[doc_id].score == pytest.approx(sum(math.log10(p(*g)) for g in zip(words, words[1:], words[2:], strict=False)))
 
 
+def test_kneser_ney_shards_fill_their_buckets():
+    """Keys dealt by themselves, as those after a common word are, spread over their shard's buckets: a look-up walks along one."""
+    common = np.array([kneser_ney.START], np.uint64)
+    key = kneser_ney.mix(np.arange(200_000, dtype=np.uint64))
+    for shard in (kneser_ney.shard_of(np.full(len(key), kneser_ney.START), key, 64, common), kneser_ney.by_low_bits(key, 64)):
+        assert np.bincount(shard, minlength=64).min() > 2_000
+        held = kneser_ney.pair_array(np.sort(key[shard == 9]), np.ones((shard == 9).sum(), np.int64))
+        assert np.diff(held["directory"].astype(np.int64)).max() < 32
+
+
 def brute_groups(rows):
     sets = {}
     for doc_id, text in rows:
