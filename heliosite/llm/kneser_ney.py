@@ -154,7 +154,8 @@ class Segment:
         except FileNotFoundError:  # nothing fell to its shards
             head = {"starts": [], "columns": {}}
         starts = [*head["starts"], *[(-1, 0)] * (shards - len(head["starts"]))]
-        self.first, self.bits = (np.array(x, np.int64) for x in zip(*starts, strict=True))
+        self.first, self.bits = (np.array(x, kind) for x, kind in zip(zip(*starts, strict=True), (np.int64, np.uint64), strict=True))
+        self.shift = np.uint64(64) - self.bits  # numpy shifts by 64 to 0
         self.columns = {}
         for column, kind in head["columns"].items():
             path = local_file(f"{name}.{column}")
@@ -164,28 +165,30 @@ class Segment:
         """``names`` of each key of its shard, zeros where it is absent."""
         c = self.columns
         out = np.zeros((len(names), len(key)), np.int64)
-        live = np.flatnonzero(self.first[shard] >= 0)
-        if not len(live):
+        if "rest" not in c:
             return out
-        shard, key = shard[live], key[live]
-        bits = self.bits[shard].astype(np.uint64)
-        bucket = np.where(bits > 0, key >> (np.uint64(64) - np.maximum(bits, 1)), 0).astype(np.int64) + self.first[shard]
-        rest = ((key << bits) >> np.uint64(32)).astype(np.uint32)
+        first = self.first[shard]
+        bucket = (key >> self.shift[shard]).view(np.int64) + first
         at, stop = c["directory"][bucket].astype(np.int64), c["directory"][bucket + 1].astype(np.int64)
-        some = at < stop
-        live, at, stop, rest = live[some], at[some], stop[some], rest[some]
-        while len(live):
-            have = c["rest"][at]
-            hit = have == rest
-            for i, name in enumerate(names):
-                n = c[name][at[hit]].astype(np.int64)
-                big = np.flatnonzero(n == 255)
-                if len(big):
-                    of = "big" if name == "n" else f"{name}_big"
-                    n[big] = c[f"{of}_n"][np.searchsorted(c[of], at[hit][big])]
-                out[i, live[hit]] = n
-            go = (have < rest) & (at + 1 < stop)
-            live, at, stop, rest = live[go], at[go] + 1, stop[go], rest[go]
+        live = np.flatnonzero((first >= 0) & (at < stop))
+        at, stop, rest = at[live], stop[live], (key[live] << self.bits[shard[live]] >> np.uint64(32)).astype(np.uint32)
+        have = c["rest"][at]
+        hit = have == rest
+        go = np.flatnonzero((have < rest) & (at + 1 < stop))
+        while len(go):
+            at[go] += 1
+            next_at, sought = at[go], rest[go]
+            have = c["rest"][next_at]
+            hit[go] = have == sought
+            go = go[(have < sought) & (next_at + 1 < stop[go])]
+        at, live = at[hit], live[hit]
+        for i, name in enumerate(names):
+            n = c[name][at].astype(np.int64)
+            big = np.flatnonzero(n == 255)
+            if len(big):
+                of = "big" if name == "n" else f"{name}_big"
+                n[big] = c[f"{of}_n"][np.searchsorted(c[of], at[big])]
+            out[i, live] = n
         return out
 
 
