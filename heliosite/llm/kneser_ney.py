@@ -92,15 +92,21 @@ def from_low48(x: np.ndarray) -> np.ndarray:
     return wide.view(np.uint64).ravel()
 
 
-def grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(each key rising, where one of its equals stands, the group of every element), without the stable sort of ``np.unique``."""
+def in_order(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rising keys, where each stood, where each run of equal ones starts), without the stable sort of ``np.unique``."""
     order = np.argsort(key)
     key = key[order]
     new = np.ones(len(key), bool)
     new[1:] = key[1:] != key[:-1]
+    return key, order, np.flatnonzero(new)
+
+
+def grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(each key rising, where one of its equals stands, the group of every element)."""
+    key, order, starts = in_order(key)
     at = np.empty(len(key), np.int64)
-    at[order] = np.cumsum(new) - 1
-    return key[new], order[new], at
+    at[order] = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(key))))
+    return key[starts], order[starts], at
 
 
 def pair_array(key: np.ndarray, n: np.ndarray, **more: np.ndarray) -> dict[str, np.ndarray]:
@@ -294,8 +300,10 @@ def fit(train: DataFrame, shard_bytes: int = 8 << 20, sample_bytes: int = 16 <<
 
             def flushed() -> pa.RecordBatch:
                 shard, key, word, before, *second = (np.concatenate(x) for x in zip(*held, strict=True))
-                _, first, at = grouped(mix(key * np.uint64(0x9E3779B97F4A7C15) + second[0]) if second else key)
-                n = np.bincount(at)
+                held.clear()  # else all is held twice
+                key, order, starts = in_order(mix(key * np.uint64(0x9E3779B97F4A7C15) + second[0]) if second else key)
+                first, n = order[starts], np.diff(np.append(starts, len(key)))
+                del key, order, starts
                 shard, word, before, second = shard[first], word[first], before[first], [x[first] for x in second]
                 by = np.argsort(shard.astype(np.uint64) << np.uint64(40) | before >> np.uint64(24))
                 word, before, second, n, shard = word[by], before[by], [x[by] for x in second], n[by], shard[by]
@@ -324,6 +332,7 @@ def fit(train: DataFrame, shard_bytes: int = 8 << 20, sample_bytes: int = 16 <<
                     if count >= FLUSH // (order - 1):
                         yield flushed()
                         held, count = [], 0
+                        give_back()
             if count:
                 yield flushed()
 
