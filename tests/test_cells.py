@@ -95,6 +95,35 @@ def test_copies_of_names_are_scored_once(spark):
         spark.conf.unset("spark.sql.adaptive.enabled")
 
 
+def nodes(node):
+    children = node.children()
+    return [node] + [x for i in range(children.size()) for x in nodes(children.apply(i))]
+
+
+def test_pairs_of_names_come_out_once_and_few_at_a_time(spark):
+    """What is put out is hardly more than what stays, and no generated stage holds all that comes of a row of the join."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = similar_names(copied(spark), "k", "g", "name")
+        pairs = len(df.collect())
+        plan = nodes(df._jdf.queryExecution().executedPlan())
+        out = [int(n.metrics().apply("numOutputRows").value()) for n in plan if "Generate" in n.nodeName()]
+        assert pairs == 600 * 599 / 2 and pairs <= out[0] < 1.3 * pairs
+        assert pairs / (16 * 256) < out[2] < 600
+        below = [n.nodeName() for n in plan]
+        assert "InputAdapter" in below[below.index("Generate") : below.index("ShuffledHashJoin")]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_pairs_of_names_leave_out_equal_keys_and_nulls(spark):
+    rows = [("b", "g", "north plaza"), ("a", "g", "north plazas"), ("a", "g", "river"), ("a", "g", "river"), ("c", "g", "north plaza"), ("c", "g", ""), ("d", "h", None), ("e", "h", "old"), (None, "g", "river"), ("f", None, "river")]
+    df = spark.createDataFrame(rows, "k string, g string, name string")
+    a, b = df.toDF("a", "g", "n1"), df.toDF("b", "g2", "n2")
+    want = sorted(tuple(p) for p in a.join(b, F.expr("g = g2 and a < b")).select("a", "b", text.similarity(F.col("n1"), F.col("n2")).alias("score")).collect())
+    assert sorted(tuple(p) for p in similar_names(df, "k", "g", "name").collect()) == want and len(want) > 8
+
+
 def test_copies_of_names_meet_once(spark):
     df = copied(spark)
     assert {(p.a, p.b): p.score for p in cells.similar_above(df, "k", "g", "name", 0.8).collect()} == {p: s for p, s in scored(df).items() if s >= 0.8}
